@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,3 +25,24 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables; the path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to Python workers that would not find it by their PYTHONPATH; once per application."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    context = spark.sparkContext
+    on_path = root in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))
+    if on_path or _shipped.get("to") == context.applicationId:
+        return
+    with tempfile.TemporaryDirectory() as d:
+        path = os.path.join(d, "gridlogic.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(os.path.join(root, "gridlogic")):
+                for n in names:
+                    if n.endswith(".py"):
+                        z.write(full := os.path.join(folder, n), os.path.relpath(full, root))
+        context.addPyFile(path)
+    _shipped["to"] = context.applicationId
+
+
+_shipped: dict[str, str] = {}
