@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -34,14 +36,14 @@ def ship_package(spark: SparkSession) -> None:
     on_path = root in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))
     if on_path or _shipped.get("to") == context.applicationId:
         return
-    with tempfile.TemporaryDirectory() as d:
-        path = os.path.join(d, "gridlogic.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for folder, _, names in os.walk(os.path.join(root, "gridlogic")):
-                for n in names:
-                    if n.endswith(".py"):
-                        z.write(full := os.path.join(folder, n), os.path.relpath(full, root))
-        context.addPyFile(path)
+    path = os.path.join(folder := tempfile.mkdtemp(prefix="gridlogic-"), "gridlogic.zip")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(os.path.join(root, "gridlogic")):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(full := os.path.join(at, n), os.path.relpath(full, root))
+    context.addPyFile(path)
     _shipped["to"] = context.applicationId
 
 
