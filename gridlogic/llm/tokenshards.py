@@ -4,7 +4,7 @@ A shard is two files. `<name>.rec` holds one record per document:
 
     uint64 n | uint32 masked(crc32(those 8 bytes)) | n bytes | uint32 masked(crc32(the n bytes))
 
-all little-endian, the payload being uint32 token ids. `<name>.idx` holds per record
+all little-endian, the payload being token ids, uint16 where the vocabulary has at most 65,536 of them, else uint32. `<name>.idx` holds per record
 (uint64 offset in .rec, int64 doc_id, uint8 doc_id is null, uint64 ids in the shard before it), so that a reader can fetch records in
 any order without scanning. A checksum c is masked as rotate_right(c, 15) + 0xA282EAD8 (mod 2^32), so that a checksum of
 bytes that hold checksums stays useful. `_manifest.json` is written last, by the driver: its shards, in order of doc_id,
@@ -43,6 +43,10 @@ def masked(crc: int) -> int:
     return ((crc >> 15 | crc << 17) + MASK_DELTA) & 0xFFFFFFFF
 
 
+def id_type(vocabulary_size: int, end_id: int) -> str:
+    return "<u2" if max(vocabulary_size, end_id + 1) <= 1 << 16 else "<u4"
+
+
 def frame(payload: bytes) -> bytes:
     n = struct.pack("<Q", len(payload))
     return b"".join((n, TAIL.pack(masked(zlib.crc32(n))), payload, TAIL.pack(masked(zlib.crc32(payload)))))
@@ -165,7 +169,8 @@ def _writer(path: str, vocabulary: str, end_id: int) -> Callable[[Iterator[pa.Re
         from pyspark import TaskContext
 
         store, root = fs.FileSystem.from_uri(path)
-        encode, end, part = encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId()
+        encode, part = encoder(vocabulary), TaskContext.get().partitionId()
+        kind, end = id_type(encode.tokenizer.get_vocab_size(), end_id), np.array([end_id], dtype="<u4").tobytes()
         name, offset, before, n = f"{part:06d}-{uuid.uuid4().hex}", 0, 0, 0
         rec = idx = None
         for ids, texts in _slices(batches):
@@ -173,7 +178,7 @@ def _writer(path: str, vocabulary: str, end_id: int) -> Callable[[Iterator[pa.Re
                 rec, idx = store.open_output_stream(f"{root}/{name}.rec"), store.open_output_stream(f"{root}/{name}.idx")
             rows = np.zeros(len(ids), INDEX)
             for i, (doc_id, tokens) in enumerate(zip(ids, encode(texts), strict=True)):
-                framed = frame(tokens + end)
+                framed = frame(np.frombuffer(tokens + end, "<u4").astype(kind).tobytes())
                 rows[i] = (offset, 0 if doc_id is None else doc_id, doc_id is None, before)
                 rec.write(framed)
                 offset += len(framed)
@@ -183,7 +188,7 @@ def _writer(path: str, vocabulary: str, end_id: int) -> Callable[[Iterator[pa.Re
         if rec is not None:
             rec.close()
             idx.close()
-            yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "docs": [n], "ids": [before], "bytes": [offset]})
+            yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "docs": [n], "ids": [before], "bytes": [offset], "kind": [kind]})
 
     return write
 
@@ -199,10 +204,10 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int
     store, root = fs.FileSystem.from_uri(path)
     store.create_dir(root)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards or max(1, shuffle_partitions(spark)), F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"))
-    written = ordered.mapInArrow(_writer(path, vocabulary, end_id), "part long, name string, docs long, ids long, bytes long").collect()
+    written = ordered.mapInArrow(_writer(path, vocabulary, end_id), "part long, name string, docs long, ids long, bytes long, kind string").collect()
     manifest, before = {"end_id": end_id, "shards": []}, 0
     for r in sorted(written, key=lambda r: r.part):
-        manifest["shards"].append({"name": r.name, "docs": r.docs, "ids": r.ids, "bytes": r.bytes, "before": before})
+        manifest["shards"].append({"name": r.name, "docs": r.docs, "ids": r.ids, "bytes": r.bytes, "before": before, "kind": r.kind})
         before += r.ids
     with store.open_output_stream(f"{root}/_manifest.json") as f:
         f.write(json.dumps(manifest).encode())
@@ -234,7 +239,7 @@ def _reader(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                         high = int(index["offset"][to]) if to < len(index) else shard["bytes"]
                         f.seek(low)
                         data, rows = f.read(high - low), index[at:to]
-                        payloads = [unframe(data, int(o) - low) for o in rows["offset"]]
+                        payloads = [np.frombuffer(unframe(data, int(o) - low), shard["kind"]).astype("<u4").tobytes() for o in rows["offset"]]
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array(rows["doc_id"].astype(np.int64), mask=rows["null_id"].astype(bool)),
@@ -249,8 +254,8 @@ def _reader(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
 
 def _shard_rows(spark: SparkSession, manifest: dict) -> DataFrame:
-    rows = [(s["name"], s["before"], s["bytes"]) for s in manifest["shards"]]
-    df = spark.createDataFrame(rows, "name string, before long, bytes long")
+    rows = [(s["name"], s["before"], s["bytes"], s["kind"]) for s in manifest["shards"]]
+    df = spark.createDataFrame(rows, "name string, before long, bytes long, kind string")
     return df.repartition(max(1, len(rows))) if rows else df
 
 
@@ -272,7 +277,7 @@ def shuffled_records(path: str, seed: int = 0) -> Iterator[tuple[int | None, np.
         index, f = opened[i]
         low, high = int(index["offset"][k]), int(index["offset"][k + 1]) if k + 1 < len(index) else shards[i]["bytes"]
         f.seek(low)
-        yield (None if index["null_id"][k] else int(index["doc_id"][k])), np.frombuffer(unframe(f.read(high - low), 0), dtype="<u4")
+        yield (None if index["null_id"][k] else int(index["doc_id"][k])), np.frombuffer(unframe(f.read(high - low), 0), dtype=shards[i]["kind"]).astype("<u4")
 
 
 def token_digests(records: DataFrame) -> DataFrame:
