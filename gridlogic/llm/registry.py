@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from gridlogic.llm import tokenshards
+from gridlogic.llm import langid, secrets, tokenshards
 
 QUERIES = {
+    "op7_language_id": langid.query,
+    "op8_secret_scan": secrets.query,
     "op9_token_shards": tokenshards.query,
 }
 ORACLES: dict[str, str] = {}
