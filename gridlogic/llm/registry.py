@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from gridlogic.llm import langid, secrets, tokenshards
+from gridlogic.llm import chatformat, langid, linededup, mixing, secrets, tokenshards
 
 QUERIES = {
+    "op1_mix_sources": mixing.query,
+    "op5_chat_format": chatformat.query,
     "op7_language_id": langid.query,
     "op8_secret_scan": secrets.query,
     "op9_token_shards": tokenshards.query,
+    "op10_line_dedup": linededup.query,
+}
+ORACLES = {
+    "op1_mix_sources": mixing.ORACLE_SQL,
+    "op5_chat_format": chatformat.ORACLE_SQL,
+    "op10_line_dedup": linededup.ORACLE_SQL,
 }
-ORACLES: dict[str, str] = {}
