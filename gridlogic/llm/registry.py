@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gridlogic.llm import chatformat, langid, linededup, mixing, secrets, tokenshards
+from gridlogic.llm import chatformat, decontaminate, langid, linededup, mixing, secrets, tokenshards
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op3_decontaminate": decontaminate.query,
     "op5_chat_format": chatformat.query,
     "op7_language_id": langid.query,
     "op8_secret_scan": secrets.query,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE_SQL,
+    "op3_decontaminate": decontaminate.ORACLE_SQL,
     "op5_chat_format": chatformat.ORACLE_SQL,
     "op10_line_dedup": linededup.ORACLE_SQL,
 }
