@@ -144,11 +144,13 @@ def digests(found: DataFrame) -> DataFrame:
     def joined(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
-    base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
+    def of(*kinds):
+        return F.filter("spans", lambda x: x["kind"].isin(*kinds))
+
     return found.select(
         "doc_id",
-        *(F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE),
-        F.sha2(joined(base), 256).alias("base_sha256"),
+        *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE),
+        F.sha2(joined(of(*BASE)), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
 
