@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridlogic.llm import chatformat, decontaminate, langid, linededup, mixing, secrets, tokenshards
+from gridlogic.llm import chatformat, decontaminate, langid, linededup, mixing, secrets, simhash, tokenshards
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op3_decontaminate": decontaminate.query,
+    "op4_simhash": simhash.query,
     "op5_chat_format": chatformat.query,
     "op7_language_id": langid.query,
     "op8_secret_scan": secrets.query,
