@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from gridlogic.llm import chatformat, decontaminate, langid, linededup, mixing, secrets, simhash, tokenshards
+from gridlogic.llm import chatformat, decontaminate, langid, linededup, media, mixing, secrets, simhash, tokenshards, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op2_warc": warc.query,
     "op3_decontaminate": decontaminate.query,
     "op4_simhash": simhash.query,
     "op5_chat_format": chatformat.query,
+    "op6_media_columns": media.query,
     "op7_language_id": langid.query,
     "op8_secret_scan": secrets.query,
     "op9_token_shards": tokenshards.query,
