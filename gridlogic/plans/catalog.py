@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from gridlogic.plans import flow_queries, graph_queries, layout_queries, score_queries, text_queries
+from gridlogic.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "flow_queries", "graph_queries", "layout_queries", "score_queries", "text_queries"]
