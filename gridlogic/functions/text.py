@@ -87,8 +87,8 @@ def resolve_label(text: Column) -> Column:
     cleaned = clean_answer(text)
     names = F.array(*map(F.lit, ALIASES_BY_LENGTH))
     quoted = F.array(*(F.lit(rf"(?U)\b{re.escape(a)}\b") for a in ALIASES_BY_LENGTH))
-    inside = F.filter(F.arrays_zip(names.alias("name"), quoted.alias("pattern")), lambda a: F.contains(cleaned, a["0"]) & F.rlike(cleaned, a["1"]))
-    return F.coalesce(lookup(cleaned, ALIAS_LABEL), lookup(F.get(inside, F.lit(0))["0"], ALIAS_LABEL), cleaned)
+    inside = F.filter(F.arrays_zip(names.alias("name"), quoted.alias("pattern")), lambda a: F.contains(cleaned, a["name"]) & F.rlike(cleaned, a["pattern"]))
+    return F.coalesce(lookup(cleaned, ALIAS_LABEL), lookup(F.get(inside, F.lit(0))["name"], ALIAS_LABEL), cleaned)
 
 
 def phrase(direction: Column) -> Column:

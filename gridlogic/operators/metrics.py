@@ -121,5 +121,5 @@ def histogram(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def dataset_stats(rows: DataFrame) -> DataFrame:
-    """Direct, unique and ambiguous counts by number of components and over all (null), in one pass."""
-    return rows.rollup("num_components").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_directly_stated").alias("direct"), F.count_if("has_unique_layout").alias("unique_layout"), F.avg("num_relations").alias("mean_relations"), F.min("num_relations").alias("min_relations"), F.max("num_relations").alias("max_relations"))
+    """Direct, unique and relation counts by number of components and over all (-1), in one pass."""
+    return rows.withColumn("num_components", F.coalesce("num_components", F.lit(0))).rollup("num_components").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_directly_stated").alias("direct"), F.count_if("has_unique_layout").alias("unique_layout"), F.avg("num_relations").alias("mean_relations"), F.min("num_relations").alias("min_relations"), F.max("num_relations").alias("max_relations")).na.fill(-1, ["num_components"])

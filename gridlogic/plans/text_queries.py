@@ -9,7 +9,7 @@ from gridlogic.functions import score as E
 from gridlogic.functions import text as X
 from gridlogic.functions.vocab import ALIAS_LABEL, ALIASES_BY_LENGTH, GENERATED, PHRASES, POOLS
 from gridlogic.plans.registry import query
-from gridlogic.plans.scenes import PATHS, SCENES, STATED, held, horiz, pool_rows, quoted, rel, scenes, stated_scenes, vert
+from gridlogic.plans.scenes import SCENES, STATED, held, horiz, pool_rows, quoted, rel, scenes, stated_scenes, vert
 from gridlogic.session import table
 
 _POOL = {0: "spatial", 1: "cardinal", 2: "clock"}
@@ -143,12 +143,10 @@ def component_names(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", X.component_name(F.col("c_custkey") % 700).alias("name"))
 
 
-@query(f"WITH {DESCRIBED}{legacy('described')}, pos2 AS (SELECT scene_id, lower(obj) AS obj, x, y FROM pos), checked AS (SELECT d.scene_id, d.obj1, d.obj2, p.obj IS NOT NULL AND q.obj IS NOT NULL AND d.dir = {rel('p.x', 'p.y', 'q.x', 'q.y')} AS ok FROM parsed d LEFT JOIN pos2 p ON p.scene_id = d.scene_id AND p.obj = d.obj1 LEFT JOIN pos2 q ON q.scene_id = d.scene_id AND q.obj = d.obj2 WHERE dir IS NOT NULL) SELECT d.scene_id, count(ok)::BIGINT AS total, coalesce(sum(ok::INTEGER), 0)::BIGINT AS correct_count FROM described d LEFT JOIN checked USING (scene_id) GROUP BY d.scene_id")
+@query(f"WITH {DESCRIBED}{legacy('described')}, pos2 AS (SELECT scene_id, lower(min(obj)) AS obj, x, y FROM pos GROUP BY scene_id, x, y), checked AS (SELECT d.scene_id, d.obj1, d.obj2, p.obj IS NOT NULL AND q.obj IS NOT NULL AND d.dir = {rel('p.x', 'p.y', 'q.x', 'q.y')} AS ok FROM parsed d LEFT JOIN pos2 p ON p.scene_id = d.scene_id AND p.obj = d.obj1 LEFT JOIN pos2 q ON q.scene_id = d.scene_id AND q.obj = d.obj2 WHERE dir IS NOT NULL) SELECT d.scene_id, count(ok)::BIGINT AS total, coalesce(sum(ok::INTEGER), 0)::BIGINT AS correct_count FROM described d LEFT JOIN checked USING (scene_id) GROUP BY d.scene_id")
 def ascii_task(spark, sf_dir):
     """E6/E3 on text: relations read from a description, checked on the rendered and reparsed grid."""
     own = held(described(spark, sf_dir), art=L.render_panel(F.col("layout")), parsed=L.parse_art(F.col("art")), model=L.compact(F.col("parsed")), read=X.parse_description(F.col("description")))
     v = own.select("scene_id", E.verify(F.col("read"), F.col("model")).alias("v"))
     return v.select("scene_id", "v.total", "v.correct_count")
 
-
-__all__ = ["PATHS"]
