@@ -10,7 +10,7 @@ MULTIPLIER, MODULUS = 2654435761, 4294967296
 
 def shuffled(key: Column, seed: int) -> Column:
     """A number of a key and a seed, of integer arithmetic alone."""
-    return F.pmod((key.cast("long") + seed) * F.lit(MULTIPLIER), F.lit(MODULUS))
+    return F.pmod((F.pmod(key.cast("long"), F.lit(MODULUS // 2)) + seed) * F.lit(MULTIPLIER), F.lit(MODULUS))
 
 
 def keep_last(rows: DataFrame, key: str, *order: Column) -> DataFrame:

@@ -72,7 +72,7 @@ def write_text(rows: DataFrame, path: str) -> None:
 
 def copy_without(spark: SparkSession, source: str, target: str, held_out: DataFrame) -> None:
     """A JSONL file's lines as they are, without those whose id is held out."""
-    lines = spark.read.text(source).withColumn("id", F.get_json_object("value", "$.id"))
+    lines = spark.read.text(source).where(F.trim("value") != "").withColumn("id", F.get_json_object("value", "$.id"))
     lines.join(held_out.select("id").distinct(), "id", "left_anti").select("value").write.mode("overwrite").text(target)
 
 
