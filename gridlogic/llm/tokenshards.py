@@ -32,11 +32,13 @@ MASK_DELTA = 0xA282EAD8
 INDEX = np.dtype([("offset", "<u8"), ("doc_id", "<i8"), ("null_id", "u1"), ("before", "<u8")])
 HEAD, TAIL = struct.Struct("<QI"), struct.Struct("<I")
 #: Words whose ids a worker remembers, at about 150 bytes each.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
+#: White space, in the sense of the pre-tokenizer or of str.isspace, besides a space and a line feed.
+OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 #: Marks that the pre-tokenizer cuts from letters before them.
 MARKS = ".,"
 #: Characters of text that are encoded together.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 
 def masked(crc: int) -> int:
@@ -90,8 +92,9 @@ class WordEncoder:
         """Words, each standing for itself after a space, or with its leading line feed; the first gets one too."""
         if not text or "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[0].isspace() or text[-1].isspace():
             return None
-        out = ("\n" + text).replace("\n", " \n").split(" ")[1:]
-        return out if len(out) == len(text.split()) else None
+        if any(c in text for c in OTHER_SPACES):
+            return None
+        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
 
     def learn(self, words: set[str]) -> None:
         """Encode words side by side, parted by line feeds, which no word holds inside; a mark after letters is always cut off, so it is added."""
