@@ -23,9 +23,19 @@ def lookup(value: Column, table: dict[str, str]) -> Column:
     return out.otherwise(F.lit(None))
 
 
+#: Phrases as they are, then what is left of those that end in of, then of those in from.
+SHORTENED = {p.removesuffix(end): d for end in (" from", " of", "") for p, d in PHRASES.items() if p.endswith(end)}
+
+
+def literals(texts: list[str]) -> Column:
+    """An array of constants."""
+    escaped = (t.replace("\\", "\\\\").replace("'", "\\'") for t in texts)
+    return F.expr("array(" + ", ".join(f"'{t}'" for t in escaped) + ")")
+
+
 def phrase_direction(phrase: Column) -> Column:
     """A phrase's direction, also with a following of or from."""
-    return F.coalesce(lookup(phrase, PHRASES), lookup(F.concat(phrase, F.lit(" of")), PHRASES), lookup(F.concat(phrase, F.lit(" from")), PHRASES))
+    return lookup(phrase, SHORTENED)
 
 
 def _part(part: Column, subject: Column) -> Column:
@@ -85,8 +95,7 @@ def clean_answer(text: Column) -> Column:
 def resolve_label(text: Column) -> Column:
     """An answer's label: an exact alias, else the longest alias at word bounds, else the cleaned text itself."""
     cleaned = clean_answer(text)
-    names = F.array(*map(F.lit, ALIASES_BY_LENGTH))
-    quoted = F.array(*(F.lit(rf"(?U)\b{re.escape(a)}\b") for a in ALIASES_BY_LENGTH))
+    names, quoted = literals(ALIASES_BY_LENGTH), literals([rf"(?U)\b{re.escape(a)}\b" for a in ALIASES_BY_LENGTH])
     inside = F.filter(F.arrays_zip(names.alias("name"), quoted.alias("pattern")), lambda a: F.contains(cleaned, a["name"]) & F.rlike(cleaned, a["pattern"]))
     return F.coalesce(lookup(cleaned, ALIAS_LABEL), lookup(F.get(inside, F.lit(0))["name"], ALIAS_LABEL), cleaned)
 

@@ -19,6 +19,7 @@ from gridlogic.functions import layout as L
 from gridlogic.functions import text as X
 from gridlogic.functions.algebra import component
 from gridlogic.functions.vocab import BASE, INVERSE, POOLS, STEP
+from gridlogic.operators.hold import held
 from gridlogic.operators.sampling import quota_selection
 
 #: Shares of layouts by number of components.
@@ -135,8 +136,6 @@ def structures(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
 
 def instances(structures_: DataFrame, seed: int = 42) -> DataFrame:
     """Dataset rows of structures: description, question, label, flags, renderings and reasoning."""
-    from gridlogic.plans.scenes import held
-
     pick = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), n)
     own = held(structures_, graph=G.edges(F.col("stated")), paths=G.shortest_paths(F.col("graph")))
     names = F.transform("layout", lambda o: o["obj"])

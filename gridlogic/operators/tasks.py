@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridlogic.functions import layout as L
 from gridlogic.functions import score as E
 from gridlogic.functions import text as X
+from gridlogic.operators.hold import held
 from gridlogic.operators.metrics import ratio
 
 
@@ -19,6 +20,12 @@ def joined(results: DataFrame, dataset: DataFrame) -> DataFrame:
     return results.join(dataset.withColumn("in_dataset", F.lit(True)), results["test_id"] == dataset["id"], "left").withColumn("in_dataset", F.coalesce("in_dataset", F.lit(False)))
 
 
+def read(rows: DataFrame) -> DataFrame:
+    """rows with what their description states and their grid shows, read once."""
+    parsed = held(rows, __stated=X.parse_description(F.col("description")), __parsed=L.parse_art(F.col("grid")))
+    return held(parsed, __model=L.compact(F.col("__parsed")))
+
+
 def direction_rows(results: DataFrame, dataset: DataFrame) -> DataFrame:
     """(test_id, query_type, truth, predicted, correct, error) of (test_id, answer) and (id, label, query_type): tasks C, D, F, H."""
     both = joined(results, dataset)
@@ -28,15 +35,15 @@ def direction_rows(results: DataFrame, dataset: DataFrame) -> DataFrame:
 
 def layout_rows(results: DataFrame, dataset: DataFrame) -> DataFrame:
     """(test_id, correct, correct_count, total, accuracy, error) of (test_id, grid) and (id, description): task A."""
-    both = joined(results, dataset)
-    v = E.verify(X.parse_description(F.col("description")), L.compact(L.parse_art(F.col("grid"))))
+    both = read(joined(results, dataset))
+    v = E.verify(F.col("__stated"), F.col("__model"))
     return _verdicts(both.select("test_id", "in_dataset", v.alias("v")))
 
 
 def description_rows(results: DataFrame, dataset: DataFrame, strict: bool = False) -> DataFrame:
     """The same of (test_id, description) and (id, grid): task B."""
-    both = joined(results, dataset)
-    v = E.verify(X.parse_description(F.col("description")), L.compact(L.parse_art(F.col("grid"))), "verify_description", strict)
+    both = read(joined(results, dataset))
+    v = E.verify(F.col("__stated"), F.col("__model"), "verify_description", strict)
     return _verdicts(both.select("test_id", "in_dataset", v.alias("v")))
 
 
@@ -56,14 +63,14 @@ def consistency_rows(results: DataFrame, dataset: DataFrame) -> DataFrame:
     (id, question, label, description): tasks E and G. A skipped row has nulls after its reason."""
     both = joined(results, dataset)
     skipped = E.skip_reason(F.col("error"), F.col("answer"), F.col("in_dataset"), F.col("grid"))
-    own = both.select("*", skipped.alias("skipped"), F.explode(F.array(L.compact(L.parse_art(F.col("grid"))))).alias("model"))
-    asked = X.parse_query(F.col("question"))
+    own = held(read(both.withColumn("skipped", skipped)), __asked=X.parse_query(F.col("question")))
+    asked, model = F.col("__asked"), F.col("__model")
     seen = own.select(
         "test_id", "skipped",
-        E.query_correct(F.col("model"), asked, F.col("answer")).alias("consistent"),
-        E.query_correct(F.col("model"), asked, F.col("label")).alias("ascii_ok"),
+        E.query_correct(model, asked, F.col("answer")).alias("consistent"),
+        E.query_correct(model, asked, F.col("label")).alias("ascii_ok"),
         E.label_correct(F.col("answer"), F.col("label")).alias("answer_ok"),
-        E.verify(X.parse_description(F.col("description")), F.col("model"))["accuracy"].alias("accuracy"),
+        E.verify(F.col("__stated"), model)["accuracy"].alias("accuracy"),
     )
     blank = lambda c: F.when(F.col("skipped").isNull(), c)
     return seen.select("test_id", "skipped", *(blank(F.col(c)).alias(c) for c in ("consistent", "ascii_ok", "answer_ok", "accuracy")), blank(E.bucket(F.col("accuracy"))).alias("bucket"), blank(E.error_kind(F.col("ascii_ok"), F.col("answer_ok"))).alias("kind"))

@@ -9,17 +9,10 @@ from gridlogic.functions import graph as G
 from gridlogic.functions import layout as L
 from gridlogic.functions.algebra import relation
 from gridlogic.functions.vocab import BASE, POOLS
+from gridlogic.operators.hold import held
 from gridlogic.session import table
 
 
-def held(df: DataFrame, **columns) -> DataFrame:
-    """df with columns that are computed once per row: through a generator, so that the optimizer does not copy their expressions into the
-    functions that use them for every element."""
-    for name, expression in columns.items():
-        df = df.select("*", F.explode(F.array(expression)).alias(name))
-    return df
-
-
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scene_id, raw, layout): of lines with one number the first by its other columns. One shuffle, by scene."""
     cells = ("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_extendedprice")

@@ -12,7 +12,7 @@ from gridlogic.functions import score as E
 from gridlogic.functions import text as X
 from gridlogic.functions.vocab import BASE, GENERATED, INVERSE, PHRASES, STEP, aliases_for
 from gridlogic.operators.generate import holds, place
-from gridlogic.plans.scenes import held
+from gridlogic.operators.hold import held
 
 STATED = "k int, stated array<struct<obj1:string,obj2:string,dir:string>>"
 
