@@ -32,7 +32,7 @@ MASK_DELTA = 0xA282EAD8
 INDEX = np.dtype([("offset", "<u8"), ("doc_id", "<i8"), ("null_id", "u1"), ("before", "<u8")])
 HEAD, TAIL = struct.Struct("<QI"), struct.Struct("<I")
 #: Words whose ids a worker remembers, at about 150 bytes each.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 900_000
 #: White space, in the sense of the pre-tokenizer or of str.isspace, besides a space and a line feed.
 OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 #: Marks that the pre-tokenizer cuts from letters before them.
