@@ -11,7 +11,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlogic.functions import graph as G
@@ -26,6 +26,7 @@ from gridlogic.operators.sampling import quota_selection
 SHARES = {2: 0.025, 3: 0.075} | dict.fromkeys(range(4, 9), 0.18)
 #: Cells that a name is pushed on at most when its place is taken; candidates made for each row wanted.
 MOST_PUSHES, POOL = 100, 8
+QUERY_TYPES = ("full", "vertical", "horizontal")
 
 
 def place(stated: list[tuple[str, str, str]]) -> dict[str, tuple[int, int]]:
@@ -134,18 +135,39 @@ def structures(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     return spark.range(n).mapInArrow(_structures(seed), STRUCTURES)
 
 
-def instances(structures_: DataFrame, seed: int = 42) -> DataFrame:
-    """Dataset rows of structures: description, question, label, flags, renderings and reasoning."""
-    pick = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), n)
+def pick(salt: str, n: Column, seed: int) -> Column:
+    """A number under n, by the id's hash."""
+    return F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), n).cast("int")
+
+
+def questions(structures_: DataFrame, seed: int = 42) -> DataFrame:
+    """Structures with graph, paths and a question (obj1, obj2, query_type) that the stated relations determine. Of all pairs, the lesser name
+    first, those with a unique full, vertical or horizontal relation are open; one of them is taken by hash, of the type that the id's hash asks for
+    if a pair has it. Structures without such a pair are left out."""
     own = held(structures_, graph=G.edges(F.col("stated")), paths=G.shortest_paths(F.col("graph")))
     names = F.transform("layout", lambda o: o["obj"])
-    first = F.get(names, pick("first", F.size(names)).cast("int"))
-    own = held(own, obj2=first, obj1=F.get(F.array_except(names, F.array(first)), pick("second", F.size(names) - 1).cast("int")), query_type=F.element_at(F.array(F.lit("full"), F.lit("vertical"), F.lit("horizontal")), (pick("type", F.lit(3)) + 1).cast("int")))
+    pairs = F.flatten(F.transform(names, lambda a: F.transform(F.filter(names, lambda b: b > a), lambda b: F.struct(a.alias("obj1"), b.alias("obj2")))))
+    one = lambda p, axis: G.axis_unique(F.col("graph"), F.col("paths"), p["obj1"], p["obj2"], axis)
+    own = held(own, pairs=pairs)
+    own = held(own, judged=F.transform("pairs", lambda p: F.struct(p["obj1"].alias("obj1"), p["obj2"].alias("obj2"), one(p, "vertical").alias("v"), one(p, "horizontal").alias("h"))))
+    types = lambda p: F.array_compact(F.array(F.when(p["v"] & p["h"], "full"), F.when(p["v"], "vertical"), F.when(p["h"], "horizontal")))
+    own = held(own, options=F.filter(F.transform("judged", lambda p: F.struct(p["obj1"].alias("obj1"), p["obj2"].alias("obj2"), types(p).alias("types"))), lambda p: F.size(p["types"]) > 0))
+    own = held(own.where(F.size("options") > 0), wanted=F.element_at(F.array(*map(F.lit, QUERY_TYPES)), pick("type", F.lit(len(QUERY_TYPES)), seed) + 1))
+    fitting = F.filter("options", lambda p: F.array_contains(p["types"], F.col("wanted")))
+    own = held(own, fitting=F.when(F.size(fitting) > 0, fitting).otherwise(F.col("options")))
+    own = held(own, question=F.get("fitting", pick("pair", F.size("fitting"), seed)))
+    kinds = F.col("question.types")
+    return own.select(*structures_.columns, "graph", "paths", "question.obj1", "question.obj2", F.when(F.array_contains(kinds, F.col("wanted")), F.col("wanted")).otherwise(F.get(kinds, pick("other", F.size(kinds), seed))).alias("query_type"))
+
+
+def instances(structures_: DataFrame, seed: int = 42) -> DataFrame:
+    """Dataset rows of structures that have a question: description, question, label, flags, renderings and reasoning."""
+    own = questions(structures_, seed)
     own = held(own, label=G.get_relation(F.col("paths"), F.col("obj1"), F.col("obj2"), F.col("query_type")), path=G.first_path(F.col("paths"), F.col("obj2"), F.col("obj1")))
     pool = F
     for k, name in enumerate(POOLS):
-        pool = pool.when(pick("words", F.lit(len(POOLS))) == k, X.describe(F.col("stated"), POOLS[name], pick("phrase", F.lit(1 << 20))))
-    own = held(own.where("label is not null"), description=pool)
+        pool = pool.when(pick("words", F.lit(len(POOLS)), seed) == k, X.describe(F.col("stated"), POOLS[name], pick("phrase", F.lit(1 << 20), seed)))
+    own = held(own, description=pool)
     direct = F.exists("graph", lambda e: (e["src"] == F.col("obj2")) & (e["dst"] == F.col("obj1")) & (component(e["dir"], F.col("query_type")) == F.col("label")))  # J19
     stages = F.size(F.filter("unique_at", lambda u: ~u))
     begun = F.transform(F.sequence(F.lit(1), F.size("stated")), lambda k: G.edges(F.slice("stated", F.lit(1), k)))

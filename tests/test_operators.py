@@ -115,6 +115,23 @@ def test_generated_rows_answer_themselves(spark):
         generate.add_relation([], "A", "B", "Above")
 
 
+def test_questions_follow_from_what_is_stated(spark):
+    stated = {
+        1: [("A", "B", "above"), ("C", "B", "above")],  # of A and C the column follows, the level does not
+        2: [("A", "B", "above"), ("C", "B", "below")],
+        3: [("A", "B", "left")],
+    }
+    cells = {i: [(k, *xy) for k, xy in sorted(generate.place(s).items())] for i, s in stated.items()}
+    made = spark.createDataFrame([(i + 10 * k, len(cells[i]), stated[i], cells[i]) for i in stated for k in range(40)], generate.STRUCTURES)
+    asked = {}
+    for r in generate.questions(made, 5).collect():
+        asked.setdefault(r.id % 10, set()).add((r.obj1, r.obj2, r.query_type))
+    both = {(a, b, t) for a, b in ("AB", "BC") for t in generate.QUERY_TYPES}
+    assert asked == {1: both | {("A", "C", "horizontal")}, 2: both | {("A", "C", t) for t in generate.QUERY_TYPES}, 3: {("A", "B", t) for t in generate.QUERY_TYPES}}
+    got = generate.instances(made, 5).where("id like '%1'").collect()
+    assert len(got) == 40 and {r.label for r in got if "A" in r.query_relation and "C" in r.query_relation} == {"same column"}
+
+
 def test_run_summaries(spark):
     rows = spark.createDataFrame([("base", "C", True), ("base", "C", False), ("tuned", "C", True), ("tuned", "D", True)], "run string, task string, correct boolean")
     summary = dashboard.run_summary(rows)
