@@ -20,12 +20,13 @@ from gridlogic.functions import text as X
 from gridlogic.functions.algebra import component
 from gridlogic.functions.vocab import BASE, INVERSE, POOLS, STEP
 from gridlogic.operators.hold import held
-from gridlogic.operators.sampling import quota_selection
+from gridlogic.operators.sampling import even_selection
 
 #: Shares of layouts by number of components.
 SHARES = {2: 0.025, 3: 0.075} | dict.fromkeys(range(4, 9), 0.18)
 #: Cells that a name is pushed on at most when its place is taken; candidates made for each row wanted.
 MOST_PUSHES, POOL = 100, 8
+TERMINOLOGIES = ("spatial", "cardinal", "clock", "spatial+cardinal", "spatial+clock", "cardinal+clock", "spatial+cardinal+clock")
 QUERY_TYPES = ("full", "vertical", "horizontal")
 
 
@@ -160,15 +161,40 @@ def questions(structures_: DataFrame, seed: int = 42) -> DataFrame:
     return own.select(*structures_.columns, "graph", "paths", "question.obj1", "question.obj2", F.when(F.array_contains(kinds, F.col("wanted")), F.col("wanted")).otherwise(F.get(kinds, pick("other", F.size(kinds), seed))).alias("query_type"))
 
 
-def instances(structures_: DataFrame, seed: int = 42) -> DataFrame:
-    """Dataset rows of structures that have a question: description, question, label, flags, renderings and reasoning."""
+def flagged(structures_: DataFrame, seed: int = 42) -> DataFrame:
+    """questions() with label, is_directly_stated (J19) and has_unique_layout, by which rows are balanced; without graph and paths, which are wide."""
     own = questions(structures_, seed)
-    own = held(own, label=G.get_relation(F.col("paths"), F.col("obj1"), F.col("obj2"), F.col("query_type")), path=G.first_path(F.col("paths"), F.col("obj2"), F.col("obj1")))
-    pool = F
-    for k, name in enumerate(POOLS):
-        pool = pool.when(pick("words", F.lit(len(POOLS)), seed) == k, X.describe(F.col("stated"), POOLS[name], pick("phrase", F.lit(1 << 20), seed)))
-    own = held(own, description=pool)
-    direct = F.exists("graph", lambda e: (e["src"] == F.col("obj2")) & (e["dst"] == F.col("obj1")) & (component(e["dir"], F.col("query_type")) == F.col("label")))  # J19
+    own = held(own, label=G.get_relation(F.col("paths"), F.col("obj1"), F.col("obj2"), F.col("query_type")))
+    direct = F.exists("graph", lambda e: (e["src"] == F.col("obj2")) & (e["dst"] == F.col("obj1")) & (component(e["dir"], F.col("query_type")) == F.col("label")))
+    return held(own, is_directly_stated=direct, has_unique_layout=G.layout_unique(F.col("graph"), F.col("paths"))).drop("graph", "paths")
+
+
+def describe(stated: Column, mode: Column, seed: Column) -> Column:
+    """Sentences whose phrases come from the pools that a mode joins by +; each is used once before one is used again."""
+    parts = F.split(mode, r"\+")
+
+    def said(r, i):
+        own, words = F.get(parts, F.pmod(seed + F.when(i < F.size(parts), i).otherwise(F.xxhash64(seed, i)), F.size(parts)).cast("int")), F
+        for name, pool in POOLS.items():
+            words = words.when(own == name, X.pick_phrase(r["dir"], pool, seed + i))
+        return F.concat(r["obj1"], F.lit(" is "), words, F.lit(" "), r["obj2"])
+
+    return F.concat(F.array_join(F.transform(stated, said), ". "), F.lit("."))
+
+
+def modes(number: Column) -> Column:
+    """A number's terminology, of those that the stated relations are enough for."""
+    n = F.size("stated")
+    return F.element_at(F.array(*map(F.lit, TERMINOLOGIES)), (F.pmod(number, F.when(n == 1, 3).when(n == 2, 6).otherwise(len(TERMINOLOGIES))) + 1).cast("int"))
+
+
+def instances(structures_: DataFrame, seed: int = 42) -> DataFrame:
+    """Dataset rows of structures, or of flagged() ones: description, question, label, flags, renderings and reasoning. A description's words are of
+    the mode in the column terminology, if there is one, else of one by hash."""
+    own = structures_ if "label" in structures_.columns else flagged(structures_, seed)
+    own = own if "terminology" in own.columns else own.withColumn("terminology", modes(pick("words", F.lit(1 << 20), seed)))
+    own = held(own, graph=G.edges(F.col("stated")), paths=G.shortest_paths(F.col("graph")))
+    own = held(own, path=G.first_path(F.col("paths"), F.col("obj2"), F.col("obj1")), description=describe(F.col("stated"), F.col("terminology"), pick("phrase", F.lit(1 << 20), seed)))
     stages = F.size(F.filter("unique_at", lambda u: ~u))
     begun = F.transform(F.sequence(F.lit(1), F.size("stated")), lambda k: G.edges(F.slice("stated", F.lit(1), k)))
     own = held(own, begun=begun)
@@ -177,7 +203,7 @@ def instances(structures_: DataFrame, seed: int = 42) -> DataFrame:
         F.concat(F.lit("id-"), F.col("id").cast("string")).alias("id"), "description", X.query_text(F.col("obj1"), F.col("obj2"), F.col("query_type")).alias("query_relation"), "query_type", "label",
         X.reasoning_chain(F.col("path")).alias("reasoning_steps"), G.relations_text(G.all_inferred(F.col("paths"))).alias("detailed_relations"),
         F.struct(*(L.render(F.col("layout"), v).alias(v) for v in ("simple", "grid", "panel"))).alias("ascii"), X.terminology(F.col("description")).alias("terminology_used"),
-        "num_components", F.size("stated").alias("num_relations"), direct.alias("is_directly_stated"), F.element_at("unique_at", -1).alias("has_unique_layout"), stages.alias("ambiguous_stages"),
+        "num_components", F.size("stated").alias("num_relations"), "is_directly_stated", "has_unique_layout", stages.alias("ambiguous_stages"),
     )
 
 
@@ -190,6 +216,9 @@ def quotas(n: int) -> dict[int, int]:
 
 
 def balanced_dataset(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """N rows in the shares of SHARES, from POOL candidates for each; fewer where candidates run out."""
-    chosen = quota_selection(structures(spark, n * POOL, seed), "num_components", quotas(n), "id", seed)
-    return instances(chosen, seed)
+    """N rows in the shares of SHARES, from POOL candidates for each; fewer where candidates run out. Candidates get their questions first, so
+    none is lost later. Of each number of components, the query types, direct or not and unique layout or not take turns, so that they are even as far
+    as candidates go; the terminologies take turns in what is chosen. Numbers of relations follow from the densities (N6) and have no quota."""
+    own = flagged(structures(spark, n * POOL, seed), seed)
+    chosen = even_selection(own, "num_components", quotas(n), ["query_type", "is_directly_stated", "has_unique_layout"], "id", seed)
+    return instances(chosen.withColumn("terminology", modes(F.col("__k") + F.col("num_components"))).drop("__k"), seed)

@@ -77,6 +77,15 @@ def quota_selection(candidates: DataFrame, stratum: str, quotas: dict, key: str,
     return ranked.join(F.broadcast(table), stratum).where("__k <= __quota").drop("__k", "__quota")
 
 
+def even_selection(candidates: DataFrame, stratum: str, quotas: dict, cells: list[str], key: str, seed: int) -> DataFrame:
+    """As quota_selection(), but the cells of a stratum (equal values of those columns) take turns, by hash, until the quota is full; so they are
+    even, and where one runs out, the others fill its place. __k is the turn, 1 on. No cell keeps more rows than the quota before turns are taken."""
+    table = candidates.sparkSession.createDataFrame([(k, int(v)) for k, v in quotas.items()], f"{stratum} {dict(candidates.dtypes)[stratum]}, __quota long")
+    order = [shuffled(F.col(key), seed), F.col(key)]
+    ranked = candidates.join(F.broadcast(table), stratum).withColumn("__turn", F.row_number().over(Window.partitionBy(stratum, *cells).orderBy(*order))).where("__turn <= __quota")
+    return ranked.withColumn("__k", F.row_number().over(Window.partitionBy(stratum).orderBy("__turn", *order))).where("__k <= __quota").drop("__turn", "__quota")
+
+
 def numeric_order(values: Column) -> list[Column]:
     """O2: numbers by value, then other text."""
     return [F.when(values.try_cast("double").isNull(), 1).otherwise(0), values.try_cast("double"), values]

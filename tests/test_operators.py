@@ -132,6 +132,24 @@ def test_questions_follow_from_what_is_stated(spark):
     assert len(got) == 40 and {r.label for r in got if "A" in r.query_relation and "C" in r.query_relation} == {"same column"}
 
 
+def test_cells_take_turns_until_the_quota_is_full(spark):
+    rows = spark.createDataFrame([(i, "x" if i < 90 else "y", "a" if i < 60 else "b" if i < 87 else "c") for i in range(100)], "id long, s string, cell string")
+    got = sampling.even_selection(rows, "s", {"x": 21, "y": 20, "z": 5}, ["cell"], "id", 1).collect()
+    per = {(s, c): sum(r.s == s and r.cell == c for r in got) for s in "xy" for c in "abc"}
+    assert per == {("x", "a"): 9, ("x", "b"): 9, ("x", "c"): 3, ("y", "a"): 0, ("y", "b"): 0, ("y", "c"): 10}
+    assert sorted(r["__k"] for r in got if r.s == "x") == list(range(1, 22))
+
+
+def test_a_balanced_dataset_has_all_rows_and_even_strata(spark):
+    got = generate.balanced_dataset(spark, 60, seed=42).collect()
+    by = lambda c, rows=got: {v: sum(r[c] == v for r in rows) for v in {r[c] for r in rows}}
+    assert by("num_components") == generate.quotas(60)
+    assert by("query_type").keys() == set(generate.QUERY_TYPES) and min(by("query_type").values()) >= 14
+    large = [r for r in got if r.num_components > 3]
+    assert by("terminology_used", large).keys() == set(generate.TERMINOLOGIES) and min(by("terminology_used", large).values()) >= 4
+    assert 0.3 < sum(r.is_directly_stated for r in got) / 60 < 0.7
+
+
 def test_run_summaries(spark):
     rows = spark.createDataFrame([("base", "C", True), ("base", "C", False), ("tuned", "C", True), ("tuned", "D", True)], "run string, task string, correct boolean")
     summary = dashboard.run_summary(rows)
