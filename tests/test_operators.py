@@ -150,6 +150,20 @@ def test_a_balanced_dataset_has_all_rows_and_even_strata(spark):
     assert 0.3 < sum(r.is_directly_stated for r in got) / 60 < 0.7
 
 
+def test_prompts_carry_the_sections_of_their_task():
+    for task, sections in training.SECTIONS.items():
+        full, short = training.system_prompt(task), training.system_prompt(task, detailed=False)
+        for key, texts in sections.items():
+            for text in [texts] if isinstance(texts, str) else texts:
+                assert text in full and (text in short or key in ("title", "objective"))
+    assert training.SECTIONS.keys() == training.TASKS.keys()
+    assert "If the two evidence sources disagree, follow the ASCII diagram." in training.system_prompt("F")
+    assert "Turn 2: Use the provided ground truth ASCII diagram" in training.system_prompt("H") and "you generated in Turn 1" in training.system_prompt("G")
+    assert "Direction Notes" not in training.system_prompt("B") and "Rendering" not in training.system_prompt("F") and "Rendering" in training.system_prompt("A")
+    assert "- panel:" in training.system_prompt("F", names=["panel"]) and "Formats" not in training.system_prompt("C")
+    assert "draw ASCII that matches" in training.system_prompt("E") and "before finalizing" in training.system_prompt("E", ascii_order="ascii_first")
+
+
 def test_run_summaries(spark):
     rows = spark.createDataFrame([("base", "C", True), ("base", "C", False), ("tuned", "C", True), ("tuned", "D", True)], "run string, task string, correct boolean")
     summary = dashboard.run_summary(rows)
