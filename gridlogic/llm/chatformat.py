@@ -72,12 +72,25 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     return grouped.select("conv_id", F.array_join(F.transform("units", lambda u: u["unit"]), "").alias("formatted"), spans.alias("loss_spans"), F.size("units").cast("long").alias("n_turns"))
 
 
+def trained_text(formatted: DataFrame) -> DataFrame:
+    """formatted (with turns, as parse() gives them) with trained: the text under loss_spans, joined; pieces of escaped units are unescaped, which the
+    assistant turn of the same place tells. Four bytes a code point let each piece be cut out without a scan from the start."""
+    marks = F.transform(F.filter("turns", lambda t: t["role"] == TRAINED_ROLE), lambda t: t["safe"])
+
+    def piece(wide, span, safe):
+        text = F.decode(F.substring(wide, (span["start"] * 4 + 1).cast("int"), ((span["end"] - span["start"]) * 4).cast("int")), "UTF-32")
+        return F.when(safe, unescaped(text)).otherwise(text)
+
+    # wide as a lambda's variable: made once a row, and not copied for each span as a column's bytes are
+    joined = F.transform(F.array(F.encode("formatted", "UTF-32")), lambda wide: F.array_join(F.zip_with("loss_spans", marks, lambda span, safe: piece(wide, span, safe)), ""))
+    return formatted.select("*", F.get(joined, F.lit(0)).alias("trained"))
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """What the parser reads back from the formatted text."""
-    back = formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"))
+    """What the parser reads back from the formatted text, and what the loss mask covers."""
+    back = formatted.select("conv_id", "formatted", "loss_spans", F.explode(F.array(parse(F.col("formatted")))).alias("turns"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    trained = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == TRAINED_ROLE), lambda t: t["text"]), "")
-    out = back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), trained.alias("trained"), F.length("formatted").cast("long").alias("formatted_chars"))
+    out = trained_text(back).select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), "trained", F.length("formatted").cast("long").alias("formatted_chars"))
     return out.select("conv_id", "n_turns", "turns_sha256", F.length("trained").cast("long").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"), "formatted_chars")
 
 

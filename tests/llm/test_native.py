@@ -128,6 +128,20 @@ def test_chat_formatting_reads_back_what_went_in(spark):
     assert C.format_conversations(turns(spark, [])).collect() == []
 
 
+def test_loss_digests_are_of_the_spans(spark):
+    rows = [(k, i, role, text) for k, role in enumerate(["user", "assistant", "b"]) for i, text in enumerate(NASTY)]
+    rows += [(9, i, "assistant" if i % 2 else "user", text) for i, text in enumerate(["é 😀", *NASTY])]
+    formatted = C.format_conversations(turns(spark, rows))
+    want = {k: "".join(text for c, _, role, text in rows if c == k and role == "assistant") for k in (0, 1, 2, 9)}
+    sums = lambda df: {r.conv_id: (r.loss_chars, r.loss_sha256) for r in C.digests(df).collect()}
+    right = {k: (len(v), hashlib.sha256(v.encode()).hexdigest()) for k, v in want.items()}
+    assert sums(formatted) == right
+    shifted = F.transform("loss_spans", lambda s: F.struct((s["start"] - 1).alias("start"), s["end"].alias("end")))
+    for wrong in (shifted, F.slice("loss_spans", 2, 1000), F.slice("loss_spans", 1, 0)):
+        got = sums(formatted.withColumn("loss_spans", wrong))
+        assert got[0] == right[0] and got[1] != right[1] and got[9] != right[9]
+
+
 def slow_dedup(rows):
     """First occurrences by (doc_id, null last), line."""
     places = {}
