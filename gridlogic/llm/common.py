@@ -11,26 +11,69 @@ from pyspark.sql import DataFrame, SparkSession
 from gridlogic.session import ship_package
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Bytes of a batch between Spark and Python, so that many long texts do not come at once; Spark's own default is 64 MB.
+ARROW_BYTES = 4 << 20
+
+
+def ready(spark: SparkSession) -> None:
+    """Executors can import this package, and Arrow batches are small unless the session says otherwise."""
     ship_package(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("64MB", f"{64 << 20}b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"__{name}").lower() in taken:
+        pass
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset and executors are threads of this process (tests), a temporary one."""
     if given := spark.conf.get("spark.checkpoint.dir", None):
         return given.rstrip("/")
     if (set_already := spark.sparkContext.getCheckpointDir()) is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridlogic-"))
         set_already = spark.sparkContext.getCheckpointDir()
     return str(set_already).rstrip("/")
 
 
+_made: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """The URI of a new folder in the shared one."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     path = re.sub("^file:/+", "/", path)
-    return f"file://{path}" if path.startswith("/") else path
+    _made.append(f"file://{path}" if path.startswith("/") else path)
+    return _made[-1]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of work_path() that no result is still to be read from."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all work folders of this process; results that were not written elsewhere can't be read after it."""
+    for path in list(_made):
+        remove(spark, path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

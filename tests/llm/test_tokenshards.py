@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,21 +18,32 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(T.vocabulary_path())
-    t.encode_special_tokens = True
     return lambda x: t.encode(x, add_special_tokens=False).ids
 
 
-def test_encoder_equals_the_tokenizer_on_whole_texts(plain):
+def test_encoder_equals_the_tokenizer_on_whole_texts(plain, monkeypatch):
     rng = random.Random(1)
-    pieces = ["word", "Ünd", "the,", "x.", " ", "  ", "\n", "\t", "12", "'s", "$$", "é", " ", "don't", "日本"]
-    texts = [x for x in TEXTS if x is not None] + ["".join(rng.choices(pieces, k=rng.randrange(40))) for _ in range(400)] + ["long " * 30_000]
-    encode = T.WordEncoder(T.vocabulary_path())
-    for known in (T.CACHE_WORDS, 5):
-        T.CACHE_WORDS, before = known, T.CACHE_WORDS
-        try:
-            assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == [plain(x) for x in texts]
-        finally:
-            T.CACHE_WORDS = before
+    pieces = ["word", "Ünd", "the,", "x.", " ", " ", " ", "  ", "\n", "\n", "\t", "12", "'s", "$$", "é", "\xa0", "don't", "日本", "a'", "...", "<|endoftext|>", "ŉ", "\x1c", "\r\n", "'", "ǅ.", "e\u0301,"]
+    texts = [x for x in TEXTS if x is not None] + ["".join(rng.choices(pieces, k=rng.randrange(40))) for _ in range(3000)] + ["long " * 30_000, "x" * 5_000, "\n\n" * 900 + "end"]
+    want = [plain(x) for x in texts]
+    for known in (T.STORE_WORDS, 5):
+        monkeypatch.setattr(T, "STORE_WORDS", known)
+        encode = T.WordEncoder(T.vocabulary_path())
+        for at in (0, 700, 0):
+            ids, starts = encode(pa.array(texts[at:], T.TEXT))
+            assert [ids[i:j].tolist() for i, j in zip(starts, starts[1:])] == want[at:]
+        assert len(encode.words) == len(encode.ids) <= known
+    encode.by_words = False  # a tokenizer that doesn't cut at spaces
+    ids, starts = encode(pa.array(texts[:9], T.TEXT))
+    assert [ids[i:j].tolist() for i, j in zip(starts, starts[1:])] == want[:9]
+
+
+def test_texts_are_taken_by_bytes():
+    rows = [(i, None if i % 7 == 3 else "é" * (i % 5)) for i in range(50)] + [(99, "y" * 300)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([r[1] for r in part], pa.string())], names=["doc_id", "text"]) for part in (rows[:20], rows[:0], rows[20:])]
+    got = [(ids, texts.to_pylist()) for ids, texts in T._slices(batches, 40)]
+    assert [(i, t) for ids, texts in got for i, t in zip(ids, texts, strict=True)] == [(i, t or "") for i, t in rows]
+    assert all(sum(len(t.encode()) for t in texts) <= 40 or len(texts) == 1 for _, texts in got) and len(got) < 12
 
 
 def test_records_come_back_and_damage_is_seen(plain):
