@@ -1,32 +1,30 @@
 """Language identification by compression: the language whose dictionary makes a text smallest.
 
-For each language, a bounded sample of labelled texts is cut to pieces and used as a raw-content zstandard dictionary. A text is encoded
-in chunks against each dictionary (so that a long text does not become its own dictionary) and the sizes of all chunks are added up; the
-smallest sum wins. The score is the margin to the runner-up as a share of the runner-up's size; a reject threshold applies to it.
+For each language, the words that a bounded sample of labelled rows uses most, over their whole texts, make a raw-content zstandard dictionary, the most
+frequent last, where a match costs least. A text is lower-cased, its white space made single spaces, and encoded in chunks against each dictionary (so that a
+long text does not become its own dictionary); the sizes of all chunks are added up and the smallest sum wins, by the same rule at any length. The score is the margin to the runner-up
+as a share of the runner-up's size; a reject threshold applies to it.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
-from operator import or_
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlogic.llm.common import table
+from gridlogic.llm.common import checkpointed, quoted, ready, table, unused
 
-#: Labelled texts per language that are learned from at most, and the characters taken of each: the bound of the sample.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 600
-#: Bytes of text compressed at once.
-CHUNK = 2048
-#: Texts of fewer bytes are also compared with each language's most frequent words.
-SHORT = 400
-#: In the pipeline, texts with a smaller margin go.
-MIN_SCORE = 0.001
+#: Labelled documents per language that are learned from at most: the bound of the sample. Their texts are read whole.
+SAMPLE_DOCS = 400
+#: Bytes of a dictionary, and of the longest word in it; languages at most, as each worker holds a dictionary for each.
+DICT_BYTES, WORD_BYTES, MOST_LANGS = 16_000, 64, 1_000
+#: Bytes of text compressed at once, and zstandard's level.
+CHUNK, LEVEL = 2048, 6
+#: Texts with a smaller margin are rejected.
+MIN_SCORE = 0.01
 UNKNOWN = "und"
 
 
@@ -35,36 +33,43 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
-    """Language: dictionary content, of sample_docs labelled documents per language chosen by a hash of their doc_id, sample_chars of each.
+def sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """(doc_id, lang): of each language the sample_docs doc_ids with the smallest hashes, however many rows each has.
 
-    Languages are counted first; the hash threshold that follows from a count leaves little more than the sample, of which the smallest
-    hashes are taken. Ids and languages alone are read for that, and only then the chosen texts. What the driver gets is bounded by
-    sample_docs * sample_chars per language. Rows without doc_id, lang or text teach nothing.
+    The distinct doc_ids of a language are estimated first; the hash threshold that follows from that leaves little more than the sample. Ids and
+    languages alone are read. Rows without doc_id, lang or text teach nothing.
     """
-    labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return {}
+    labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
+    sizes = checkpointed(labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")))
+    if sizes.count() > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    near = [(F.col("lang") == lang) & (share < (2 * sample_docs + 20) / n) for lang, n in counts.items()]
+    near = labelled.join(F.broadcast(sizes), "lang").where(share < (2 * sample_docs + 20) / F.col("n")).select("doc_id", "lang").distinct()
     order = Window.partitionBy("lang").orderBy(share, "doc_id")
-    chosen = labelled.where(reduce(or_, near)).select("doc_id", "lang").distinct().withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= sample_docs)
-    picked = {(r.doc_id, r.lang) for r in chosen.collect()}
-    texts = labelled.where(F.col("doc_id").isin(sorted({i for i, _ in picked})) & F.col("text").isNotNull())
-    rows = texts.groupBy("doc_id", "lang").agg(F.min(F.substring("text", 1, sample_chars)).alias("text")).collect()
-    out: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.doc_id)):
-        if (r.doc_id, r.lang) in picked:
-            out.setdefault(r.lang, []).append(r.text)
-    return {k: "\n".join(v).encode("utf-8", "surrogatepass") for k, v in sorted(out.items()) if any(v)}
-
-
-def frequent_words(content: bytes, size: int = 3000) -> bytes:
-    """The most frequent words of a dictionary, the most frequent last, where a match costs least."""
-    counts = Counter(content.split())
+    return near.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= sample_docs).drop("__rank")
+
+
+def dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
+    """Language: dictionary content, from the words of sample()'s documents, each text once (of differing texts with one doc_id the least).
+
+    Words are counted by the cluster; what the driver gets is at most dict_bytes / 2 words per language, of at most MOST_LANGS.
+    """
+    chosen = checkpointed(sample(docs, sample_docs))
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+    own = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    words = own.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where((F.col("word") != "") & (F.octet_length("word") <= WORD_BYTES))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    ranked = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= dict_bytes // 2)
+    found: dict[str, list[bytes]] = {}
+    for r in ranked.orderBy("lang", "k").select("lang", "word").collect():
+        found.setdefault(r.lang, []).append(r.word.encode("utf-8", "surrogatepass"))
+    return {lang: dictionary(ordered, dict_bytes) for lang, ordered in found.items()}
+
+
+def dictionary(words: list[bytes], size: int) -> bytes:
+    """Words, the most frequent first, as far as size goes, turned round."""
     out, total = [], 0
-    for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+    for w in words:
         total += len(w) + 1
         if total > size:
             break
@@ -73,17 +78,15 @@ def frequent_words(content: bytes, size: int = 3000) -> bytes:
 
 
 class Classifier:
-    """contents: as dictionaries() returns; letters count in lower case, in them and in what is classified."""
+    """contents: as dictionaries() returns."""
 
     def __init__(self, contents: dict[str, bytes]):
-        self.langs = sorted(contents)
-        self.whole, self.short = [], []
+        self.langs, self.compressors = sorted(contents), []
         plain = {"format": zstandard.FORMAT_ZSTD1_MAGICLESS, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         for lang in self.langs:
-            content = contents[lang].decode("utf-8", "replace").lower().encode()
-            for to, data, level, most in ((self.whole, content, 3, CHUNK), (self.short, frequent_words(content), 22, SHORT)):
-                params = zstandard.ZstdCompressionParameters.from_level(level, source_size=most, dict_size=len(data), **plain, **({"min_match": 3} if to is self.short else {}))
-                to.append(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params))
+            data = contents[lang]
+            params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=CHUNK, dict_size=len(data), **plain)
+            self.compressors.append(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params))
 
     @staticmethod
     def chunks(data: bytes) -> list[bytes]:
@@ -97,12 +100,8 @@ class Classifier:
         return [*out, data[at:]]
 
     def sizes(self, data: bytes) -> list[int]:
-        sums = [sum(len(c.compress(p)) for p in parts) for parts in (self.chunks(data),) for c in self.whole]
-        if len(data) < SHORT:  # few words: those that a language uses most decide
-            words = data.split()
-            parts = [b" " + b" ".join(words) + b" ", *(b" " + b" ".join(words[i : i + 6]) + b" " for i in range(0, len(words), 3))]
-            sums = [n + sum(len(c.compress(p)) for p in parts) for n, c in zip(sums, self.short, strict=True)]
-        return sums
+        parts = self.chunks(data)
+        return [sum(len(c.compress(p)) for p in parts) for c in self.compressors]
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         """(language, score); no letter or nothing learned: und, 0. Equal sizes: the first language by name, score 0."""
@@ -110,34 +109,48 @@ class Classifier:
             return UNKNOWN, 0.0
         if len(self.langs) == 1:
             return self.langs[0], 1.0
-        sizes = self.sizes(text.lower().encode("utf-8", "surrogatepass"))
+        sizes = self.sizes(b" %b " % b" ".join(text.lower().encode("utf-8", "surrogatepass").split()))
         (best, i), (second, _) = sorted((n, i) for i, n in enumerate(sizes))[:2]
         return self.langs[i], (second - best) / second
 
 
-def _classifier(contents: dict[str, bytes], text_column: int):
+def _classifier(contents: dict[str, bytes], text_column: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(contents)
         for batch in batches:
             found = [classify(x.as_py()) for x in batch.column(text_column)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*batch.schema.names, "__pred", "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=names)
 
     return run
 
 
-def classify(docs: DataFrame, contents: dict[str, bytes]) -> DataFrame:
-    """docs with __pred and __score; one pass without a shuffle, one row for each row, in which only the text is looked at."""
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_classifier(contents, docs.columns.index("text")), f"{schema}, __pred string, __score double")
+def classify(docs: DataFrame, contents: dict[str, bytes], pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with two more columns, the language and its score (by the names given, which docs must not have: ValueError).
+
+    One pass without a shuffle, one row for each row, in which only the text is looked at. A null or empty text, or one without a letter, is und with score 0; so is
+    any if nothing was learned; repeated rows are judged alike; an empty table gives an empty one. A text is held whole, in one worker.
+    """
+    if {pred.lower(), score.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column {pred} or {score}")
+    ready(docs.sparkSession)
+    schema = ", ".join([*(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema), f"{quoted(pred)} string, {quoted(score)} double"])
+    return docs.mapInArrow(_classifier(contents, docs.columns.index("text"), [*docs.columns, pred, score]), schema)
+
+
+def rejected(pred: Column, score: Column, min_score: float = MIN_SCORE) -> Column:
+    """No letter, or a margin under min_score."""
+    return (pred == UNKNOWN) | (score < min_score)
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs without those that the classifier rejects: no letter, or a margin under min_score. All columns stay as they are."""
-    return classify(docs, dictionaries(docs)).where((F.col("__pred") != UNKNOWN) & (F.col("__score") >= min_score)).drop("__pred", "__score")
+    """docs without those that the classifier rejects. All columns stay as they are, whatever their names; null texts go, repeated rows stay or go together."""
+    pred, score = unused(docs, "pred"), unused(docs, "score")
+    found = classify(docs, dictionaries(docs), pred, score)
+    return found.where(~rejected(F.col(pred), F.col(score), min_score)).drop(pred, score)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op7: the language of all of `documents`."""
+    """op7: the language of all of `documents`, and whether a filter would reject it."""
     docs = table(spark, sf_dir, "documents")
     found = classify(docs.select("doc_id", "text"), dictionaries(docs))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__pred").alias("lang_pred"), F.col("__score").alias("score"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", rejected(F.col("lang_pred"), F.col("score")).alias("rejected"))
