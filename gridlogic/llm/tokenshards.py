@@ -37,7 +37,7 @@ HEAD, TAIL = struct.Struct("<QI"), struct.Struct("<I")
 #: Words whose ids a worker remembers, in Arrow arrays of about 20 bytes a word, and the bytes of the longest of them.
 STORE_WORDS, STORE_BYTES = 300_000, 64
 #: Bytes of text that are encoded together; a longer text comes alone.
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 6_000_000
 #: Words that go to the tokenizer as one string.
 JOINED = 1000
 #: White space in the widest sense: a space between two characters that are none of these is always a word's start.
