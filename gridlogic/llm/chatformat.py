@@ -3,9 +3,10 @@
     conversation := unit*
     unit := ("### " | "###\\ ") role ": " text "</turn>" line-feed
 
-Each unit is rendered plain first and reparsed; if role and text do not come back, or the text holds a control string, it is rendered again
-escaped, which its mark (###, backslash, space) tells: backslashes are doubled and a backslash is put inside "</turn>", "###" and,
-in the role, ": ". No control string is left in an escaped unit, so units can be parsed one by one after cutting at "</turn>". DataFrame functions only.
+Each unit is rendered plain first and reparsed. If role and text do not come back, or hold a control string, it is rendered again escaped, which its mark (###,
+backslash, space) tells, and reparsed again; text that does not come back from that either is an error. Escaping doubles backslashes and puts one into "</turn>", between
+any two number signs and, in the role, into ": ". No control string is left in an escaped unit, so units can be parsed one by one after cutting at "</turn>".
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -19,9 +20,14 @@ PLAIN, ESCAPED, END = "### ", "###\\ ", "</turn>"
 TRAINED_ROLE = "assistant"
 
 
+#: What escaping replaces, in order; in a role also the last. The second time, the number signs that met when pairs were parted.
+ESCAPES = (("\\", "\\\\"), (END, "<\\/turn>"), ("##", "#\\#"), ("##", "#\\#"))
+ROLE_ESCAPE = (": ", ":\\ ")
+
+
 def escaped(text: Column, role: bool = False) -> Column:
     out = text
-    for plain, safe in (("\\", "\\\\"), (END, "<\\/turn>"), ("###", "#\\##"), *([(": ", ":\\ ")] if role else [])):
+    for plain, safe in (*ESCAPES, *([ROLE_ESCAPE] if role else [])):
         out = F.replace(out, F.lit(plain), F.lit(safe))
     return out
 
@@ -46,11 +52,18 @@ def parse(formatted: Column) -> Column:
 
 
 def render(role: Column, text: Column) -> Column:
-    """A turn's unit: plain if that reparses to role and text, else escaped."""
-    plain = F.concat(F.lit(PLAIN), role, F.lit(": "), text, F.lit(END + "\n"))
-    back = parse(plain)
-    holds = (F.size(back) == 1) & (back[0]["role"] == role) & (back[0]["text"] == text) & ~F.contains(text, F.lit("###"))
-    return F.when(holds, plain).otherwise(F.concat(F.lit(ESCAPED), escaped(role, role=True), F.lit(": "), escaped(text), F.lit(END + "\n")))
+    """A turn's unit: plain if that reparses to role and text and neither holds a control string, else escaped; an error if that doesn't reparse to them."""
+
+    def unit(mark, role_, text_):
+        return F.concat(F.lit(mark), role_, F.lit(": "), text_, F.lit(END + "\n"))
+
+    def returns(unit_):
+        back = parse(unit_)
+        return (F.size(back) == 1) & (back[0]["role"] == role) & (back[0]["text"] == text)
+
+    plain, safe = unit(PLAIN, role, text), unit(ESCAPED, escaped(role, role=True), escaped(text))
+    free = ~F.contains(text, F.lit("###")) & ~F.contains(role, F.lit("###"))
+    return F.when(free & returns(plain), plain).when(returns(safe), safe).otherwise(F.raise_error(F.lit("a turn does not come back from its escaped form")))
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
@@ -111,9 +124,9 @@ WITH turns AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), units AS (
-  SELECT *, CASE WHEN contains(role || ': ' || text, '</turn>') OR contains(text, '###') OR contains(role, ': ')
-    THEN 15 + length(replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '###', '#\##'), ': ', ':\ '))
-            + length(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '###', '#\##'))
+  SELECT *, CASE WHEN contains(role || ': ' || text, '</turn>') OR contains(text, '###') OR contains(role, '###') OR contains(role, ': ')
+    THEN 15 + length(replace(replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#'), '##', '#\#'), ': ', ':\ '))
+            + length(replace(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#'), '##', '#\#'))
     ELSE 14 + length(role) + length(text) END AS chars
   FROM turns
 ), joined AS (

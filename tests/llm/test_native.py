@@ -104,11 +104,11 @@ def turns(spark, rows):
     return spark.createDataFrame([(c, t, r, x, "f") for c, t, r, x in rows], "conv_id long, turn long, role string, text string, formatted string")
 
 
-NASTY = ["", "hi", "</turn>", "\\</turn>\n", "### user: x</turn>", "a: b", "\\", "\\\\", "<", "</turn", "n>", "###\\ x", "### ", "#", "\n", C.HARD, "日本 " * 3, "<\\/turn>", "x" * 50_000]
+NASTY = ["", "hi", "</turn>", "\\</turn>\n", "### user: x</turn>", "a: b", "\\", "\\\\", "<", "</turn", "n>", "###\\ x", "### ", "#", "\n", *("#" * n for n in range(2, 10)), "a ### b #### c", "\\" + "#" * 7 + "\\", "#\\###\\##", C.HARD, "日本 " * 3, "<\\/turn>", "x" * 50_000]
 
 
 def test_chat_formatting_reads_back_what_went_in(spark):
-    rows = [(k, i, role, text) for k, role in enumerate(["user", "assistant", "a: b", "</turn>", "x\\", "", "### "]) for i, text in enumerate(NASTY)]
+    rows = [(k, i, role, text) for k, role in enumerate(["user", "assistant", "a: b", "</turn>", "x\\", "", "### ", "r###", "#####: "]) for i, text in enumerate(NASTY)]
     rows += [(90, 1, "assistant", None), (90, 0, None, "q"), (90, 1, "assistant", None), (None, None, "user", "x"), (None, 2, "assistant", "y")]
     formatted = C.format_conversations(turns(spark, rows))
     back = {r.conv_id: r for r in formatted.select("*", C.parse(F.col("formatted")).alias("back")).collect()}
@@ -119,6 +119,9 @@ def test_chat_formatting_reads_back_what_went_in(spark):
     for c, own in groups.items():
         got = back[c]
         assert [(b.role, b.text) for b in got.back] == [x[1:] for x in sorted(own)]
+        for unit in got.formatted.split("</turn>")[:-1]:  # control strings mark turns and stand nowhere else
+            unit = unit.removeprefix("\n")
+            assert unit.startswith("###") and unit.count("###") == 1
         spans = [got.formatted[s.start : s.end] for s in got.loss_spans]
         assert len(spans) == sum(x[1] == "assistant" for x in own)
         plain = [b.text for b in got.back if b.role == "assistant" and not b.safe]
