@@ -10,11 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlogic.llm.common import table
+from gridlogic.llm.common import checkpointed, join_dealt, table
 
 WINDOW = 3
-#: A window's rows are dealt over so many tasks when they meet its first occurrence.
-SALTS = 8
 
 
 def windows(docs: DataFrame) -> DataFrame:
@@ -29,14 +27,13 @@ def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, __text, starts): the sorted first lines of the windows that occur earlier, of the documents that have some.
 
     The first occurrence of a window is a minimum, of which each task makes its part before the shuffle; only windows with more than one
-    occurrence are joined back, salted, so that a window of a third of all documents is dealt over many tasks.
+    occurrence are joined back, and those of a great many are dealt over tasks by their count.
     """
     found = windows(docs)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__text", "pos")
-    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = first.select("h1", "h2", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "__text", "pos"), F.lit(SALTS)).cast("int"))
-    later = salted.join(first, ["h1", "h2", "salt"]).where(place > F.col("first"))
+    first = checkpointed(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = first.agg(F.sum("n")).first()[0] or 0
+    later = join_dealt(found, first, ["h1", "h2"], total, ["doc_id", "pos"]).where(place > F.col("first"))
     return later.groupBy("doc_id", "__text").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
 
 

@@ -41,7 +41,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from gridlogic.llm.common import table, work_path
+from gridlogic.llm.common import checkpointed, join_dealt, ready, table, work_path
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, refers_to string, payload_length long, payload binary"
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
@@ -73,14 +73,25 @@ def record(row: dict) -> bytes:
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def manifest(store: fs.FileSystem, root: str) -> list | None:
+    """[name, size] of each committed file; None without a manifest."""
+    found = store.get_file_info([f"{root}/_manifest.json"])[0]
+    if found.type != fs.FileType.File:
+        return None
+    with store.open_input_stream(found.path) as f:
+        return json.loads(f.read())
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[tuple[str, int]]
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
+        store, root = fs.FileSystem.from_uri(path)
+        self.replaced = (manifest(store, root) or []) if overwrite else []
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = fs.FileSystem.from_uri(self.path)
@@ -103,10 +114,15 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
+        """The manifest names the files of earlier appends too; it is the one thing that tells which files count."""
         store, root = fs.FileSystem.from_uri(self.path)
         store.create_dir(root)
+        earlier = [] if self.overwrite else manifest(store, root) or []
         with store.open_output_stream(f"{root}/_manifest.json") as f:
-            f.write(json.dumps([list(x) for m in messages if m for x in m.files]).encode())
+            f.write(json.dumps([*earlier, *(list(x) for m in messages if m for x in m.files)]).encode())
+        if self.overwrite:
+            for name, _ in self.replaced:
+                store.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list[Written | None]) -> None:
         store, root = fs.FileSystem.from_uri(self.path)
@@ -224,11 +240,7 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         store, root = fs.FileSystem.from_uri(self.path)
-        found = store.get_file_info([f"{root}/_manifest.json"])[0]
-        if found.type == fs.FileType.File:
-            with store.open_input_stream(found.path) as f:
-                files = json.loads(f.read())
-        else:
+        if (files := manifest(store, root)) is None:
             info = store.get_file_info(fs.FileSelector(root, recursive=True))
             files = [(x.path[len(root) :].lstrip("/"), x.size) for x in info if x.is_file and re.search(r"\.warc(\.gz)?$", x.path)]
         out, total = [], 0
@@ -310,25 +322,23 @@ class WarcDataSource(DataSource):
     def writer(self, schema, overwrite: bool) -> WarcWriter:
         store, root = fs.FileSystem.from_uri(self.options["path"])
         store.create_dir(root)
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def read_warc(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Records of SCHEMA under a URI; filters on header columns reach the reader."""
+    ready(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
     return spark.read.format("warc").options(**options).load(path)
 
 
-def write_warc(rows: DataFrame, path: str) -> None:
-    """Write rows of SCHEMA's columns (others are ignored) to a new folder."""
+def write_warc(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Write rows of SCHEMA's columns (others are ignored) to a folder: append to what it holds, or overwrite that. One writer at a time."""
+    ready(rows.sparkSession)
     rows.sparkSession.dataSource.register(WarcDataSource)
     names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
-    rows.select(*names).write.format("warc").mode("append").option("path", path).save()
-
-
-#: A page's rows are dealt over so many tasks when they meet the first of their payload.
-SALTS = 8
+    rows.select(*names).write.format("warc").mode(mode).option("path", path).save()
 
 
 def page_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -337,14 +347,12 @@ def page_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     A null html is an empty payload, a null url leaves its header out, a null page_id comes after all others (a group of nulls alone is all responses);
     rows with a group's smallest page_id are responses even if repeated. The first of a payload is a minimum, made in part before the shuffle, and
-    only payloads that occur twice are joined, salted.
+    payloads of a great many pages are dealt over tasks by their count.
     """
     own = pages.select("page_id", "url", F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     own = own.withColumn("sha1", F.sha1("payload")).withColumn("payload_length", F.octet_length("payload").cast("long"))
-    first = own.where(F.col("payload_length") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
-    first = first.select(F.col("sha1").alias("sha"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = own.withColumn("own_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    both = salted.join(first, (F.col("sha1") == F.col("sha")) & (F.col("own_salt") == F.col("salt")), "left")
+    first = checkpointed(own.where(F.col("payload_length") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null"))
+    both = join_dealt(own, first, ["sha1"], first.agg(F.sum("n")).first()[0] or 0, ["page_id", "url"], "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return both.select(
         F.when(again, "revisit").otherwise("response").alias("record_type"),
@@ -363,6 +371,7 @@ def page_urn(page_id):
 
 
 def page_of(urn):
+    """The page_id that a URN was made of; null if that was none or no integer."""
     return F.regexp_extract(urn, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
 
 
@@ -378,7 +387,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: all of `pages` written as WARC and read back."""
     path = work_path(spark, "warc")
     write_warc(page_records(table(spark, sf_dir, "pages")), path)
-    back = read_warc(spark, path)
+    back = read_warc(spark, path).where(F.col("record_type").isin("response", "revisit"))  # tested by the reader, on headers
     return back.select(
         page_of(F.col("record_id")).alias("page_id"),
         F.col("payload_length").alias("payload_bytes"),

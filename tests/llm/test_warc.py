@@ -5,6 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
+from gridlogic.llm import common
 from gridlogic.llm import warc as W
 
 PAGES = "page_id long, url string, html string, payload string"
@@ -36,6 +37,7 @@ def read_back(spark, path):
 ROWS = [
     (5, "http://a/é", "<p>same</p>", "p"), (3, None, "<p>same</p>", "p"), (9, "http://b\r\nX: y", "", "p"), (8, "u", None, "p"), (None, "u", "<p>same</p>", "p"),
     (7, "u", "x" * 3_000_000, "p"), (None, "v", "alone", "p"), (None, "v", "alone", "p"), (3, "u", "<p>same</p>", "p"), (11, "u", "WARC/1.1\r\n\r\n\r\n", "p"), (12, "u", "日本\n" * 5000, "p"),
+    (20, "http://c", "long enough", "p"), (21, "http://d", "abc", "p"), (22, "http://c", "long enough", "p"),
 ]
 
 
@@ -49,6 +51,24 @@ def test_pages_come_back(spark, tmp_path):
     assert W.read_warc(spark, f"file://{tmp_path}/none").collect() == []
 
 
+def test_appends_stay_and_overwriting_replaces(spark, tmp_path):
+    path = f"file://{tmp_path}/two"
+    halves = [spark.createDataFrame(part, PAGES) for part in (ROWS[:4], ROWS[4:])]
+    for half in halves:
+        W.write_warc(W.page_records(half), path)
+    assert read_back(spark, path) == sorted([*expected(ROWS[:4]), *expected(ROWS[4:])], key=str)
+    W.write_warc(W.page_records(halves[0]), path, mode="overwrite")
+    assert read_back(spark, path) == expected(ROWS[:4])
+    assert len(list((tmp_path / "two").glob("*.warc.gz"))) == len(W.manifest(W.fs.LocalFileSystem(), str(tmp_path / "two")))
+
+
+def test_a_payload_of_half_the_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rows = [(i, f"u{i % 3}", "same" if i % 2 else f"own {i}", "p") for i in range(600)]
+    W.write_warc(W.page_records(spark.createDataFrame(rows, PAGES)), f"file://{tmp_path}/hot")
+    assert read_back(spark, f"file://{tmp_path}/hot") == expected(rows)
+
+
 def test_filters_reach_the_reader_and_payloads_stay_packed(spark, tmp_path):
     path = f"file://{tmp_path}/b"
     W.write_warc(W.page_records(spark.createDataFrame(ROWS, PAGES)), path)
@@ -58,7 +78,9 @@ def test_filters_reach_the_reader_and_payloads_stay_packed(spark, tmp_path):
     revisits = back.where("record_type = 'revisit'").collect()
     assert len(revisits) == sum(x[3] == "revisit" for x in expected(ROWS)) and all(r.payload is None for r in revisits)
     some = back.where("record_type in ('response') and target_uri like 'http%' and payload_length > 3")
-    assert {r.record_id for r in some.collect()} == set()
+    assert {r.record_id for r in some.collect()} == {"<urn:page:20>"}
+    either = back.where("record_type = 'revisit' or payload_length = 3")  # cannot be pushed
+    assert {r.record_id for r in either.where("target_uri like 'http://%'").collect()} == {"<urn:page:5>", "<urn:page:9>", "<urn:page:21>", "<urn:page:22>"}
     assert back.where("target_uri is null").count() == 1
     lengths = {r.record_id: r.payload_length for r in W.read_warc(spark, path, payload="false").collect()}
     assert lengths["<urn:page:7>"] == 3_000_000
