@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlogic.llm.common import checkpointed, table
+from gridlogic.llm.common import checkpointed, join_dealt, quoted, ready, table, unused
 
 SHINGLE, SEED = 3, 42
 #: Fingerprints in a bucket that are still compared in pairs.
@@ -44,14 +44,15 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.array([fingerprint(x.as_py()) for x in batch.column(2)], dtype="<u8").view("<i8")
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["doc_id", "__text", "fp"])
+        found = np.array([fingerprint(x.as_py()) for x in batch.column("text")], dtype="<u8").view("<i8")
+        yield batch.drop_columns(["text"]).append_column("fp", pa.array(found))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, __text: hash of the text, fp: the fingerprint's bits as a long), a row for each row of docs."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("__text"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(_fingerprints, "doc_id long, __text long, fp long")
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, __text: hash of the text, fp: the fingerprint's bits as a long) and columns of type long that are named too, a row for each row of docs."""
+    ready(docs.sparkSession)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("__text"), *more, F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(_fingerprints, ", ".join(["doc_id long, __text long", *(f"{c} long" for c in more), "fp long"]))
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -66,9 +67,9 @@ def variants(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     """(u, v): links among distinct fingerprints, which join all that are two or fewer bits apart (in dense buckets through the least of a group)."""
-    bucket = Window.partitionBy("key")
-    met = variants(fps).select("*", F.count(F.lit(1)).over(bucket).alias("n"), F.max("side").over(bucket).alias("most"), F.min("side").over(bucket).alias("least"))
-    met = checkpointed(met.where((F.col("n") > 1) & ((F.col("tag") < 2) | (F.col("least") < F.col("most")))).select("tag", "key", "side", "fp", "n"))
+    sizes = variants(fps).groupBy("tag", "key").agg(F.count(F.lit(1)).alias("n"), F.max("side").alias("most"), F.min("side").alias("least"))
+    sizes = checkpointed(sizes.where((F.col("n") > 1) & ((F.col("tag") < 2) | (F.col("least") < F.col("most")))).select("key", "n"))
+    met = checkpointed(join_dealt(variants(fps), sizes, ["key"], sizes.agg(F.sum("n")).first()[0] or 0, ["fp"]).select("tag", "key", "side", "fp", "n"))
     few, many = met.where(F.col("n") <= dense), met.where(F.col("n") > dense)
     a, b = few.select("key", F.col("side").alias("s"), F.col("fp").alias("u")), few.select("key", F.col("side").alias("t"), F.col("fp").alias("v"), "tag")
     distinct_halves = F.when(F.col("tag") < 2, F.col("u") < F.col("v")).otherwise(F.col("s") < F.col("t"))
@@ -88,30 +89,38 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): for each node of the edges (u, v), the least node that it reaches; by alternately contracting large and small stars.
 
-    Each round is joins and minima over links, written to the checkpoint folder; only their count and a checksum come to the driver.
+    Each round is joins and minima over links, written to the checkpoint folder; only their count and a checksum come to the driver. The links of a node that
+    many have become stars of are dealt over tasks.
     """
     own = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    last = None
+    n, last = own.count(), None
     while True:
         both = own.unionByName(own.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(smallest.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        own = checkpointed(small)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_dealt(both.where("v > u"), least, ["u"], 2 * n, ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        smallest = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_dealt(large, smallest, ["u"], n, ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        own = checkpointed(small.unionByName(smallest.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         now = own.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             return own.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        last = now
+        n, last = now[0], now
 
 
 def groups(found: DataFrame, dense: int = DENSE) -> DataFrame:
-    """(fp, root, n, component_id) for each distinct fingerprint of found (fingerprints(), checkpointed): its component's least fingerprint, rows and smallest doc_id."""
-    fps = checkpointed(found.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    """(fp, root, copies, n, component_id) for each distinct fingerprint of found (fingerprints(), checkpointed): its component's least fingerprint, its own rows,
+    its component's, and that one's smallest doc_id."""
+    fps = checkpointed(found.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     roots = components(links(fps.select("fp"), dense))
-    rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "rep", "n")
-    whole = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("n").alias("n"))
-    return rooted.select("fp", "root").join(whole, "root")
+    rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "rep", "copies")
+    whole = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("n"), F.count(F.lit(1)).alias("fps"))
+    return join_dealt(rooted.select("fp", "root", "copies"), whole, ["root"], fps.count(), ["fp"], n="fps").drop("fps")
+
+
+def with_groups(found: DataFrame, dense: int = DENSE) -> DataFrame:
+    """found with root and component_id of those that share a component with another row, else nulls; the rows of one fingerprint are dealt by their number."""
+    shared = checkpointed(groups(found, dense).where("n > 1").select("fp", "root", "copies", "component_id"))
+    return join_dealt(found, shared, ["fp"], shared.agg(F.sum("copies")).first()[0] or 0, ["doc_id"], "left", n="copies")
 
 
 def near_duplicates(docs: DataFrame, dense: int = DENSE) -> DataFrame:
@@ -121,27 +130,32 @@ def near_duplicates(docs: DataFrame, dense: int = DENSE) -> DataFrame:
     repeated rows link as equal texts do. Other columns are ignored.
     """
     found = checkpointed(fingerprints(docs).select("doc_id", "fp"))
-    shared = groups(found, dense).where("n > 1").select(F.col("fp").alias("__fp"), "component_id")
-    both = found.join(shared, found["fp"] == shared["__fp"], "left")
-    component = F.when(F.col("__fp").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return both.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
+    component = F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    return with_groups(found, dense).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of a row's columns, but for maps and variants, which have none."""
+    plain = [F.col(quoted(f.name)) for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    return F.xxhash64(*plain)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each component of docs, all columns as they are: that with the smallest doc_id (null last)."""
-    found = checkpointed(fingerprints(docs))
-    shared = groups(found).where("n > 1").select(F.col("fp").alias("__fp"), "root")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__text")
-    rooted = found.join(shared, found["fp"] == shared["__fp"], "left").withColumn("root", F.coalesce("root", "fp"))
-    winners = rooted.groupBy("root").agg(F.min(place).alias("w")).select(row_key(F.col("w.doc_id"), F.col("w.__text")).alias("__key"))
-    own = docs.withColumn("__key", row_key(F.col("doc_id"), F.xxhash64("text")))
-    kept = own.join(winners.distinct(), "__key", "left_semi")
-    first = kept.withColumn("__k", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0))))
-    return first.where("__k = 1").drop("__key", "__k")
-
-
-def row_key(doc_id, text_hash):
-    return F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), text_hash.cast("string"))
+    """One row of each component of docs, all columns as they are: that with the smallest doc_id (null last), of several such rows one by the hashes of text and row.
+
+    Null and empty texts are one component. Rows that are alike in every column are one row before anything is joined, so that a row of a great many copies
+    does not meet itself; an empty table stays empty; names in docs may be any.
+    """
+    key = unused(docs, "key")
+    names = [F.col(quoted(c)) for c in docs.columns]
+    own = docs.select(*names, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text"), row_key(docs).alias("row")).alias(key)).dropDuplicates([key])
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key(docs).alias("__row"))
+    found = checkpointed(fingerprints(hashed, "__row"))
+    rooted = with_groups(found).withColumn("root", F.coalesce("root", "fp"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.struct("doc_id", F.col("__text").alias("text"), F.col("__row").alias("row")).alias("key"))
+    winners = rooted.groupBy("root").agg(F.min(place).alias("w")).select(F.col("w.key").alias("__w"))
+    same = F.col(f"{key}.doc_id").eqNullSafe(F.col("__w.doc_id")) & (F.col(f"{key}.text") == F.col("__w.text")) & (F.col(f"{key}.row") == F.col("__w.row"))
+    return own.join(winners, same, "left_semi").select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
-from gridlogic.llm import simhash
+from gridlogic.llm import common, simhash
 
 DOCS = "doc_id long, text string, fp string, `key` string"
 
@@ -106,6 +106,26 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
+def test_rows_with_one_id_and_taken_names(spark):
+    rows = [(1, "same words here", "b", "y"), (1, "same words here", "a", "y"), (1, "same words here", "a", "y"), (2, "same words here", "a", "y"), (3, None, "__key", None), (None, "", None, None), (3, None, "__key", None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, `__key` string, `a.b` string").withColumn("__text", F.create_map(F.lit(1), F.lit("m")))
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    again = simhash.drop_near_duplicates(df.repartition(5, "__key"))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, again.collect()))
+
+
+def test_half_of_all_rows_are_copies_and_a_star(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = [(i, "one text that many share" if i % 2 else f"its own text {i} with {i * 7} words", "x", "y") for i in range(300)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    want = slow_components([(i, slow_fingerprint(t)) for i, t, *_ in rows])
+    assert got == {i: want[i, slow_fingerprint(t)] for i, t, *_ in rows}
+    star = [0] + [1 << i for i in range(62)] + [3 << i for i in range(60)]
+    assert set(linked(spark, star, 4).values()) == {0}
+    assert simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).count() == len(set(got.values()))
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(none).collect() == [] and simhash.drop_near_duplicates(none).collect() == []
