@@ -91,14 +91,14 @@ HOT_KEYS, HOT_ROWS = 10_000, 2_000
 
 
 def join_dealt(rows: DataFrame, few: DataFrame, keys: list[str], total: int, by: list[str], how: str = "inner", n: str = "n", hot_rows: int | None = None) -> DataFrame:
-    """rows joined (inner or left) with few, which has one row for each key and, in n, how many of the total rows have it.
+    """rows joined (inner or left) with few, which has for each key, in n, how many of the total rows have it at most.
 
-    The rows of a hot key are dealt by a hash of by and their partition over as many tasks as its count asks for, and its row of few is repeated for each. Hot
+    The rows of a hot key are dealt by a hash of by and their partition over as many tasks as its count asks for, and its rows of few are repeated for each. Hot
     keys are fewer than HOT_KEYS at any size, and are broadcast. n and the columns of few stay. Rows with a null key find no partner.
     """
     most = max(hot_rows or HOT_ROWS, total // HOT_KEYS)
     salts = F.ceil(F.col(n) / F.lit(most)).cast("int")
-    hot = few.where(F.col(n) > most).select(*keys, salts.alias("__salts"))
+    hot = few.where(F.col(n) > most).select(*keys, salts.alias("__salts")).distinct()
     place = F.pmod(F.xxhash64(*by, F.spark_partition_id()), F.coalesce("__salts", F.lit(1))).cast("int")
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", place).drop("__salts")
     copied = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))

@@ -3,7 +3,7 @@
 A window is ten consecutive words of an item (an item of fewer words is one window). The window's shingles of five words are its set; as
 the whole set must be in the document, a prefix of one shingle in the order of rarity is enough for the join: the one that the fewest places
 of the corpus hold. Places where that shingle stands are joined on its hash, placed and bounded (the window must fit into the document around it), and
-verified word by word over the window. DataFrame functions only.
+verified word by word over the window. Windows go by an id; which items have them is looked up for what was found. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlogic.llm.common import checkpointed, table
+from gridlogic.llm.common import checkpointed, join_dealt, quoted, table, unused
 
 WINDOW, SHINGLE = 10, 5
-#: Windows that are broadcast at most; beyond that, the joins shuffle.
-BROADCAST_WINDOWS = 200_000
+#: Bytes of windows (words, and 100 for each) that are broadcast at most; beyond that, places that may match travel to them.
+BROADCAST_BYTES = 64 << 20
+#: Hashes, or their last bits if there are more of them, that are broadcast to tell such places.
+MASK = 1 << 21
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -33,49 +35,64 @@ def shingle_hash(array: str, at: Column, k: int) -> Column:
     return F.xxhash64(F.lit(k), *(F.get(F.col(array), at + i) for i in range(k)))
 
 
-def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(w, items): each distinct window's words, and the item_ids that have it (null ids are left out)."""
+def window_id(w: Column) -> Column:
+    return F.struct(F.xxhash64(w).alias("a"), F.xxhash64(F.lit(WINDOW), w).alias("b"))
+
+
+def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(wid, w) of each distinct window, its words; and (wid, item_id) of who has it (null ids are left out)."""
     own = benchmark.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
     cut = own.select("item_id", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - WINDOW, F.lit(0)))).alias("at"))
-    return cut.groupBy(F.slice("words", F.col("at") + 1, WINDOW).alias("w")).agg(F.collect_set("item_id").alias("items"))
-
-
-def window_shingles(windows: DataFrame, k: int) -> DataFrame:
-    """(w, items, o, h): the shingles of k words of those windows whose shingles have k words."""
-    own = windows.where(F.least(F.size("w"), F.lit(SHINGLE)) == k)
-    return own.select("w", "items", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("o")).select("w", "items", "o", shingle_hash("w", F.col("o"), k).alias("h"))
-
-
-def places(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, __text, words, at, h): a row for each shingle of k words of each document, made and used within one stage."""
-    own = docs.select("doc_id", F.xxhash64("text").alias("__text"), words(F.col("text")).alias("words"))
-    spread = own.select("doc_id", "__text", "words", F.explode_outer(F.when(F.size("words") >= k, F.sequence(F.lit(0), F.size("words") - k))).alias("at"))
-    return spread.select("doc_id", "__text", "words", "at", shingle_hash("words", F.col("at"), k).alias("h"))
-
-
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, __text, start, end, items): every occurrence of a benchmark window, in word positions, end exclusive."""
-    windows = checkpointed(benchmark_windows(benchmark))
-    size = windows.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.least(F.size("w"), F.lit(SHINGLE))).alias("ks")).first()
-    near = F.broadcast if size.n <= BROADCAST_WINDOWS else (lambda df: df)
-    out = None
-    for k in sorted(size.ks) or [SHINGLE]:
-        shingles = window_shingles(windows, k)
-        counts = places(docs, k).select("h").join(near(shingles.select("h").distinct()), "h").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-        rated = checkpointed(shingles.join(near(checkpointed(counts)), "h"))  # a shingle that no place holds can't be in a match
-        rarest = rated.groupBy("w").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("n", "h", "o", "items")).alias("r"))
-        prefix = rarest.where(F.col("found") == F.size("w") - k + 1).select(F.col("r.h").alias("h"), F.col("r.o").alias("o"), "w", F.col("r.items").alias("items"))
-        start = F.col("at") - F.col("o")
-        fits = (start >= 0) & (start + F.size("w") <= F.size("words"))
-        if size.n <= BROADCAST_WINDOWS:
-            met = places(docs, k).join(F.broadcast(prefix), "h").where(fits & (F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("w")) == F.col("w")))
-        else:  # only the words around a place travel to the windows
-            low = F.greatest(F.col("at") - WINDOW, F.lit(0))
-            around = places(docs, k).where("at is not null").select("doc_id", "__text", "at", "h", F.size("words").alias("n_words"), low.alias("low"), F.slice("words", low + 1, 2 * WINDOW + SHINGLE).alias("near"))
-            met = around.join(prefix, "h").where((start >= 0) & (start + F.size("w") <= F.col("n_words")) & (F.slice("near", F.greatest(start - F.col("low"), F.lit(0)) + 1, F.size("w")) == F.col("w")))
-        found = met.select("doc_id", "__text", start.alias("start"), (start + F.size("w")).alias("end"), "items")
-        out = found if out is None else out.unionByName(found)
-    return out
+    cut = cut.select("item_id", F.slice("words", F.col("at") + 1, WINDOW).alias("w")).withColumn("wid", window_id(F.col("w")))
+    return cut.groupBy("wid").agg(F.min("w").alias("w")), cut.where("item_id is not null").select("wid", "item_id").distinct()
+
+
+def window_shingles(windows: DataFrame) -> DataFrame:
+    """(wid, size, k, o, h): the shingles of each window, of SHINGLE words or of all if there are fewer."""
+    k = F.least(F.size("w"), F.lit(SHINGLE))
+    spread = windows.select("wid", "w", F.size("w").alias("size"), k.alias("k"), F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("o"))
+    own = F.coalesce(*(F.when(F.col("k") == n, shingle_hash("w", F.col("o"), n)) for n in range(1, SHINGLE + 1)))
+    return spread.select("wid", "size", "k", "o", own.alias("h"))
+
+
+def places(docs: DataFrame, ks: list[int]) -> DataFrame:
+    """(doc_id, __text, words, at, h): a row for each shingle of k words of each document, for each k, made and used within one stage."""
+    own = docs.select("doc_id", F.xxhash64("text").alias("__text"), words(F.col("text")).alias("words")).where(F.size("words") >= min(ks))
+    spread = own.select("doc_id", "__text", "words", F.explode(F.sequence(F.lit(0), F.size("words") - min(ks))).alias("at"))
+    hashes = [F.when(F.col("at") + k <= F.size("words"), shingle_hash("words", F.col("at"), k)) if k > min(ks) else shingle_hash("words", F.col("at"), k) for k in ks]
+    return spread.select("doc_id", "__text", "words", "at", hashes[0].alias("h") if len(ks) == 1 else F.explode(F.array(*hashes)).alias("h"))
+
+
+def having(found: DataFrame, hashes: DataFrame, n: int) -> DataFrame:
+    """The rows of found whose h is one of at most n hashes; if n is over MASK, also some others, whose h is one in its last bits."""
+    key = (lambda h: h) if n <= MASK else (lambda h: h.bitwiseAND(F.lit(MASK - 1)))
+    return found.join(F.broadcast(hashes.select(key(F.col("h")).alias("__m")).distinct()), key(F.col("h")) == F.col("__m"), "left_semi")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, __text, start, end, wid): every occurrence of a benchmark window, in word positions, end exclusive; and (wid, item_id, n) of all windows that may
+    occur, n being an upper bound of how often."""
+    windows, owners = map(checkpointed, benchmark_windows(benchmark))
+    k = F.least(F.size("w"), F.lit(SHINGLE))
+    size = windows.agg(F.sum(F.size("w") - k + 1).alias("shingles"), F.sum(F.octet_length(F.array_join("w", " ")) + 100).alias("bytes"), F.collect_set(k).alias("ks")).first()
+    ks = sorted(size.ks) or [SHINGLE]
+    shingles = checkpointed(window_shingles(windows))
+    counts = checkpointed(having(places(docs, ks).select("h"), shingles, size.shingles or 0).groupBy("h").agg(F.count(F.lit(1)).alias("n")))
+    rated = shingles.join(counts, "h")  # a shingle that no place holds can't be in a match
+    rarest = rated.groupBy("wid", "size", "k").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("n", "h", "o")).alias("r"))
+    whole = rarest.where(F.col("found") == F.col("size") - F.col("k") + 1).select("wid", "size", "r.n", "r.h", "r.o")
+    prefix = checkpointed(whole.join(windows, "wid"))
+    start = F.col("at") - F.col("o")
+    if (size.bytes or 0) <= BROADCAST_BYTES:
+        fits = (start >= 0) & (start + F.col("size") <= F.size("words"))
+        met = places(docs, ks).join(F.broadcast(prefix), "h").where(fits & (F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("size")) == F.col("w")))
+    else:  # of the places that may match, only the words around travel to the windows
+        total = prefix.select("h", "n").distinct().agg(F.sum("n")).first()[0] or 0
+        low = F.greatest(F.col("at") - WINDOW, F.lit(0))
+        around = having(places(docs, ks), prefix, prefix.count()).select("doc_id", "__text", "at", "h", F.size("words").alias("n_words"), low.alias("low"), F.slice("words", low + 1, 2 * WINDOW + SHINGLE).alias("near"))
+        met = join_dealt(around, prefix, ["h"], total, ["doc_id", "at"]).where((start >= 0) & (start + F.col("size") <= F.col("n_words")) & (F.slice("near", F.greatest(start - F.col("low"), F.lit(0)) + 1, F.col("size")) == F.col("w")))
+    found = checkpointed(met.select("doc_id", "__text", start.alias("start"), (start + F.col("size")).alias("end"), "wid"))
+    return found, owners.join(prefix.select("wid", "n"), "wid")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -83,15 +100,20 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     What is gathered for a document is bounded by its own words and by the benchmark.
     """
-    found = matches(docs, benchmark)
-    grouped = found.groupBy("doc_id", "__text").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    found, owners = matches(docs, benchmark)
+    grouped = found.groupBy("doc_id", "__text").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     zero = F.struct(F.lit(0).alias("covered"), F.lit(0).alias("reach"))
 
     def add(acc, s):
         new = F.greatest(s["end"] - F.greatest(s["start"], acc["reach"]), F.lit(0))
         return F.struct((acc["covered"] + new).alias("covered"), F.greatest(acc["reach"], s["end"]).alias("reach"))
 
-    return grouped.select("doc_id", "__text", F.aggregate("spans", zero, add)["covered"].cast("long").alias("n_hit"), "items")
+    covered = grouped.select("doc_id", "__text", F.aggregate("spans", zero, add)["covered"].cast("long").alias("n_hit"))
+    held = found.select("doc_id", "__text", "wid").distinct()
+    named = join_dealt(held, owners, ["wid"], found.count(), ["doc_id"]).groupBy("doc_id", "__text").agg(F.collect_set("item_id").alias("items"))
+    named = named.withColumnsRenamed({"doc_id": "__i", "__text": "__t"})
+    both = covered.join(named, covered["doc_id"].eqNullSafe(named["__i"]) & (covered["__text"] == named["__t"]), "left")
+    return both.select("doc_id", "__text", "n_hit", "items")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -103,7 +125,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = hits(docs, benchmark).withColumnsRenamed({"doc_id": "__id", "__text": "__hash"})
     own = docs.select("doc_id", F.xxhash64("text").alias("__text"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     both = own.join(found, own["doc_id"].eqNullSafe(found["__id"]) & (own["__text"] == found["__hash"]), "left")
-    names = F.array_sort(F.transform(F.coalesce("items", F.array().cast("array<bigint>")), lambda i: i.cast("string")))
+    names = F.array_sort(F.transform(F.coalesce("items", F.array().cast(found.schema["items"].dataType)), lambda i: i.cast("string")))
     return both.select(
         "doc_id",
         "n_words",
@@ -115,10 +137,11 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs, all columns as they are, without those that hold a window of an item."""
-    found = hits(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("__text").alias("__hash"))
-    own = docs.withColumn("__text", F.xxhash64("text"))
-    return own.join(found, own["doc_id"].eqNullSafe(found["__id"]) & (own["__text"] == found["__hash"]), "left_anti").drop("__text")
+    """docs, all columns as they are and whatever their names, without those that hold a window of an item. Null and empty texts stay; so does all, if the benchmark is empty."""
+    key, other, own_id = (unused(docs, n) for n in ("hash_of_text", "hash_of_hit", "id_of_hit"))
+    found = matches(docs, benchmark)[0].select(F.col("doc_id").alias(own_id), F.col("__text").alias(other)).distinct()
+    own = docs.select(*(F.col(quoted(c)) for c in docs.columns), F.xxhash64("text").alias(key))
+    return own.join(found, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(other)), "left_anti").drop(key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlogic.llm import chatformat as C
+from gridlogic.llm import common
 from gridlogic.llm import decontaminate as D
 from gridlogic.llm import linededup as L
 from gridlogic.llm import mixing as M
@@ -66,7 +67,7 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
 
 
-def test_decontamination_by_brute_force(spark):
+def test_decontamination_by_brute_force(spark, monkeypatch):
     long = " ".join(f"w{i}" for i in range(30))
     items = [(1, long), (2, "Only Four short words"), (3, None), (4, "..."), (5, "solo"), (2, "only four SHORT words"), (None, "an item that has no id"), (7, " ".join(["the"] * 12)), (8, "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12")]
     texts = [None, "", "clean text", f"before {long} after", "w0 w1 w2 w3 w4 w5 w6 w7 w8", "x W5-w6, w7 w8 w9 w10 w11 w12 w13 w14! y", "has only four short words inside, only four short words", "solo", "SOLO solo soloist", "the " * 25, "an item that has no id", "é " * 9, "w1 " * 50_000 + long]
@@ -88,18 +89,31 @@ def test_decontamination_by_brute_force(spark):
         names = sorted(map(str, found))
         want.append((i, len(w), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit)))
     df = docs(spark, rows)
-    for most in (10**6, 0):
-        D.BROADCAST_WINDOWS, before = most, D.BROADCAST_WINDOWS
-        try:
-            assert sorted(map(str, (tuple(r) for r in D.report(df, bench).collect()))) == sorted(map(str, want)), most
-        finally:
-            D.BROADCAST_WINDOWS = before
+    for most, mask in ((10**6, 1 << 21), (0, 1 << 21), (0, 4), (10**6, 4)):
+        monkeypatch.setattr(D, "BROADCAST_BYTES", most)
+        monkeypatch.setattr(D, "MASK", mask)
+        assert sorted(map(str, (tuple(r) for r in D.report(df, bench).collect()))) == sorted(map(str, want)), (most, mask)
     kept = D.remove_contaminated(df, bench)
     assert kept.columns == df.columns
     assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(str((r[0], r[1])) for r, w in zip(rows, want, strict=True) if not w[-1])
+    odd = df.withColumnsRenamed({"source": "__hash"}).withColumn("__hash_of_text", F.lit(1))
+    assert D.remove_contaminated(odd, bench).columns == odd.columns and D.remove_contaminated(odd, bench).count() == kept.count()
     assert D.report(df, bench.limit(0)).where("contaminated").count() == 0 and D.report(docs(spark, []), bench).collect() == []
 
 
+def test_a_passage_of_half_the_documents_and_of_many_items(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    passage = " ".join(f"p{i}" for i in range(14))
+    df = docs(spark, [(i, f"a{i} {passage} z{i}" if i % 2 else f"own words {i}", "s") for i in range(200)])
+    bench = spark.createDataFrame([(i, passage) for i in range(30)], "item_id long, text string")
+    names = ",".join(sorted(map(str, range(30))))
+    for most in (1 << 26, 0):
+        monkeypatch.setattr(D, "BROADCAST_BYTES", most)
+        got = {r.doc_id: r for r in D.report(df, bench).collect()}
+        assert all((r.n_hit, r.n_items) == ((14, 30) if i % 2 else (0, 0)) for i, r in got.items()) and got[1].items_sha256 == hashlib.sha256(names.encode()).hexdigest()
+        assert D.remove_contaminated(df, bench).count() == 100
+
+
 def turns(spark, rows):
     return spark.createDataFrame([(c, t, r, x, "f") for c, t, r, x in rows], "conv_id long, turn long, role string, text string, formatted string")
 
