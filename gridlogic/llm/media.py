@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlogic.llm import jpeg
-from gridlogic.llm.common import table
+from gridlogic.llm.common import ready, table
 
 UNIT = jpeg.ROW
 #: Bytes of payload that are coded together; a longer one comes alone.
@@ -52,6 +52,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
     Null and empty texts are one unit of spaces; a text over the format's height becomes several JPEGs in one value; a null doc_id stays null; repeated rows
     each give their row; other columns are ignored. One pass without a shuffle.
     """
+    ready(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
 
 
@@ -85,6 +86,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def media_features(media: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, FEATURES) of (doc_id, n_bytes, media): from the stored bytes alone. Media that is null or no baseline JPEG has null
     payload, dimensions and hash."""
+    ready(media.sparkSession)
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, f"doc_id long, n_bytes long, {FEATURES}")
 
 

@@ -47,7 +47,7 @@ def test_mixing_rates_and_edges(spark):
     n = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
     for source, share in (("a", 0.2), ("b", 0.5), (None, 0.3)):
         assert abs(n[source] - 5000 * share) < 5 * (5000 * share) ** 0.5
-    again = M.mix(docs(spark, rows), {"a": 0.2, "b": 0.5, "gone": 9.0}, 0.3, trace=True).collect()
+    again = M.mix(docs(spark, rows).drop("copy"), {"a": 0.2, "b": 0.5, "gone": 9.0}, 0.3, trace=True).collect()
     keys = [r.mix_key for r in again]
     assert keys == sorted(keys) and [r.doc_id for r in again] != sorted(r.doc_id for r in again)
 
@@ -58,8 +58,25 @@ def test_mixing_large_rates_and_nothing(spark):
     assert {r.text for r in M.mix(docs(spark, none), {"a": 1.0}, 1.0, epochs=40).collect()} <= {"yes"}
     many = M.mix(docs(spark, [(1, "x", "a"), (2, "y" * 1999, "b")]), {"a": 1.0}, 1.0).where("source = 'a'").count()
     assert abs(many - 1000) < 160  # a mean of 1000, whose exp(-mean) is no double
-    with pytest.raises(ValueError):
-        M.mix(docs(spark, []), {"a": -1.0}, 1.0)
+    for weights, trace in (({"a": -1.0}, False), ({"a": 1.0}, True)):
+        with pytest.raises(ValueError):
+            M.mix(docs(spark, []), weights, 1.0, trace=trace)
+    odd = docs(spark, none).withColumnsRenamed({"h": "__key", "copy": "__class"})
+    assert M.mix(odd, {"a": 1.0}, 1.0).columns == odd.columns
+
+
+def test_a_source_of_one_short_document_is_drawn_in_parts(spark):
+    rows = [(1, "x", "src0"), (2, "y" * 60_000, "src1"), (3, "z" * 40_000, None), (3, "z" * 40_000, None)]
+    df = docs(spark, rows).drop("copy", "h")
+    got = M.mix(df, M.WEIGHTS, M.OTHER_WEIGHT, trace=True).select("doc_id", "copy", "mix_key").collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", [(i, t, "en", s, 1) for i, t, s in rows])
+    want = con.execute(f"SELECT doc_id, copy, mix_key FROM ({M.ORACLE_SQL})").fetchall()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    mean = 0.25 / 0.9 * 140_001
+    assert abs(sum(r.doc_id == 1 for r in got) - mean) < 6 * mean**0.5
+    assert len({r.copy for r in got if r.doc_id == 1}) == sum(r.doc_id == 1 for r in got)
 
 
 def words(text):

@@ -46,5 +46,21 @@ def test_stages_keep_the_columns_and_take_an_empty_table(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == 0
 
 
+def test_stages_take_nulls_ties_repeats_and_taken_names(spark):
+    small = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    rows = [tuple(r) for r in small.collect()]
+    long = "the house of the words is a long one and "
+    rows += [(None, None, None, None, None), (5, None, "en", "src0", 0), (6, "", None, None, 0), (None, "the man and the house of the hill are here", "en", None, 3), rows[3], rows[3], (rows[3][0], "an other text of the same id is here", "en", "src0", 1), (900, long * 20_000, "en", "src1", 9)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, __key string, `lang_pred` string")
+    counts = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        counts.append(docs.count())
+    assert 40 < counts[0] <= len(rows) - 3 and counts[1] < counts[0] and counts[2] <= counts[1]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == counts[-1]
+
+
 def test_simhash_is_what_the_stage_uses():
     assert simhash.fingerprint("a b c") == slow_fingerprint("a b c")
