@@ -57,10 +57,11 @@ def window_shingles(windows: DataFrame) -> DataFrame:
 
 def places(docs: DataFrame, ks: list[int]) -> DataFrame:
     """(doc_id, __text, words, at, h): a row for each shingle of k words of each document, for each k, made and used within one stage."""
-    own = docs.select("doc_id", F.xxhash64("text").alias("__text"), words(F.col("text")).alias("words")).where(F.size("words") >= min(ks))
-    spread = own.select("doc_id", "__text", "words", F.explode(F.sequence(F.lit(0), F.size("words") - min(ks))).alias("at"))
-    hashes = [F.when(F.col("at") + k <= F.size("words"), shingle_hash("words", F.col("at"), k)) if k > min(ks) else shingle_hash("words", F.col("at"), k) for k in ks]
-    return spread.select("doc_id", "__text", "words", "at", hashes[0].alias("h") if len(ks) == 1 else F.explode(F.array(*hashes)).alias("h"))
+    own = docs.select("doc_id", F.xxhash64("text").alias("__text"), words(F.col("text")).alias("words"))
+    # outer, as an inner explode would have Spark test its input before, for which the text would be cut twice
+    spread = own.select("doc_id", "__text", "words", F.explode_outer(F.when(F.size("words") >= min(ks), F.sequence(F.lit(0), F.size("words") - min(ks)))).alias("at"))
+    hashes = [F.when(F.col("at") + k <= F.size("words"), shingle_hash("words", F.col("at"), k)) for k in ks]
+    return spread.select("doc_id", "__text", "words", "at", hashes[0].alias("h") if len(ks) == 1 else F.explode_outer(F.array(*hashes)).alias("h"))
 
 
 def having(found: DataFrame, hashes: DataFrame, n: int) -> DataFrame:
