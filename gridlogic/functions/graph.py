@@ -73,14 +73,18 @@ def relations_text(relations: Column) -> Column:
     return F.when(F.size(relations) > 0, F.concat(F.array_join(said, ". "), F.lit("."))).otherwise("")
 
 
-def component_of(paths: Column, node: Column) -> Column:
-    """The least node that a node reaches."""
-    return F.array_min(F.transform(F.filter(paths, lambda p: p["src"] == node), lambda p: p["node"]))
-
-
-def components(names: Column, paths: Column) -> Column:
-    """Array of (node, root) for the names, nodes without an edge being their own."""
-    return F.transform(names, lambda n: F.struct(n.alias("node"), F.coalesce(component_of(paths, n), n).alias("root")))
+def components(names: Column, graph: Column) -> Column:
+    """Array of (node, root) for the names, root being the least name that a node reaches, itself without an edge. Edges join the classes of their ends one
+    after another, so no path is made."""
+    alone = F.transform(names, lambda n: F.struct(n.alias("node"), n.alias("root")))
+    root = lambda found, n: F.get(F.filter(found, lambda p: p["node"] == n), F.lit(0))["root"]
+
+    def join(found, e):
+        # a lambda's variable holds both roots, so that they are looked up once an edge
+        both = F.array(F.struct(root(found, e["src"]).alias("a"), root(found, e["dst"]).alias("b")))
+        return F.flatten(F.transform(both, lambda r: F.transform(found, lambda p: F.struct(p["node"].alias("node"), F.when(p["root"] == F.greatest(r["a"], r["b"]), F.least(r["a"], r["b"])).otherwise(p["root"]).alias("root")))))
+
+    return F.aggregate(graph, alone, join)
 
 
 def coverage(parts: Column) -> Column:

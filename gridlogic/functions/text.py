@@ -92,12 +92,16 @@ def clean_answer(text: Column) -> Column:
     return F.regexp_replace(F.lower(strip(text)), "[.!?;:,]+$", "")
 
 
+#: At each place of a text the longest alias that stands there between word bounds; a look-ahead, so that one may begin within another.
+ALIAS_HERE = rf"(?U)(?=\b({'|'.join(map(re.escape, ALIASES_BY_LENGTH))})\b)"
+
+
 def resolve_label(text: Column) -> Column:
-    """An answer's label: an exact alias, else the longest alias at word bounds, else the cleaned text itself."""
+    """An answer's label: an exact alias, else the longest alias at word bounds (of equally long ones the first of the table), else the cleaned text itself."""
     cleaned = clean_answer(text)
-    names, quoted = literals(ALIASES_BY_LENGTH), literals([rf"(?U)\b{re.escape(a)}\b" for a in ALIASES_BY_LENGTH])
-    inside = F.filter(F.arrays_zip(names.alias("name"), quoted.alias("pattern")), lambda a: F.contains(cleaned, a["name"]) & F.rlike(cleaned, a["pattern"]))
-    return F.coalesce(lookup(cleaned, ALIAS_LABEL), lookup(F.get(inside, F.lit(0))["name"], ALIAS_LABEL), cleaned)
+    places = F.create_map(*(x for i, a in enumerate(ALIASES_BY_LENGTH) for x in (F.lit(a), F.lit(i))))
+    first = F.array_min(F.transform(F.regexp_extract_all(cleaned, F.lit(ALIAS_HERE), 1), lambda a: F.try_element_at(places, a)))
+    return F.coalesce(lookup(cleaned, ALIAS_LABEL), F.get(literals([ALIAS_LABEL[a] for a in ALIASES_BY_LENGTH]), first), cleaned)
 
 
 def phrase(direction: Column) -> Column:

@@ -28,9 +28,10 @@ def read(rows: DataFrame) -> DataFrame:
 
 def direction_rows(results: DataFrame, dataset: DataFrame) -> DataFrame:
     """(test_id, query_type, truth, predicted, correct, error) of (test_id, answer) and (id, label, query_type): tasks C, D, F, H."""
-    both = joined(results, dataset)
+    both = held(joined(results, dataset), __predicted=X.resolve_label(F.col("answer")))
     error = F.when(~F.col("in_dataset"), "not found in dataset").when(F.col("answer").isNull(), "no answer")
-    return both.select("test_id", "query_type", F.lower("label").alias("truth"), X.resolve_label(F.col("answer")).alias("predicted"), E.label_correct(F.col("answer"), F.col("label")).alias("correct"), error.alias("error"))
+    truth, predicted = F.lower("label"), F.col("__predicted")
+    return both.select("test_id", "query_type", truth.alias("truth"), predicted.alias("predicted"), F.coalesce(predicted == truth, F.lit(False)).alias("correct"), error.alias("error"))
 
 
 def layout_rows(results: DataFrame, dataset: DataFrame) -> DataFrame:

@@ -21,8 +21,8 @@ PARTS = STATED + """, kept AS (SELECT * FROM stated WHERE (scene_id + ord) % 4 <
 
 def parted(spark, sf_dir):
     kept = F.filter("stated", lambda r, i: (F.col("scene_id") + i) % 4 != 0)
-    own = held(stated_scenes(spark, sf_dir), graph=G.edges(kept), paths=G.shortest_paths(F.col("graph")))
-    return held(own, parts=G.components(F.transform("layout", lambda o: o["obj"]), F.col("paths")))
+    own = held(stated_scenes(spark, sf_dir), graph=G.edges(kept))
+    return held(own, parts=G.components(F.transform("layout", lambda o: o["obj"]), F.col("graph")))
 
 
 @query(f"WITH RECURSIVE {PARTS} SELECT scene_id, node, root FROM parts")

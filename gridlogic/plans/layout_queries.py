@@ -38,7 +38,9 @@ def relation_components(spark, sf_dir):
     return pair_rows(spark, sf_dir).groupBy("dir").agg(F.count(F.lit(1)).alias("n")).select("dir", R.vertical(F.col("dir")).alias("vertical"), R.horizontal(F.col("dir")).alias("horizontal"), "n")
 
 
-@query(f"WITH {PAIRS} SELECT a.scene_id, a.obj1, a.obj2, a.dir, {inv('a.dir')} AS inverse, b.dir AS reverse, {inv('a.dir')} = b.dir AS agree FROM pairs a JOIN pairs b ON a.scene_id = b.scene_id AND a.obj1 = b.obj2 AND a.obj2 = b.obj1")
+@query(f"""WITH {SCENES}, ways AS (
+  SELECT p.scene_id, p.obj AS obj1, q.obj AS obj2, {rel("p.x", "p.y", "q.x", "q.y")} AS dir, {rel("q.x", "q.y", "p.x", "p.y")} AS reverse FROM pos p JOIN pos q ON p.scene_id = q.scene_id AND p.obj <> q.obj
+) SELECT scene_id, obj1, obj2, dir, {inv('dir')} AS inverse, reverse, {inv('dir')} = reverse AS agree FROM ways""")
 def relation_inverse(spark, sf_dir):
     """The inverse against the relation the other way round; only pairs in one cell disagree."""
     own = scenes(spark, sf_dir).select("scene_id", "layout", F.inline(L.all_relations(F.col("layout"))))

@@ -186,7 +186,7 @@ def test_reasoning_chains(spark):
 
 def test_coverage(spark):
     df = graphs(spark, [[("B", "A", "above"), ("D", "C", "left")]])
-    c = held(df, parts=G.components(F.array(*map(F.lit, "ABCDE")), F.col("paths"))).select(G.coverage(F.col("parts")).alias("c")).first().c
+    c = held(df, parts=G.components(F.array(*map(F.lit, "ABCDE")), F.col("graph"))).select(G.coverage(F.col("parts")).alias("c")).first().c
     assert tuple(c) == (5, 3, 2, 10, 8, 2, 0.2)
 
 
