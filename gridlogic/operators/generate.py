@@ -141,18 +141,22 @@ def pick(salt: str, n: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), n).cast("int")
 
 
-def questions(structures_: DataFrame, seed: int = 42) -> DataFrame:
-    """Structures with graph, paths and a question (obj1, obj2, query_type) that the stated relations determine. Of all pairs, the lesser name
-    first, those with a unique full, vertical or horizontal relation are open; one of them is taken by hash, of the type that the id's hash asks for
-    if a pair has it. Structures without such a pair are left out."""
-    own = held(structures_, graph=G.edges(F.col("stated")), paths=G.shortest_paths(F.col("graph")))
+def pair_options(rows: DataFrame) -> DataFrame:
+    """Rows (with layout, graph, paths) and options: array of (obj1, obj2, types) of the pairs, the lesser name first, that have a unique full, vertical or
+    horizontal relation."""
     names = F.transform("layout", lambda o: o["obj"])
     pairs = F.flatten(F.transform(names, lambda a: F.transform(F.filter(names, lambda b: b > a), lambda b: F.struct(a.alias("obj1"), b.alias("obj2")))))
     one = lambda p, axis: G.axis_unique(F.col("graph"), F.col("paths"), p["obj1"], p["obj2"], axis)
-    own = held(own, pairs=pairs)
-    own = held(own, judged=F.transform("pairs", lambda p: F.struct(p["obj1"].alias("obj1"), p["obj2"].alias("obj2"), one(p, "vertical").alias("v"), one(p, "horizontal").alias("h"))))
+    own = held(rows, __pairs=pairs)
+    own = held(own, __judged=F.transform("__pairs", lambda p: F.struct(p["obj1"].alias("obj1"), p["obj2"].alias("obj2"), one(p, "vertical").alias("v"), one(p, "horizontal").alias("h"))))
     types = lambda p: F.array_compact(F.array(F.when(p["v"] & p["h"], "full"), F.when(p["v"], "vertical"), F.when(p["h"], "horizontal")))
-    own = held(own, options=F.filter(F.transform("judged", lambda p: F.struct(p["obj1"].alias("obj1"), p["obj2"].alias("obj2"), types(p).alias("types"))), lambda p: F.size(p["types"]) > 0))
+    return held(own, options=F.filter(F.transform("__judged", lambda p: F.struct(p["obj1"].alias("obj1"), p["obj2"].alias("obj2"), types(p).alias("types"))), lambda p: F.size(p["types"]) > 0)).drop("__pairs", "__judged")
+
+
+def questions(structures_: DataFrame, seed: int = 42) -> DataFrame:
+    """Structures with graph, paths and a question (obj1, obj2, query_type) that the stated relations determine: one of pair_options() by hash, of the type that the id's
+    hash asks for if a pair has it. Structures without such a pair are left out."""
+    own = pair_options(held(structures_, graph=G.edges(F.col("stated")), paths=G.shortest_paths(F.col("graph"))))
     own = held(own.where(F.size("options") > 0), wanted=F.element_at(F.array(*map(F.lit, QUERY_TYPES)), pick("type", F.lit(len(QUERY_TYPES)), seed) + 1))
     fitting = F.filter("options", lambda p: F.array_contains(p["types"], F.col("wanted")))
     own = held(own, fitting=F.when(F.size(fitting) > 0, fitting).otherwise(F.col("options")))

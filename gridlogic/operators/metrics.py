@@ -88,6 +88,23 @@ def factor_accuracy(rows: DataFrame, factors: list[tuple[str, str]], mean_of: st
     return long.groupBy("category", "factor", "value").agg(correct.alias("correct"), F.count(F.lit(1)).alias("total"), accuracy.alias("accuracy"))
 
 
+def factor_rows(results: DataFrame, dataset: DataFrame) -> DataFrame:
+    """Results (test_id, correct, ...) with their dataset row; those without one are dropped."""
+    return results.join(dataset, results["test_id"] == dataset["id"])
+
+
+def factor_members(rows: DataFrame, factors: list[tuple[str, str]], key: str = "id") -> DataFrame:
+    """A10: (category, factor, value, id, correct): who is in each group of factor_accuracy(); rows instead of a list, as a group has no bound."""
+    stacked = F.explode(F.array(*(F.struct(F.lit(c).alias("category"), F.lit(f).alias("factor"), factor_value(f, rows).alias("value")) for c, f in factors)))
+    return rows.select(F.col(key).alias("id"), F.coalesce(F.col("correct"), F.lit(False)).alias("correct"), stacked.alias("f")).select("f.*", "id", "correct").where("value is not null")
+
+
+def numeric_summary(rows: DataFrame, *columns: str) -> DataFrame:
+    """(factor, n, least, most, mean) of numeric columns in one pass; nulls are not counted."""
+    stacked = F.explode(F.array(*(F.struct(F.lit(c).alias("factor"), F.col(c).cast("double").alias("value")) for c in columns)))
+    return rows.select(stacked.alias("f")).select("f.*").where("value is not null").groupBy("factor").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"))
+
+
 def complete(counts: DataFrame, key: str, names: tuple[str, ...], zeros: dict) -> DataFrame:
     """Every name of a fixed dimension, with zeros where it has no row."""
     dimension = counts.sparkSession.createDataFrame([(n,) for n in names], f"{key} string")

@@ -58,6 +58,12 @@ def global_rank(rows: DataFrame, uniform: str, key: str, buckets: int = 256) ->
     return cut.join(F.broadcast(before), "__b").withColumn("__rank", F.col("__before") + own).drop("__b", "__before")
 
 
+def batches(rows: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
+    """Rows with batch, from 0, each of size rows but the last, in an order by hash; ranked within hash ranges, so no task holds all rows."""
+    ranked = global_rank(rows.withColumn("__h", shuffled(F.col(key), seed)), "__h", key)
+    return ranked.withColumn("batch", F.floor((F.col("__rank") - 1) / size)).drop("__h", "__rank")
+
+
 def mixed_half(a: DataFrame, b: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
     """N // 2 rows of each by hash, in one shuffled order."""
     half = n // 2

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlogic.functions import graph as G
+from gridlogic.functions import text as X
+from gridlogic.operators.hold import held
+
 VIEWS = ("simple", "grid", "panel")
 
 # What each task gets and gives, from which its prompt is put together.
@@ -201,3 +205,17 @@ def training_dataset(instances: DataFrame, kind: str, max_samples: int | None =
         raise ValueError(f"unknown dataset: {kind}")
     rows = training_rows(instances, kind[0], seed, random_format=kind == "A-RANDOM-FORMAT")
     return rows if max_samples is None else rows.orderBy(F.xxhash64("record_id", F.lit(seed)), "record_id").limit(max_samples)
+
+
+def backfilled(rows: DataFrame) -> DataFrame:
+    """Dataset rows with reasoning_steps made anew from description and query_relation, right after label; '' where either can't be read or no path leads from one
+    object to the other. The graph is of the statements as they are, whether or not they can be placed."""
+    stated = F.transform(X.parse_whole(F.col("description")), lambda r: F.struct(F.upper(r["obj1"]).alias("obj1"), F.upper(r["obj2"]).alias("obj2"), r["dir"].alias("dir")))
+    asked = X.parse_query(F.col("query_relation"))
+    own = held(rows, __obj1=F.upper(asked["obj1"]), __obj2=F.upper(asked["obj2"]), __graph=G.edges(stated))
+    own = held(own, __paths=G.shortest_paths(F.col("__graph")))
+    own = held(own, __path=G.first_path(F.col("__paths"), F.col("__obj2"), F.col("__obj1")))
+    steps = F.coalesce(X.reasoning_chain(F.col("__path")), F.lit(""))
+    names = [c for c in rows.columns if c != "reasoning_steps"]
+    at = names.index("label") + 1
+    return own.select(*names[:at], steps.alias("reasoning_steps"), *names[at:])

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where executors are threads of this process."""
+    if given := spark.conf.get("spark.checkpoint.dir", None):
+        return f"{given.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    atexit.register(shutil.rmtree, folder := tempfile.mkdtemp(prefix="gridlogic-"), ignore_errors=True)
+    return f"file://{folder}/{name}"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to Python workers that would not find it by their PYTHONPATH; once per application."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

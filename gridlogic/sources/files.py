@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import io
 import json
+import re
+import tarfile
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, fields
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlogic.session import ship_package
+
 INSTANCE = (
     "id string, description string, query_relation string, query_type string, label string, reasoning_steps string, detailed_relations string, "
     "ascii struct<simple:string,grid:string,panel:string>, terminology_used string, num_components int, num_relations int, "
@@ -40,9 +47,9 @@ def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_results(spark: SparkSession, root: str) -> DataFrame:
-    """(task, path, RESULT) of all result files under a folder, found by their names."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root).select("value", F.col("_metadata.file_path").alias("path"))
-    task = F.upper(F.regexp_extract("path", r"(?i)task_([a-h])(?:_results)?\.jsonl$", 1))
+    """(task, path, RESULT) of all result files under a folder, found by their names; a folder of such a name, as Spark writes it, is one too."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(root).select("value", F.col("_metadata.file_path").alias("path"))
+    task = F.upper(F.regexp_extract("path", r"(?i)task_([a-h])(?:_results)?\.jsonl(?:/[^/]*)?$", 1))
     return raw.select(task.alias("task"), "path", F.from_json("value", RESULT).alias("r")).where("task <> ''").select("task", "path", "r.*")
 
 
@@ -70,6 +77,63 @@ def write_text(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").text(path)
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, store = _at(spark, path)
+    return store.exists(at)
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    """A small file's text, from any store that Spark reads."""
+    return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+
+
+def write_file(spark: SparkSession, path: str, content: str | bytes) -> None:
+    """A small file, such as a summary, written by the driver to any store that Spark writes."""
+    at, store = _at(spark, path)
+    out = store.create(at, True)
+    out.write(bytearray(content.encode() if isinstance(content, str) else content))
+    out.close()
+
+
+def write_evaluations(summary: DataFrame, folder: str) -> None:
+    """A pretty JSON file for each task of a summary, and one for all; as many rows as there are tasks come to the driver."""
+    spark, rows = summary.sparkSession, [r.asDict() for r in summary.orderBy("task").collect()]
+    for r in rows:
+        write_file(spark, f"{folder}/task_{r['task'].lower().replace('/', '_')}_evaluation.json", json.dumps({"summary": r}, indent=2, ensure_ascii=False))
+    write_file(spark, f"{folder}/summary.json", json.dumps(rows, indent=2, ensure_ascii=False))
+
+
+def text_field(output: Column, name: str) -> Column:
+    """A field of a model's JSON output as text; null if that is no JSON object or lacks it."""
+    return F.try_variant_get(F.try_parse_json(output), f"$.{name}", "string")
+
+
+def _members(pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with tarfile.open(fileobj=io.BytesIO(data.as_buffer()), mode="r:*") as archive:
+                    for member in archive:
+                        if member.isfile() and re.search(pattern, member.name):
+                            text = archive.extractfile(member).read().decode("utf-8", "replace")
+                            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([member.name]), pa.array([text], pa.string())], names=["archive", "member", "text"])
+
+    return run
+
+
+def read_tar(spark: SparkSession, path: str, pattern: str = "") -> DataFrame:
+    """(archive, member, text) of the members of tar archives, packed or not, whose names match; an archive is a task's, a member a batch. Fetching is left to whoever
+    has a network."""
+    ship_package(spark)
+    archives = spark.read.format("binaryFile").load(path).select("path", "content")
+    return archives.mapInArrow(_members(pattern), "archive string, member string, text string")
+
+
 def copy_without(spark: SparkSession, source: str, target: str, held_out: DataFrame) -> None:
     """A JSONL file's lines as they are, without those whose id is held out."""
     lines = spark.read.text(source).where(F.trim("value") != "").withColumn("id", F.get_json_object("value", "$.id"))
