@@ -21,10 +21,11 @@ from gridlogic.functions.algebra import component
 from gridlogic.functions.vocab import BASE, INVERSE, POOLS, STEP
 from gridlogic.operators.hold import held
 from gridlogic.operators.sampling import even_selection
+from gridlogic.session import scratch
 
 #: Shares of layouts by number of components.
 SHARES = {2: 0.025, 3: 0.075} | dict.fromkeys(range(4, 9), 0.18)
-#: Cells that a name is pushed on at most when its place is taken; candidates made for each row wanted.
+#: Cells that a name is pushed on at most when its place is taken; candidates made for each row wanted at first.
 MOST_PUSHES, POOL = 100, 8
 TERMINOLOGIES = ("spatial", "cardinal", "clock", "spatial+cardinal", "spatial+clock", "cardinal+clock", "spatial+cardinal+clock")
 QUERY_TYPES = ("full", "vertical", "horizontal")
@@ -220,9 +221,14 @@ def quotas(n: int) -> dict[int, int]:
 
 
 def balanced_dataset(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """N rows in the shares of SHARES, from POOL candidates for each; fewer where candidates run out. Candidates get their questions first, so
+    """N rows in the shares of SHARES, from POOL candidates for each, or twice as many as long as a share is not full. Candidates get their questions first, so
     none is lost later. Of each number of components, the query types, direct or not and unique layout or not take turns, so that they are even as far
     as candidates go; the terminologies take turns in what is chosen. Numbers of relations follow from the densities (N6) and have no quota."""
-    own = flagged(structures(spark, n * POOL, seed), seed)
-    chosen = even_selection(own, "num_components", quotas(n), ["query_type", "is_directly_stated", "has_unique_layout"], "id", seed)
-    return instances(chosen.withColumn("terminology", modes(F.col("__k") + F.col("num_components"))).drop("__k"), seed)
+    pool = POOL
+    while True:
+        own = flagged(structures(spark, n * pool, seed), seed)
+        even_selection(own, "num_components", quotas(n), ["query_type", "is_directly_stated", "has_unique_layout"], "id", seed).write.parquet(path := scratch(spark, "chosen"))
+        chosen = spark.read.parquet(path)
+        if chosen.count() == n:
+            return instances(chosen.withColumn("terminology", modes(F.col("__k") + F.col("num_components"))).drop("__k"), seed)
+        pool *= 2

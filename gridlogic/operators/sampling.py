@@ -79,7 +79,7 @@ def random_view(key: Column, seed: int) -> Column:
 def quota_selection(candidates: DataFrame, stratum: str, quotas: dict, key: str, seed: int) -> DataFrame:
     """Of each stratum as many candidates as its quota, by hash; strata without a quota get none. A bounded table of quotas is broadcast."""
     table = candidates.sparkSession.createDataFrame([(k, int(v)) for k, v in quotas.items()], f"{stratum} {dict(candidates.dtypes)[stratum]}, __quota long")
-    ranked = candidates.withColumn("__k", F.row_number().over(Window.partitionBy(stratum).orderBy(shuffled(F.col(key), seed), key)))
+    ranked = candidates.withColumn("__k", F.row_number().over(Window.partitionBy(stratum).orderBy(shuffled(F.col(key), seed), key))).where(F.col("__k") <= max(quotas.values(), default=0))  # cut before the shuffle
     return ranked.join(F.broadcast(table), stratum).where("__k <= __quota").drop("__k", "__quota")
 
 
@@ -88,7 +88,7 @@ def even_selection(candidates: DataFrame, stratum: str, quotas: dict, cells: lis
     even, and where one runs out, the others fill its place. __k is the turn, 1 on. No cell keeps more rows than the quota before turns are taken."""
     table = candidates.sparkSession.createDataFrame([(k, int(v)) for k, v in quotas.items()], f"{stratum} {dict(candidates.dtypes)[stratum]}, __quota long")
     order = [shuffled(F.col(key), seed), F.col(key)]
-    ranked = candidates.join(F.broadcast(table), stratum).withColumn("__turn", F.row_number().over(Window.partitionBy(stratum, *cells).orderBy(*order))).where("__turn <= __quota")
+    ranked = candidates.join(F.broadcast(table), stratum).withColumn("__turn", F.row_number().over(Window.partitionBy(stratum, *cells).orderBy(*order))).where((F.col("__turn") <= max(quotas.values(), default=0)) & (F.col("__turn") <= F.col("__quota")))
     return ranked.withColumn("__k", F.row_number().over(Window.partitionBy(stratum).orderBy("__turn", *order))).where("__k <= __quota").drop("__turn", "__quota")
 
 

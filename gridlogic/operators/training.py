@@ -179,7 +179,8 @@ def two_turns(cases: DataFrame, generated: DataFrame | None = None, names: tuple
 def training_rows(instances: DataFrame, task: str, seed: int = 42, random_format: bool = False) -> DataFrame:
     """(record_id, prompt, completion, num_components, ascii_format) for A (description to layout), B (layout to description); of
     A-RANDOM-FORMAT each row has one of the three styles by hash. Rows without a layout are left out (P1)."""
-    view = F.element_at(F.array(*map(F.lit, VIEWS)), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(3)) + 1).cast("int")) if random_format else F.lit("grid")
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "id").cast("binary")), 1, 13), 16, 10).cast("long")
+    view = F.element_at(F.array(*map(F.lit, VIEWS)), (F.pmod(number, F.lit(3)) + 1).cast("int")) if random_format else F.lit("grid")
     own = instances.where(F.col("ascii").isNotNull()).withColumn("ascii_format", view)
     art = F.when(F.col("ascii_format") == "simple", F.col("ascii.simple")).when(F.col("ascii_format") == "panel", F.col("ascii.panel")).otherwise(F.col("ascii.grid"))
     prompt, completion = (F.col("description"), art) if task.upper().startswith("A") else (art, F.col("description"))

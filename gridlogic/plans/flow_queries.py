@@ -10,8 +10,11 @@ from gridlogic.operators import external as X
 from gridlogic.operators import metrics as M
 from gridlogic.operators import sampling as S
 from gridlogic.operators import training as N
-from gridlogic.plans.registry import query
+from gridlogic.plans import layout_queries  # noqa: F401  registers the renderings
+from gridlogic.plans.registry import ORACLES, query
+from gridlogic.plans.scenes import quoted, rel
 from gridlogic.plans.score_queries import INSTANCES, instances
+from gridlogic.plans.text_queries import DESCRIBED
 from gridlogic.session import table
 
 HASH = lambda k, seed: f"(({k} + {seed}) * 2654435761) % 4294967296"
@@ -19,7 +22,7 @@ HASH = lambda k, seed: f"(({k} + {seed}) * 2654435761) % 4294967296"  # noqa: E7
 
 @query("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def last_per_key(spark, sf_dir):
-    """Of one key the last row."""
+    """Of one key the last row."""
     return S.keep_last(table(spark, sf_dir, "events"), "user_id", F.col("ts"), F.col("event_id")).select("event_id", "user_id", "event_type")
 
 
@@ -44,7 +47,7 @@ def first_per_story(spark, sf_dir):
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 UNION SELECT doc_id FROM labels WHERE toxic = 1)")
 def held_out_split(spark, sf_dir):
-    """J3, O13, S21."""
+    """J3, O13."""
     labels = table(spark, sf_dir, "labels")
     ids = labels.where("quality = 1").select("doc_id").union(labels.where("toxic = 1").select("doc_id")).distinct()
     return S.pending(table(spark, sf_dir, "documents").select("doc_id", "lang"), ids, "doc_id")
@@ -146,7 +149,7 @@ def run_summary(spark, sf_dir):
 
 @query(f"WITH {RUNS} SELECT run, 'Run ' || right(run, 1) AS name, string_agg(task, ',' ORDER BY task) AS tasks, avg(accuracy) AS mean_accuracy FROM summary GROUP BY run")
 def dashboard_metrics(spark, sf_dir):
-    """A17, A18, J17."""
+    """A17."""
     return D.dashboard(runs(spark, sf_dir)).drop("metrics")
 
 
@@ -158,7 +161,7 @@ def base_vs_tuned(spark, sf_dir):
 
 @query("SELECT conv_id, count(*) AS n_messages, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS dump FROM conversations GROUP BY conv_id")
 def message_rows(spark, sf_dir):
-    """Messages of a conversation in order."""
+    """Messages of a conversation in order."""
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
     return turns.select("conv_id", F.size("m").cast("long").alias("n_messages"), F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(": "), x["content"])), "\n").alias("dump"))
 
@@ -175,13 +178,33 @@ def training_instances(spark, sf_dir):
     return own.select(F.col("scene_id").cast("string").alias("id"), "description", art.alias("ascii"), query_text(last, first, F.lit("full")).alias("query_relation"), L.direction_between(F.col("layout"), last, first).alias("label"), F.size("layout").alias("num_components"))
 
 
-@query()
+def _training() -> str:
+    """SQL: (id, description, simple, grid, panel, question, label, num_components) as training_instances() has them."""
+    arts = ", ".join(f"{v} AS ({ORACLES[f'ascii_render_{v}']})" for v in N.VIEWS)
+    return f"""WITH {arts}, told AS (WITH {DESCRIBED} SELECT scene_id, description FROM described), spots AS (WITH {DESCRIBED} SELECT * FROM pos
+), ends AS (SELECT scene_id, min(obj) AS first, max(obj) AS last, count(*) AS n FROM spots GROUP BY scene_id
+), training AS (
+  SELECT t.scene_id, t.scene_id::VARCHAR AS id, description, simple.art AS simple, grid.art AS grid, panel.art AS panel, 'Where is ' || last || ' relative to ' || first || '?' AS question,
+         {rel("q.x", "q.y", "p.x", "p.y")} AS label, n::INTEGER AS num_components
+  FROM told t JOIN ends e USING (scene_id) JOIN simple USING (scene_id) JOIN grid USING (scene_id) JOIN panel USING (scene_id)
+  JOIN spots p ON p.scene_id = t.scene_id AND p.obj = first JOIN spots q ON q.scene_id = t.scene_id AND q.obj = last
+)"""
+
+
+@query(f"""{_training()}, styled AS (SELECT *, ['simple', 'grid', 'panel'][1 + ('0x' || substr(md5('42|' || id), 1, 13))::BIGINT % 3] AS style FROM training)
+SELECT id AS record_id, description AS prompt, CASE style WHEN 'simple' THEN simple WHEN 'grid' THEN grid ELSE panel END AS completion, num_components, style AS ascii_format FROM styled""")
 def training_rows(spark, sf_dir):
-    """Description to layout, in a style by hash; held against a unit test."""
+    """Description to layout, in a style by hash."""
     return N.training_dataset(training_instances(spark, sf_dir), "A-RANDOM-FORMAT")
 
 
-@query()
+_SAID = "'Description: ' || description || chr(10) || 'Layout:' || chr(10) || 'grid:' || chr(10) || rtrim(grid) || chr(10) || 'Question: ' || question"
+
+
+@query(f"""{_training()}, shots AS (SELECT * FROM training ORDER BY scene_id LIMIT 3
+), examples AS (SELECT flatten(list([{{'role': 'user', 'content': {_SAID}}}, {{'role': 'assistant', 'content': '{{"answer":"' || label || '"}}'}}] ORDER BY id)) AS examples FROM shots)
+SELECT id, to_json(list_concat(list_concat([{{'role': 'system', 'content': {quoted(N.system_prompt("F", names=["grid"]))}}}], examples), [{{'role': 'user', 'content': {_SAID}}}]))::VARCHAR AS messages
+FROM training, examples WHERE id NOT IN (SELECT id FROM shots)""")
 def chat_prompts(spark, sf_dir):
     """Conversational prompts of task F with three examples."""
     own = training_instances(spark, sf_dir)
@@ -195,3 +218,16 @@ def generated_instances(spark, sf_dir):
     from gridlogic.operators.generate import balanced_dataset
 
     return balanced_dataset(spark, 200, seed=42).drop("ascii")
+
+
+_QUOTAS = {2: 5, 3: 15} | dict.fromkeys(range(4, 9), 36)
+
+
+@query(f"SELECT c AS num_components, n::BIGINT AS n, 2 * n::BIGINT AS ends FROM (VALUES {', '.join(f'({k}, {n})' for k, n in _QUOTAS.items())}) AS q(c, n)")
+def generated_shares(spark, sf_dir):
+    """The shares by components of a generated dataset, all of its rows there, each asking about two objects by their names."""
+    from gridlogic.functions.text import parse_query
+    from gridlogic.operators.generate import balanced_dataset
+
+    own = balanced_dataset(spark, 200, seed=7).select("num_components", parse_query(F.col("query_relation")).alias("q"), "label").where("label is not null")
+    return own.groupBy("num_components").agg(F.count(F.lit(1)).alias("n"), (F.count("q.obj1") + F.count("q.obj2")).alias("ends"))

@@ -120,7 +120,7 @@ def _factors(task: str, accuracy: str) -> str:
 
 @query(_factors("F", "count(*) FILTER (WHERE correct) * 1.0::DOUBLE / count(*)"))
 def factor_accuracy(spark, sf_dir):
-    """A8-A10, P11, J2."""
+    """A8, A9, P11."""
     return M.factor_accuracy(instances(spark, sf_dir), M.task_factors("F"))
 
 

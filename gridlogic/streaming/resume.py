@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gridlogic.sources.files import RESULT
+from gridlogic.sources.files import RESULT, exists
 
 
 def read_stream(spark: SparkSession, path: str, schema: str = RESULT) -> DataFrame:
@@ -14,7 +15,16 @@ def read_stream(spark: SparkSession, path: str, schema: str = RESULT) -> DataFra
 
 
 def append_once(results: DataFrame, target: str, checkpoint: str, key: str = "test_id", once: bool = True) -> StreamingQuery:
-    """Append results to a folder, the first of each key; what a restart has seen is in the checkpoint. With once, what is there
-    now is taken and the query ends."""
-    writer = results.dropDuplicates([key]).writeStream.format("json").option("path", target).option("checkpointLocation", checkpoint).outputMode("append")
+    """Append results to a folder, the first of each key, in a folder for each batch. What is there already is what tells which keys are done, so no state grows
+    with the stream; a batch that is run again replaces its own folder. With once, what is there now is taken and the query ends."""
+    spark, kind = results.sparkSession, results.schema[key].dataType.simpleString()
+
+    def add(batch: DataFrame, number: int) -> None:
+        fresh = batch.dropDuplicates([key])
+        if number and exists(spark, target):
+            done = spark.read.schema(f"`{key}` {kind}, batch long").json(target).where(F.col("batch") < number)
+            fresh = fresh.join(done.select(key), key, "left_anti")
+        fresh.write.mode("overwrite").json(f"{target}/batch={number}")
+
+    writer = results.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
