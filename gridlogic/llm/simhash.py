@@ -148,14 +148,15 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     key = unused(docs, "key")
     names = [F.col(quoted(c)) for c in docs.columns]
-    own = docs.select(*names, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text"), row_key(docs).alias("row")).alias(key)).dropDuplicates([key])
+    one = lambda doc_id, text, row: F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), text.cast("string"), row.cast("string"))
+    own = docs.select(*names, one(F.col("doc_id").cast("long"), F.xxhash64("text"), row_key(docs)).alias(key)).dropDuplicates([key])
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key(docs).alias("__row"))
     found = checkpointed(fingerprints(hashed, "__row"))
     rooted = with_groups(found).withColumn("root", F.coalesce("root", "fp"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.struct("doc_id", F.col("__text").alias("text"), F.col("__row").alias("row")).alias("key"))
-    winners = rooted.groupBy("root").agg(F.min(place).alias("w")).select(F.col("w.key").alias("__w"))
-    same = F.col(f"{key}.doc_id").eqNullSafe(F.col("__w.doc_id")) & (F.col(f"{key}.text") == F.col("__w.text")) & (F.col(f"{key}.row") == F.col("__w.row"))
-    return own.join(winners, same, "left_semi").select(*names)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("__text").alias("text"), F.col("__row").alias("row"))
+    # joined on what rows are dealt by already, so that texts are dealt once
+    winners = rooted.groupBy("root").agg(F.min(place).alias("w")).select(one(F.col("w.doc_id"), F.col("w.text"), F.col("w.row")).alias(key))
+    return own.join(winners, key, "left_semi").select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
