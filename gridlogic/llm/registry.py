@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE_SQL,
+    "op2_warc": warc.ORACLE_SQL,
     "op3_decontaminate": decontaminate.ORACLE_SQL,
     "op5_chat_format": chatformat.ORACLE_SQL,
     "op10_line_dedup": linededup.ORACLE_SQL,

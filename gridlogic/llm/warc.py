@@ -395,3 +395,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         page_of(F.col("refers_to")).alias("refers_to"),
     )
+
+
+ORACLE_SQL = """
+WITH own AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), grouped AS (
+  SELECT *, CASE WHEN count(*) OVER (PARTITION BY h) > 1 THEN min(page_id) OVER (PARTITION BY h) END AS first FROM own
+), told AS (
+  SELECT *, first IS NOT NULL AND page_id IS DISTINCT FROM first AS again, [('0x' || substr(h, 5 * g + 1, 5))::BIGINT FOR g IN range(0, 8)] AS parts FROM grouped
+)
+SELECT page_id, payload_bytes,
+       array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> s) & 31) + 1, 1) FOR s IN [15, 10, 5, 0]], '') FOR n IN parts], '') AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
+FROM told
+"""
