@@ -59,22 +59,16 @@ CARDINAL = {d: _cardinal(d) for d in BASE}
 CLOCK = {d: [p for time in _CLOCK[d] for p in (f"at {time} from", f"at the {time} position from")] for d in BASE}
 POOLS = {"spatial": SPATIAL, "cardinal": CARDINAL, "clock": CLOCK}
 
-# Further words that an answer may use; a diagonal's follow one pattern.
+# Further words that an answer may use.
 ALIASES = {
     "above": ["above", "over", "top", "upper", "higher", "north", "northern", "upward", "up", "12:00", "12 o'clock", "0:00", "0 o'clock", "positioned above", "located above", "higher than", "on top"],
     "below": ["below", "under", "beneath", "bottom", "lower", "south", "southern", "downward", "down", "6:00", "6 o'clock", "positioned below", "located below", "lower than", "underneath"],
     "left": ["left", "west", "western", "leftward", "9:00", "9 o'clock", "positioned to the left", "located to the left", "to the left", "on the left side", "left of", "to the west"],
     "right": ["right", "east", "eastern", "rightward", "3:00", "3 o'clock", "positioned to the right", "located to the right", "to the right", "on the right side", "right of", "to the east"],
-}
-_DIAGONAL_ALIASES = (
-    "{d}", "{t}-{s}", "{u} {s}", "{t} {s}", "{a}{b}", "{a}{b}ern", "{half}", "{first}", "{second}", "positioned {d}", "located {d}", "{v} and to the {s}",
-    "to the {d}", "at the {t}-{s}", "to the {a}{b}", "in the {d}", "{a}-{b}", "{a} {b}", "{a}{b}ward",
-)
-for _d in BASE[4:]:
-    _v, _s = _halves(_d)
-    _first, _half, _second = _CLOCK[_d]
-    ALIASES[_d] = [p.format(d=_d, t="top" if _v == "above" else "bottom", u=_d.split("-")[0], s=_s, v=_v, a=_COMPASS[_v], b=_COMPASS[_s], first=_first, half=_half, second=_second) for p in _DIAGONAL_ALIASES]
-ALIASES |= {
+    "upper-left": ["upper-left", "top-left", "upper left", "top left", "northwest", "northwestern", "10:30", "10 o'clock", "11 o'clock", "positioned upper-left", "located upper-left", "above and to the left", "to the upper-left", "at the top-left", "to the northwest", "in the upper-left", "north-west", "north west", "northwestward"],
+    "upper-right": ["upper-right", "top-right", "upper right", "top right", "northeast", "northeastern", "1:30", "1 o'clock", "2 o'clock", "positioned upper-right", "located upper-right", "above and to the right", "to the upper-right", "at the top-right", "to the northeast", "in the upper-right", "north-east", "north east", "northeastward"],
+    "lower-left": ["lower-left", "bottom-left", "lower left", "bottom left", "southwest", "southwestern", "7:30", "7 o'clock", "8 o'clock", "positioned lower-left", "located lower-left", "below and to the left", "to the lower-left", "at the bottom-left", "to the southwest", "in the lower-left", "south-west", "south west", "southwestward"],
+    "lower-right": ["lower-right", "bottom-right", "lower right", "bottom right", "southeast", "southeastern", "4:30", "4 o'clock", "5 o'clock", "positioned lower-right", "located lower-right", "below and to the right", "to the lower-right", "at the bottom-right", "to the southeast", "in the lower-right", "south-east", "south east", "southeastward"],
     "same level": ["same level", "same height", "horizontally aligned", "same vertical position", "same y", "same row", "aligned horizontally", "level", "even"],
     "same column": ["same column", "same horizontal position", "vertically aligned", "same x", "aligned vertically", "same vertical line", "inline"],
     "same position": ["same position", "same location", "same spot", "identical position", "co-located", "at the same position", "in the same location"],
