@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlogic.llm import chatformat, decontaminate, langid, linededup, media, mixing, secrets, simhash, tokenshards, toxicity, warc
+from gridlogic.llm import chatformat, decontaminate, langid, linededup, media, mixing, secrets, simhash, spelling, tokenshards, toxicity, warc, whitening
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_secret_scan": secrets.query,
     "op9_token_shards": tokenshards.query,
     "op10_line_dedup": linededup.query,
+    "op11_whitening": whitening.query,
+    "op12_spelling": spelling.query,
     "op13_toxicity": toxicity.query,
 }
 ORACLES = {
