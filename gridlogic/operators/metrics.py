@@ -24,21 +24,21 @@ def confusion_levels(pairs: DataFrame, key: str) -> DataFrame:
     return grouped.select(F.when(F.col("__all") == 1, "all").otherwise(F.col(key).cast("string")).alias(key), "truth", "predicted", "n")
 
 
-def class_metrics(counts: DataFrame) -> DataFrame:
-    """A3: per label of either side: tp, fp, fn, precision, recall, f1, support, of a confusion(). One shuffle by label."""
+def class_metrics(counts: DataFrame, *keys: str) -> DataFrame:
+    """A3: per label of either side (and keys): tp, fp, fn, precision, recall, f1, support, of a confusion(). One shuffle by label."""
     sides = F.explode(F.array(F.struct(F.col("truth").alias("label"), F.col("n").alias("true_n"), F.lit(0).cast("long").alias("said_n"), F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("tp")), F.struct(F.col("predicted").alias("label"), F.lit(0).cast("long").alias("true_n"), F.col("n").alias("said_n"), F.lit(0).cast("long").alias("tp"))))
-    summed = counts.select(sides.alias("s")).select("s.*").groupBy("label").agg(*(F.sum(c).alias(c) for c in ("true_n", "said_n", "tp")))
+    summed = counts.select(*keys, sides.alias("s")).select(*keys, "s.*").groupBy(*keys, "label").agg(*(F.sum(c).alias(c) for c in ("true_n", "said_n", "tp")))
     precision, recall = ratio(F.col("tp"), F.col("said_n")), ratio(F.col("tp"), F.col("true_n"))
-    scored = summed.select("label", "tp", (F.col("said_n") - F.col("tp")).alias("fp"), (F.col("true_n") - F.col("tp")).alias("fn"), precision.alias("precision"), recall.alias("recall"), F.col("true_n").alias("support"))
+    scored = summed.select(*keys, "label", "tp", (F.col("said_n") - F.col("tp")).alias("fp"), (F.col("true_n") - F.col("tp")).alias("fn"), precision.alias("precision"), recall.alias("recall"), F.col("true_n").alias("support"))
     return scored.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def averages(per_class: DataFrame) -> DataFrame:
-    """Macro (classes with support), micro and weighted averages, all zero for an empty input."""
+def averages(per_class: DataFrame, *keys: str) -> DataFrame:
+    """By keys, macro (classes with support), micro and weighted averages, all zero for an empty input."""
     seen = F.col("support") > 0
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     tp, fp, fn = F.sum("tp"), F.sum("fp"), F.sum("fn")
-    out = per_class.agg(
+    out = (per_class.groupBy(*keys) if keys else per_class).agg(
         *(zero(F.avg(F.when(seen, F.col(c)))).alias(f"macro_{c}") for c in ("precision", "recall", "f1")),
         ratio(tp, tp + fp).alias("micro_precision"),
         ratio(tp, tp + fn).alias("micro_recall"),

@@ -20,7 +20,7 @@ from gridlogic.plans.flow_queries import runs as run_rows
 from gridlogic.plans.graph_queries import INFERRED, UNIQUE
 from gridlogic.plans.registry import ORACLES, query
 from gridlogic.plans.scenes import graph_scenes, quoted
-from gridlogic.plans.score_queries import INSTANCES, RESULTS, instances
+from gridlogic.plans.score_queries import INSTANCES, instances
 from gridlogic.plans.text_queries import ASKED, asked, described, held
 from gridlogic.session import scratch, table
 from gridlogic.sources import files as S_
@@ -126,13 +126,6 @@ def reasoning_backfill(spark, sf_dir):
     return N.backfilled(rows).select("id", "reasoning_steps")
 
 
-@query("SELECT event_type AS task, count(DISTINCT event_id % 4) AS files, count(*) AS total_samples FROM events GROUP BY event_type")
-def merged_files(spark, sf_dir):
-    """S11, O15."""
-    own = table(spark, sf_dir, "events").select(F.col("event_type").alias("task"), F.concat(F.lit("file_"), (F.col("event_id") % 4).cast("string")).alias("path"), "event_id")
-    return R.merged_results(own)[1]
-
-
 #: Evaluation files by supplier: path, and what they hold.
 _FILES = """files AS (SELECT 'r/' || s_suppkey || '/task_' || CASE s_suppkey % 4 WHEN 0 THEN 'e_E_grid_answer_first_9' WHEN 1 THEN 'e_x_ascii_first' WHEN 2 THEN 'd' ELSE 'g_answer_first' END || '_evaluation.json' AS path,
 CASE s_suppkey % 4 WHEN 0 THEN 'e_answer_first' WHEN 1 THEN 'e_ascii_first' WHEN 2 THEN 'd' ELSE 'g_answer_first' END AS task, CASE WHEN s_suppkey % 3 <> 0 THEN '{"macro_f1":' || s_suppkey || '}' END AS metrics,
@@ -242,8 +235,8 @@ def tar_members(spark, sf_dir):
 
 @query("SELECT 'run_' || (event_id % 2) AS run, CASE WHEN event_id % 3 = 0 THEN 'C' ELSE 'E' END AS task, count(*) AS n FROM events GROUP BY ALL")
 def results_found(spark, sf_dir):
-    """Result files below a folder, by their names."""
-    root = scratch(spark, "results")
+    """Result files below a folder, by their names."""
+    root = scratch(spark, "results (v1)+x")
     own = table(spark, sf_dir, "events").select("event_id", F.col("event_id").cast("string").alias("test_id"), F.col("event_type").alias("model_output"))
     for run in (0, 1):
         for task in ("c", "e"):
@@ -253,23 +246,3 @@ def results_found(spark, sf_dir):
     named = found.withColumn("run", F.regexp_extract("path", r"/(run_\d+)/", 1))
     kept = named.join(S_.discover_runs(found, root), "run", "left_semi")
     return kept.groupBy("run", "task").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"WITH {RESULTS} SELECT t.task, count(*) AS n, count(*) FILTER (WHERE correct) AS correct, count(*) FILTER (WHERE correct) * 1.0::DOUBLE / count(*) AS accuracy FROM scored, (VALUES ('C'), ('D')) AS t(task) GROUP BY t.task")
-def run_evaluation(spark, sf_dir):
-    """A results folder scored against the dataset that its configuration names, and its summary read from the files written."""
-    from gridlogic.functions.score import answer_from_layout
-
-    own = held(asked(spark, sf_dir), label=answer_from_layout(F.col("layout"), F.col("asked.obj1"), F.col("asked.obj2"), F.col("kind")))
-    k = F.col("scene_id")
-    root = scratch(spark, "run")
-    S_.write_jsonl(own.select(k.cast("string").alias("id"), "label", F.col("kind").alias("query_type")), f"{root}/dataset.jsonl")
-    answer = F.when(k % 7 == 0, None).when(k % 5 == 0, "Above!").otherwise(F.concat(F.lit("It is "), F.col("label")))
-    results = own.select((k + F.when(k % 11 == 0, 100000000).otherwise(0)).cast("string").alias("test_id"), answer.alias("answer"))
-    S_.write_jsonl(results.select("test_id", F.to_json(F.struct("answer")).alias("model_output")), f"{root}/task_c_results.jsonl")
-    S_.write_jsonl(results.select("test_id", F.col("answer").alias("model_output")), f"{root}/task_d_results.jsonl")
-    S_.write_jsonl(results.select("test_id"), f"{root}/task_f_results.jsonl")
-    S_.write_file(spark, f"{root}/run_config.json", S_.RunConfig(run_id="r", args={"dataset": f"{root}/dataset.jsonl"}).to_json())
-    R.evaluate_run(spark, root, tasks=("C", "D"))
-    files = S_.read_json_array(spark, f"{R.evaluation_dir(spark, root)}/task_*_evaluation.json", "summary struct<task:string,n:long,correct:long,accuracy:double>")
-    return files.select("summary.*")

@@ -178,7 +178,8 @@ CONSISTENCY = DESCRIBED + legacy("described").replace("SELECT * FROM (VALUES", "
 )"""
 
 
-def consistency(spark, sf_dir):
+def answered_scenes(spark, sf_dir):
+    """(id, question, kind, description, label, art): questions with their labels, and grids that are right, or turned upside down in every fourth scene."""
     from gridlogic.functions.score import answer_from_layout
     from gridlogic.functions.text import parse_query, query_text
 
@@ -192,7 +193,11 @@ def consistency(spark, sf_dir):
     unique_cells = F.filter("layout", lambda o, i: ~F.exists("layout", lambda q: (q["x"] == o["x"]) & (q["y"] == o["y"]) & (q["obj"] < o["obj"])))
     own = held(own, unique_cells=unique_cells)
     own = held(own, low=low, turned=turned, question=query_text(last, first, kind), asked=parse_query(F.col("question")))
-    dataset = own.select(s.alias("id"), "question", "description", answer_from_layout(F.col("low"), F.col("asked.obj1"), F.col("asked.obj2"), kind).alias("label"), L.render_grid(F.col("turned")).alias("art"))
+    return own.select(s.alias("id"), "question", kind.alias("kind"), "description", answer_from_layout(F.col("low"), F.col("asked.obj1"), F.col("asked.obj2"), kind).alias("label"), L.render_grid(F.col("turned")).alias("art"))
+
+
+def consistency(spark, sf_dir):
+    dataset = answered_scenes(spark, sf_dir).drop("kind")
     i = F.col("id")
     results = dataset.select(i.alias("test_id"), F.when(i % 17 == 0, "timeout").alias("error"), F.when(i % 19 != 0, F.when(i % 5 == 0, "left").otherwise(F.col("label"))).alias("answer"), F.when(i % 29 != 0, F.col("art")).alias("grid"))
     return T.consistency_rows(results, dataset.drop("art"))

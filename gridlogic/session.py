@@ -42,6 +42,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"file://{folder}/{name}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows from reliable storage in the shared folder, so that what follows does not make them again, and a lost executor costs nothing that came before."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch(spark, "checkpoints"))
+    return df.checkpoint(eager=True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to Python workers that would not find it by their PYTHONPATH; once per application."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -48,15 +48,42 @@ def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_results(spark: SparkSession, root: str) -> DataFrame:
     """(task, path, RESULT) of all result files under a folder, found by their names; a folder of such a name, as Spark writes it, is one too."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(root).select("value", F.col("_metadata.file_path").alias("path"))
-    task = F.upper(F.regexp_extract("path", r"(?i)task_([a-h])(?:_results)?\.jsonl(?:/[^/]*)?$", 1))
-    return raw.select(task.alias("task"), "path", F.from_json("value", RESULT).alias("r")).where("task <> ''").select("task", "path", "r.*")
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(globless(root)).select("value", F.col("_metadata.file_path").alias("path"))
+    return raw.select(result_task(F.col("path")).alias("task"), "path", F.from_json("value", RESULT).alias("r")).where("task <> ''").select("task", "path", "r.*")
+
+
+def result_task(path: Column) -> Column:
+    """The task, as a capital, of a result file's path; '' for other files."""
+    return F.upper(F.regexp_extract(path, r"(?i)task_([a-h])(?:_results)?\.jsonl(?:/[^/]*)?$", 1))
+
+
+def result_files(spark: SparkSession, root: str) -> DataFrame:
+    """(task, folder, file, at, RESULT) of all result files under a folder: the folder below root ('' for root itself), the file below root, and the line's place
+    in it, (part, block, line), which orders the lines of a file. Blank lines are none; lines that don't parse have nulls."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(globless(root))
+    place = F.struct(F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    own = raw.select("value", place.alias("at"), below(spark, F.col("_metadata.file_path"), root).alias("below"))
+    named = own.select(result_task(F.col("below")).alias("task"), F.regexp_replace("below", r"(?i)(\.jsonl)/[^/]*$", "$1").alias("file"), "at", F.from_json("value", RESULT).alias("r"), "value")
+    kept = named.where((F.col("task") != "") & (F.trim("value") != ""))
+    return kept.select("task", F.regexp_extract("file", r"^(?:(.*)/)?[^/]*$", 1).alias("folder"), "file", "at", "r.*")
 
 
 def discover_runs(results: DataFrame, root: str) -> DataFrame:
-    """The folders right below root that have results."""
-    below = F.regexp_extract("path", rf"{root.rstrip('/')}/([^/]+)/", 1)
-    return results.select(below.alias("run")).where("run <> ''").distinct()
+    """The folders right below root that have results."""
+    own = F.split(below(results.sparkSession, F.col("path"), root), "/")
+    return results.where(F.size(own) > 1).select(F.get(own, F.lit(0)).alias("run")).distinct()
+
+
+def evaluated_runs(spark: SparkSession, root: str) -> list[str]:
+    """The folders right below root that hold outputs/evaluation/evaluation_summary.json, in order."""
+    return sorted({_child(spark, root, f) for f in listed(spark, f"{globless(root.rstrip('/'))}/*/outputs/evaluation/evaluation_summary.json")})
+
+
+def _child(spark: SparkSession, root: str, path: str) -> str:
+    """The name right below root on the way to path."""
+    (at, store), (to, _) = _at(spark, root), _at(spark, path)
+    folder = store.makeQualified(at).toUri().getPath().rstrip("/") + "/"
+    return store.makeQualified(to).toUri().getPath().removeprefix(folder).split("/", 1)[0]
 
 
 def task_of(name):
@@ -87,6 +114,43 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(at)
 
 
+def globless(name: str) -> str:
+    """A file's name as a pattern that only it matches."""
+    return re.sub(r"([\\*?\[\]{},])", r"\\\1", name)
+
+
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a pattern matches, in order. Folders of pattern itself must be written with globless() if they hold signs of patterns."""
+    at, store = _at(spark, pattern)
+    return sorted(str(f.getPath().toString()) for f in store.globStatus(at) or [])
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """A file to another place of the same store, instead of what is there."""
+    (at, store), (to, _) = _at(spark, source), _at(spark, target)
+    store.delete(to, False)
+    if not store.rename(at, to):
+        raise OSError(f"could not move {source} to {target}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, store = _at(spark, path)
+    store.delete(at, True)
+
+
+def decoded(path: Column) -> Column:
+    """A path of _metadata without its percent signs."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def below(spark: SparkSession, path: Column, root: str) -> Column:
+    """What follows the folder root in a path of _metadata; null for paths elsewhere."""
+    at, store = _at(spark, root)
+    folder = store.makeQualified(at).toUri().getPath().rstrip("/") + "/"
+    own = F.regexp_replace(decoded(path), r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+    return F.when(F.startswith(own, F.lit(folder)), F.substring(own, len(folder) + 1, 1 << 30))
+
+
 def read_file(spark: SparkSession, path: str) -> str:
     """A small file's text, from any store that Spark reads."""
     return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
@@ -100,14 +164,6 @@ def write_file(spark: SparkSession, path: str, content: str | bytes) -> None:
     out.close()
 
 
-def write_evaluations(summary: DataFrame, folder: str) -> None:
-    """A pretty JSON file for each task of a summary, and one for all; as many rows as there are tasks come to the driver."""
-    spark, rows = summary.sparkSession, [r.asDict() for r in summary.orderBy("task").collect()]
-    for r in rows:
-        write_file(spark, f"{folder}/task_{r['task'].lower().replace('/', '_')}_evaluation.json", json.dumps({"summary": r}, indent=2, ensure_ascii=False))
-    write_file(spark, f"{folder}/summary.json", json.dumps(rows, indent=2, ensure_ascii=False))
-
-
 def text_field(output: Column, name: str) -> Column:
     """A field of a model's JSON output as text; null if that is no JSON object or lacks it."""
     return F.try_variant_get(F.try_parse_json(output), f"$.{name}", "string")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from gridlogic.functions import algebra, graph, outputs
 from gridlogic.functions.vocab import aliases_for
-from gridlogic.operators import dashboard, external, runs, sampling, tasks, training
+from gridlogic.operators import dashboard, evaluation, external, runs, sampling, tasks, training
 from gridlogic.operators.hold import held
-from gridlogic.sources import files
+from gridlogic.sources import documents, files
 
 
 def many(spark, values, column):
@@ -46,19 +46,117 @@ def test_run_folders(spark, tmp_path):
     assert runs.dataset_path(spark, root) == "here.jsonl"
 
 
+GRID = "+--+\n|B |\n+--+\n|A |\n+--+"
+CASE = {"id": "1", "description": "B is above A.", "query_relation": "Where is B relative to A?", "query_type": "full", "label": "above", "ascii": {"grid": GRID, "simple": "B\nA"}, "num_components": 2}
+
+
+def write_rows(spark, path, rows):
+    files.write_file(spark, path, "".join(json.dumps(r) + "\n" for r in rows))
+
+
 def test_a_whole_run_is_evaluated(spark, tmp_path):
-    root = f"file://{tmp_path}/run"
-    rows = [{"id": "1", "description": "B is above A.", "query_relation": "Where is B relative to A?", "query_type": "full", "label": "above", "ascii": {"grid": "+--+\n|B |\n+--+\n|A |\n+--+", "simple": "B\nA"}}]
-    files.write_file(spark, f"{root}/data.jsonl", "".join(json.dumps(r) + "\n" for r in rows))
-    good = {"A": {"ascii": {"grid": rows[0]["ascii"]["grid"]}}, "B": {"description": "B is above A."}, "C": {"answer": "It is north."}, "E": {"answer": "above", "ascii": {"grid": rows[0]["ascii"]["grid"]}}}
+    root = f"file://{tmp_path}/a run (v1)+x"
+    write_rows(spark, f"{root}/data.jsonl", [CASE])
+    good = {"A": {"ascii": {"grid": GRID}}, "B": {"description": "B is above A."}, "C": {"answer": "It is north."}, "E": {"answer": "above", "ascii": {"grid": GRID}}, "G": {"answer": "above", "ascii": {"grid": GRID}}}
     for task, output in good.items():
-        lines = [{"test_id": "1", "model_output": json.dumps(output)}, {"test_id": "1", "model_output": "{}"}, {"test_id": "missing", "model_output": json.dumps(output)}]
-        files.write_file(spark, f"{root}/task_{task}_results.jsonl", "".join(json.dumps(x) + "\n" for x in lines))
-    got = {r.task: (r.n, r.correct) for r in runs.evaluate_run(spark, root, f"{root}/data.jsonl").collect()}
-    assert got == {"A": (3, 1), "B": (3, 1), "C": (3, 1), "E": (3, 1)}
-    summary = json.loads((tmp_path / "run/evaluation/task_c_evaluation.json").read_text())
-    assert summary["summary"]["correct"] == 1
-    assert runs.evaluate_run(spark, root, f"{root}/data.jsonl", tasks=("H",)).collect() == []
+        rows = [{"test_id": "1", "model_output": output}, {"test_id": "1", "model_output": "{}"}, {"test_id": "missing", "model_output": json.dumps(output)}, {"test_id": None, "model_output": None}]
+        write_rows(spark, f"{root}/{'g/h' if task == 'G' else '.'}/task_{task}_results.jsonl", rows)
+    got = {(r.task, r.path): (r.total_samples, r.correct_count, r.accuracy) for r in evaluation.evaluate_folder(spark, root, f"{root}/data.jsonl").collect()}
+    assert got == {("a", "."): (4, 1, 0.25), ("b", "."): (4, 2, 0.5), ("c", "."): (4, 1, 0.25), ("e", "."): (4, 1, 1.0), ("g", "g/h"): (4, 1, 1.0)}  # B: no description states nothing wrong; E and G: of the one that is evaluated
+    folder = tmp_path / "a run (v1)+x/outputs/evaluation"
+    assert sorted(p.name for p in folder.glob("*.json")) == ["_documents.json", "_summary_documents.json", "evaluation_summary.json", "task_a_evaluation.json", "task_b_evaluation.json", "task_c_evaluation.json", "task_e_evaluation.json", "task_g_g_h_evaluation.json"]
+    e = json.loads((folder / "task_e_evaluation.json").read_text())
+    assert e["breakdown"]["skip_reasons"] == {"model_error": 2, "not_in_dataset": 1, "no_ascii": 0} and e["breakdown"]["error_mapping"]["correct_ascii_correct_answer"] == 1
+    assert e["breakdown"]["by_ascii_accuracy"]["[0.75, 1]"]["avg_num_components"] == 2 and e["breakdown"]["by_ascii_accuracy"]["[0, 0.25)"]["total"] == 0
+    assert [r["test_id"] for r in e["individual_results"]] == ["1", "1", "missing", None] and e["individual_results"][0]["evaluation"]["correct"] is True
+    assert e["individual_results"][1] == {"test_id": "1", "status": "skipped", "reason": "missing answer"}
+    c = json.loads((folder / "task_c_evaluation.json").read_text())
+    assert c["summary"]["macro_f1"] == 1.0 and c["breakdown"]["confusion_matrix"] == {"expected_above_predicted_above": 1, "expected_above_predicted_": 1} and c["breakdown"]["by_direction"] == {"above": {"correct": 1, "total": 2}}
+    assert c["breakdown"]["classification_metrics_by_query_type"]["full"]["per_class"]["above"]["support"] == 1
+    summary = json.loads((folder / "evaluation_summary.json").read_text())
+    assert list(summary["tasks"]) == ["a", "b", "c", "e", "g:g/h"] and summary["tasks"]["g:g/h"]["evaluated"] == 1 and summary["run_id"] == "unknown"
+    assert evaluation.evaluate_folder(spark, root, f"{root}/data.jsonl", tasks=("H",)).isEmpty()
+    assert files.evaluated_runs(spark, f"file://{tmp_path}") == ["a run (v1)+x"]
+    assert [r.run for r in files.discover_runs(files.read_results(spark, f"file://{tmp_path}"), f"file://{tmp_path}").collect()] == ["a run (v1)+x"]
+
+
+def test_results_keep_the_order_of_their_lines(spark, tmp_path):
+    root = f"file://{tmp_path}/run"
+    write_rows(spark, f"{root}/data.jsonl", [CASE])
+    files.write_file(spark, f"{root}/task_c_results.jsonl", "".join(f'{{"test_id": "{(i * 7919) % 5000}", "model_output": "no"}}\n\n' for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # many splits of one file
+    try:
+        evaluation.evaluate_folder(spark, root, f"{root}/data.jsonl")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    read = json.loads((tmp_path / "run/outputs/evaluation/task_c_evaluation.json").read_text())
+    assert [r["test_id"] for r in read["individual_results"]] == [str((i * 7919) % 5000) for i in range(5000)]
+
+
+def test_the_last_file_of_a_name_stays(spark, tmp_path):
+    root = f"file://{tmp_path}/run"
+    write_rows(spark, f"{root}/data.jsonl", [CASE])
+    for path, n in (("task_c.jsonl", 1), ("task_c_results.jsonl", 2), ("x/y/task_d.jsonl", 3), ("x_y/task_d.jsonl", 4)):
+        write_rows(spark, f"{root}/{path}", [{"test_id": "1", "model_output": '{"answer": "above"}'}] * n)
+    got = {(r.task, r.path): r.total_samples for r in evaluation.evaluate_folder(spark, root, f"{root}/data.jsonl").collect()}
+    assert got == {("c", "."): 2, ("d", "x_y"): 4}
+
+
+def leaves(spark, rows):
+    return spark.createDataFrame([(d, [(p, at, name, line) for p, at, name, line in path], v) for d, path, v in rows], documents.LEAF)
+
+
+def test_documents_of_leaves(spark, tmp_path):
+    f = lambda at, name: (None, at, name, None)
+    e = lambda at, line=0, part="p": (part, at, None, line)
+    rows = [
+        ("d 1%.json", [f(1, "b"), f(0, 'q"\\')], "1"), ("d 1%.json", [f(1, "b"), f(0, "r"), e(0), f(0, "deep")], '"x"'), ("d 1%.json", [f(0, "a")], "null"), ("d 1%.json", [f(1, "b"), f(0, "r"), e(1), f(0, "deep")], "[]"),
+        ("d 1%.json", [f(2, "list"), e(10)], '{"i":1}'), ("d 1%.json", [f(2, "list"), e(9, 5)], '{"i":0}'), ("d 1%.json", [f(2, "list"), e(0, 0, "q")], '"last\\n"'),
+        ("array.json", [e(0), e(0)], "1"), ("array.json", [e(0), e(1)], "2"), ("array.json", [e(1)], "3"), ("one.json", [f(0, "")], "true"),
+    ]
+    folder = f"file://{tmp_path}/docs"
+    files.write_file(spark, f"{folder}/one.json", "old")
+    files.write_file(spark, f"{folder}/kept.json", "kept")
+    assert documents.write_documents(leaves(spark, rows), folder) == ["array.json", "d 1%.json", "one.json"]
+    read = lambda name: json.loads((tmp_path / "docs" / name).read_text())
+    assert read("d 1%.json") == {"a": None, "b": {'q"\\': 1, "r": [{"deep": "x"}, {"deep": []}]}, "list": [{"i": 0}, {"i": 1}, "last\n"]}
+    assert list(read("d 1%.json")) == ["a", "b", "list"] and read("array.json") == [[1, 2], 3] and read("one.json") == {"": True}
+    assert read("_documents.json") == ["array.json", "d 1%.json", "one.json"] and (tmp_path / "docs/kept.json").read_text() == "kept"
+    assert not list((tmp_path / "docs").glob(".staged*"))
+    assert documents.write_documents(leaves(spark, []), f"file://{tmp_path}/none") == []
+
+
+def test_a_failing_write_changes_nothing(spark, tmp_path):
+    folder = f"file://{tmp_path}/docs"
+    files.write_file(spark, f"{folder}/one.json", "old")
+    bad = leaves(spark, [("one.json", [(None, 0, "a", None)], "1")] * 3).withColumn("value", F.expr("CASE WHEN rand() >= 0 THEN raise_error('broken') ELSE value END"))
+    with pytest.raises(Exception, match="broken"):
+        documents.write_documents(bad, folder)
+    assert (tmp_path / "docs/one.json").read_text() == "old" and not (tmp_path / "docs/_documents.json").exists()
+
+
+def test_which_files_stand_for_a_task():
+    names = ["task_c_evaluation.json", "task_c_x_evaluation.json", "task_d_b_evaluation.json", "task_d_a_evaluation.json", "task_e_p_answer_first_9_evaluation.json", "task_e_q_answer_first_evaluation.json", "task_g_evaluation.json", "evaluation_summary.json", "task_z_evaluation.json"]
+    got = {c.task: c.files for c in documents.choose(names)}
+    assert got == {"c": (names[0],), "d": (names[3], names[2]), "e_answer_first": (names[4],), "g": (names[6],)}
+    assert documents.choose(names, ["a", "e_ascii_first"]) == []
+    with pytest.raises(ValueError, match="several"):
+        documents.choose(names, ["e_answer_first"], strict=True)
+
+
+def test_merged_documents_keep_the_first_ones_head(spark, tmp_path):
+    folder = f"file://{tmp_path}/e [1]"
+    doc = lambda n, right, ids: json.dumps({"task": "d", "run_id": "r", "summary": {"total_samples": n, "correct_count": right, "accuracy": right / n}, "breakdown": {}, "individual_results": [{"test_id": i} for i in ids]}, indent=2)
+    files.write_file(spark, f"{folder}/task_d_b_evaluation.json", doc(4, 1, "yz"))
+    files.write_file(spark, f"{folder}/task_d_a_evaluation.json", doc(2, 2, "x"))
+    files.write_file(spark, f"{folder}/task_g_evaluation.json", '{"summary": {}}')
+    heads, rows = documents.load_evaluations(spark, folder)
+    assert {r.task: (r.files, r.total_samples, r.correct_count, r.accuracy) for r in heads.collect()} == {"d": (2, 3, 2.0, 1.0), "g": (1, None, None, None)}
+    assert [(r.task, json.loads(r.result)["test_id"]) for r in rows.orderBy("task", "file", "position").collect()] == [("d", "x"), ("d", "y"), ("d", "z")]
+    strict = documents.load_evaluations(spark, folder, ["d"], strict=True)[0].first()
+    assert (strict.total_samples, strict.correct_count, strict.accuracy) == (6, 3.0, 0.5)
+    assert documents.load_evaluations(spark, f"file://{tmp_path}/none")[1].isEmpty()
 
 
 def test_two_turns_use_what_was_generated(spark):
