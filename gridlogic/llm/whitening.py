@@ -11,17 +11,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from decimal import Decimal
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlogic.llm.common import checkpointed, quoted, ready, table
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: An entry c becomes floor(SCALE * c) + SHIFT.
 SCALE, SHIFT = 64, 1_000_000
 #: Components that are kept.
@@ -61,6 +61,10 @@ class Whitening:
 
 def covariance(rows: DataFrame, vector: str, dims: int, n: int) -> np.ndarray:
     """Of centred rows (array<double>): the Gramian over n."""
+    from pyspark.ml.functions import array_to_vector  # these modules are large, and other queries do not need them
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
+
     vectors = MLUtils.convertVectorColumnsFromML(rows.select(array_to_vector(F.col(vector)).alias("v")), "v")
     return RowMatrix(vectors, 0, dims).computeGramianMatrix().toArray() / n
 
