@@ -140,39 +140,49 @@ class Source:
     """Bytes of a plain or gzip file, record by record: head() first, then either rest() or skip()."""
 
     def __init__(self, file, size: int):
-        self.file, self.size, self.at = file, size, 0
+        self.file, self.size, self.at, self.left = file, size, 0, b""
         self.inflated = 0  # bytes of blocks that were decoded, for those who want to know
 
     def head(self) -> dict[str, str] | None:
-        """Headers of the next record by lower-case name, with '' for the version; None at the end."""
-        if self.at >= self.size:
-            return None
+        """Headers of the next record by lower-case name, with '' for the version; None at the end. A gzip member may hold any number of records."""
+        while True:
+            if self.left:
+                self.data, self.left = self.left, b""
+            elif self.at >= self.size:
+                return None
+            else:
+                self._open()
+            while (end := self.data.find(b"\r\n\r\n")) < 0 and (more := self._more()):
+                self.data += more
+            if end >= 0:
+                break
+            if self.data.strip():
+                raise ValueError(f"a record's headers are cut off at {self.at}")
+            if not self.packed:
+                return None
+            self._leave(b"")
+        lines = re.sub(r"\r\n[ \t]+", " ", self.data[:end].decode("utf-8", "replace")).split("\r\n")
+        lines = [x for x in lines if x]
+        if not lines or not lines[0].startswith("WARC/"):
+            raise ValueError(f"no record at {self.at}")
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        self.block, self.start = int(headers.get("content-length", 0)), end + 4
+        return headers
+
+    def _open(self) -> None:
+        """Begin at a file's record, or at a gzip member."""
         self.file.seek(self.at)
         first = self.file.read(4096)
         self.packed = first[:2] == b"\x1f\x8b"
         self.length = None
         if self.packed:
-            if first[3] & 4 and first[12:14] == b"sl":
+            if first[3] & 4 and first[12:14] == b"sl":  # the length of a member of one record
                 self.length = struct.unpack_from("<I", first, 16)[0]
             self.inflater = zlib.decompressobj(31)
-            self.raw, self.fed = first, len(first)
+            self.fed = len(first)
             self.data = self.inflater.decompress(first, 8192)
         else:
             self.data = first
-        while (end := self.data.find(b"\r\n\r\n")) < 0:
-            more = self._more()
-            if not more:
-                if not self.data.strip():
-                    return None
-                raise ValueError(f"a record's headers are cut off at {self.at}")
-            self.data += more
-        lines = re.sub(r"\r\n[ \t]+", " ", self.data[:end].decode("utf-8", "replace")).split("\r\n")
-        lines = [x for x in lines if x]
-        if not lines or not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at {self.at}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        self.block, self.start = int(headers.get("content-length", 0)), end + 4
-        return headers
 
     def _more(self) -> bytes:
         if not self.packed:
@@ -199,17 +209,32 @@ class Source:
             parts.append(more)
             n += len(more)
         self.inflated += self.block
-        out = b"".join(parts)[: self.block]
-        self.skip()
-        return out
+        out = b"".join(parts)
+        self._leave(out[self.block :])
+        return out[: self.block]
 
     def skip(self) -> None:
+        """Past the record's block; where the member's length is known, or the file is plain, without reading it."""
+        over = b""
+        if self.packed and self.length is None:
+            n, over = self.block - (len(self.data) - self.start), self.data[self.start + self.block :]
+            while n > 0 and (more := self._more()):
+                over = more[n:]
+                n -= len(more)
+        self._leave(over)
+
+    def _leave(self, over: bytes) -> None:
+        """Go on behind a record; over: what of its member was inflated behind its block. If more follows there, the next record is in the same member."""
         if not self.packed:
             self.at += self.start + self.block + 4
             return
         if self.length is None:
-            while not self.inflater.eof and self._more():
-                pass
+            over = over.lstrip(b"\r\n")
+            while not over and (more := self._more()):
+                over = more.lstrip(b"\r\n")
+            if over:
+                self.left = over
+                return
             self.length = self.fed - len(self.inflater.unused_data)
         self.at += self.length
 

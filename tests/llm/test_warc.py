@@ -108,3 +108,22 @@ def test_query_over_the_small_table(spark):
     d = "/root/testdata/sf0.001"
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{d}/pages.parquet").collect()]
     assert sorted(map(str, (tuple(r) for r in W.query(spark, d).collect()))) == sorted(map(str, expected(rows)))
+
+
+def record(i, payload):
+    head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:r:{i}>\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    return head + payload + b"\r\n\r\n"
+
+
+def test_several_records_in_a_gzip_member():
+    payloads = [b"a", b"", b"WARC/1.1\r\n\r\n" * 3, b"x" * 300_000, b"\r\n\r\n", b"end"]
+    whole = [record(i, p) for i, p in enumerate(payloads)]
+    for data in (gzip.compress(b"".join(whole)), gzip.compress(whole[0] + whole[1]) + gzip.compress(b"") + gzip.compress(b"".join(whole[2:])), b"".join(map(gzip.compress, whole)), b"".join(whole)):
+        read = list(W.records(W.Source(io.BytesIO(data), len(data))))
+        assert [r[-1] for r in read] == payloads
+        source = W.Source(io.BytesIO(data), len(data))
+        lengths = []
+        while (head := source.head()) is not None:
+            lengths.append(int(head["content-length"]))
+            source.skip()
+        assert lengths == [len(p) for p in payloads] and source.inflated == 0
