@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlogic.llm.common import checkpointed, join_dealt, table
+from gridlogic.llm.common import checkpointed, join_dealt, quoted, table, unused
 
 WINDOW = 3
 
@@ -41,26 +41,28 @@ def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
     """docs with text cut down to the lines that no repeated window covers; with counts, also n_lines and n_removed.
 
     A null text stays null (n_lines 0). A text all of whose lines go becomes empty; no row goes. A null doc_id comes after all others. Rows with equal
-    doc_id and text are one document and are treated alike. Other columns stay; the names starting with __ are used on the way.
+    doc_id and text are one document and are treated alike. Other columns stay, whatever their names; with counts, n_lines and n_removed must not be
+    among them (ValueError). An empty table gives an empty one. A text is held whole, in one task, however long.
     """
-    starts = repeated(docs).select(F.col("doc_id").alias("__id"), F.col("__text").alias("__hash"), "starts")
-    starts = starts.withColumnRenamed("starts", "__starts")
-    own = docs.withColumn("__text", F.xxhash64("text"))
-    joined = own.join(starts, own["doc_id"].eqNullSafe(starts["__id"]) & (own["__text"] == starts["__hash"]), "left")
-    lines, size = F.split("text", "\n", -1), F.size("__lines")
+    if counts and {"n_lines", "n_removed"} & {c.lower() for c in docs.columns}:
+        raise ValueError("docs has a column n_lines or n_removed")
+    found_id, found_hash, starts, hashed, lined, kept = (unused(docs, n) for n in ("id", "found_hash", "starts", "hash", "lines", "kept"))
+    found = repeated(docs).select(F.col("doc_id").alias(found_id), F.col("__text").alias(found_hash), F.col("starts").alias(starts))
+    own = docs.withColumn(hashed, F.xxhash64("text"))
+    joined = own.join(found, own["doc_id"].eqNullSafe(found[found_id]) & (own[hashed] == found[found_hash]), "left")
+    lines, size = F.split("text", "\n", -1), F.size(lined)
 
     def start(i):
-        return F.coalesce(F.get("__starts", i), size)
+        return F.coalesce(F.get(starts, i), size)
 
     def after(i):  # first line after window i-1
-        return F.least(F.coalesce(F.get("__starts", i - 1) + WINDOW, F.lit(0)), size)
-
-    parts = F.transform(F.sequence(F.lit(0), F.size("__starts")), lambda i: F.slice("__lines", after(i) + 1, F.greatest(start(i) - after(i), F.lit(0))))
-    kept = F.when(F.col("__starts").isNotNull(), F.flatten(parts))
-    cut = joined.withColumn("__lines", lines).withColumn("__kept", kept)
-    text = F.when(F.col("__starts").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
-    extra = [F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.when(F.col("__starts").isNotNull(), size - F.size("__kept")), F.lit(0)).cast("long").alias("n_removed")]
-    return cut.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), *(extra if counts else []))
+        return F.least(F.coalesce(F.get(starts, i - 1) + WINDOW, F.lit(0)), size)
+
+    parts = F.transform(F.sequence(F.lit(0), F.size(starts)), lambda i: F.slice(lined, after(i) + 1, F.greatest(start(i) - after(i), F.lit(0))))
+    cut = joined.withColumn(lined, lines).withColumn(kept, F.when(F.col(starts).isNotNull(), F.flatten(parts)))
+    text = F.when(F.col(starts).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    extra = [F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.when(F.col(starts).isNotNull(), size - F.size(kept)), F.lit(0)).cast("long").alias("n_removed")]
+    return cut.select(*(text.alias("text") if c == "text" else F.col(quoted(c)) for c in docs.columns), *(extra if counts else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,3 +206,13 @@ def test_line_dedup_by_brute_force(spark):
     got = L.dedup_lines(docs(spark, [(i, t, "s") for i, t in rows]), counts=True)
     assert sorted(map(str, ((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()))) == sorted(map(str, slow_dedup(rows)))
     assert L.dedup_lines(docs(spark, [])).collect() == [] and L.dedup_lines(docs(spark, [])).columns == docs(spark, []).columns
+
+
+def test_line_dedup_leaves_other_columns_alone(spark):
+    rows = [(1, "a\nb\nc\nd", "mine", 5, "s", "k"), (2, "a\nb\nc\ne", "mine", 6, None, "k"), (3, None, "mine", 7, "s", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __text string, __id long, __starts string, `__KEPT` string")
+    got = {r.doc_id: tuple(r) for r in L.dedup_lines(df).collect()}
+    assert got == {1: rows[0], 2: (2, "e", *rows[1][2:]), 3: rows[2]}
+    with pytest.raises(ValueError):
+        L.dedup_lines(df.withColumn("N_lines", df.doc_id), counts=True)
+    assert L.dedup_lines(df.withColumn("n_lines", df.doc_id)).columns == [*df.columns, "n_lines"]
