@@ -354,6 +354,8 @@ def thumbnails(stored: list[bytes]) -> list[tuple[Image, np.ndarray] | None]:
                 units = [min(interval, across * down - k) for k in range(0, across * down, interval)]
                 if len(units) != len(starts):
                     raise JpegError("restart markers are missing")
+                if across * down * 2 > 8 * len(part):  # a unit takes two bits at least, so that a frame's size alone can't ask for memory
+                    raise JpegError("the scan is cut off")
                 parts.append((image, part, np.array(starts), np.array(units)))
                 at = image.end
         except JpegError:
@@ -369,7 +371,7 @@ def thumbnails(stored: list[bytes]) -> list[tuple[Image, np.ndarray] | None]:
             _decoders[signature] = Decoder(members[0][2])
         try:
             levels = _decode(_decoders[signature], members)
-        except JpegError:  # one is damaged: each by itself
+        except (JpegError, IndexError):  # one is damaged: each by itself
             levels = []
             for m in members:
                 try:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -84,3 +85,18 @@ def test_query_over_the_small_table(spark):
         n, payload = M.padded(docs[r.doc_id])
         stored = J.encode([payload])[0]
         assert (r.n_bytes, r.payload_sha256, r.media_bytes, r.media_sha256) == (n, hashlib.sha256(payload).hexdigest(), len(stored), hashlib.sha256(stored).hexdigest())
+
+
+def test_cut_scans_without_restart_markers():
+    whole = J.encode([bytes(range(192)) * 20])[0]
+    for data in (whole, *(whole[:n] for n in range(2, len(whole), 7))):
+        J.thumbnails([data, whole])  # no exception, whatever is cut
+    head = whole[: whole.index(b"\xff\xda")]
+    scan = whole[len(head) : len(head) + 2 + int.from_bytes(whole[len(head) + 2 : len(head) + 4], "big")]
+    at = head.index(b"\xff\xc0")
+    for side in (64, 1024, 65528):
+        frame = head[: at + 5] + side.to_bytes(2, "big") * 2 + head[at + 9 :]
+        frame = re.sub(rb"\xff\xdd\x00\x04..", b"", frame, flags=re.S)  # no restart interval
+        for tail in (b"", b"\xff\xd9"):
+            cut = frame + scan + b"\x12\x34\x56\x78" + tail
+            assert J.thumbnails([cut, whole])[0] is None and J.thumbnails([cut, whole])[1] is not None
