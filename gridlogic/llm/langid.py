@@ -19,8 +19,9 @@ from gridlogic.llm.common import checkpointed, quoted, ready, table, unused
 
 #: Labelled documents per language that are learned from at most: the bound of the sample. Their texts are read whole.
 SAMPLE_DOCS = 400
-#: Bytes of a dictionary, and of the longest word in it; languages at most, as each worker holds a dictionary for each.
-DICT_BYTES, WORD_BYTES, MOST_LANGS = 16_000, 64, 1_000
+#: Bytes of a dictionary, and of the longest word in it, longer ones being cut into pieces of so many characters (languages without spaces have no others); languages
+#: at most, as each worker holds a dictionary for each.
+DICT_BYTES, WORD_BYTES, PIECE_CHARS, MOST_LANGS = 16_000, 64, 3, 1_000
 #: Bytes of text compressed at once, and zstandard's level.
 CHUNK, LEVEL = 2048, 6
 #: Texts with a smaller margin are rejected.
@@ -57,7 +58,9 @@ def dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: in
     chosen = checkpointed(sample(docs, sample_docs))
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
     own = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    words = own.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where((F.col("word") != "") & (F.octet_length("word") <= WORD_BYTES))
+    words = own.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where(F.col("word") != "")
+    pieces = F.regexp_extract_all("word", F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0))
+    words = words.select("lang", F.explode(F.when(F.octet_length("word") <= WORD_BYTES, F.array("word")).otherwise(pieces)).alias("word"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     ranked = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= dict_bytes // 2)
     found: dict[str, list[bytes]] = {}

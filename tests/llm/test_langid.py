@@ -116,3 +116,22 @@ def test_taken_names(spark):
     assert I.keep_identified(df.withColumn("__score", F.lit(1))).columns == [*df.columns, "__score"]
     with pytest.raises(ValueError):
         I.classify(df, {})
+
+
+def test_a_language_without_spaces_is_learned(spark):
+    import random
+
+    rng = random.Random(3)
+    signs = [chr(0x4E00 + 37 * i) for i in range(120)]
+    parts = ["".join(rng.choices(signs, k=2)) for _ in range(60)]
+    words = {"en": [f"eng{i}ish" for i in range(50)], "de": [f"deu{i}sch" for i in range(50)]}
+    rows = []
+    for i in range(160):
+        lang = ("zh", "en", "de", "zh")[i % 4]
+        text = "".join(rng.choices(parts, k=60)) if lang == "zh" else " ".join(rng.choices(words[lang], k=40))
+        rows.append((i, lang, text))
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    learned = I.dictionaries(docs)
+    assert set(learned) == {"zh", "en", "de"}
+    got = I.classify(docs, learned).collect()
+    assert all(r.lang_pred == r.lang for r in got)
