@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlogic.sources.files import globless, parsed_lines
+
 
 def answers_by_query(qrels: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, reference_answers) of judgements above zero (query_id, doc_id, score) and (doc_id, text)."""
@@ -21,3 +23,11 @@ def questions_with_answers(questions: DataFrame, queries: DataFrame, answers: Da
 def stepgame_rows(rows: DataFrame) -> DataFrame:
     """Place as id, targets as target."""
     return rows.select(F.concat(F.lit("step-"), F.col("ord").cast("string")).alias("id"), "question", F.col("targets").alias("target"), "context")
+
+
+def line_places(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """(ord, and the schema's fields) of JSON lines below a folder, ord being a line's folder below root and its number there, so that files of two folders that were
+    written alike can be put side by side. A folder is one file."""
+    rows = parsed_lines(spark, f"{globless(root.rstrip('/'))}/*/*", schema)
+    folder = F.regexp_extract("file", r"([^/]*)/[^/]*$", 1)
+    return rows.where(~F.col("blank")).select(F.concat(folder, F.lit("/"), F.col("ord").cast("string")).alias("ord"), "row.*").drop("__bad")

@@ -180,8 +180,8 @@ def jsonl_scan(spark, sf_dir):
 
 @query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
 def jsonl_index(spark, sf_dir):
-    """Of lines with one id the last of the file."""
-    own = table(spark, sf_dir, "events").select("user_id", "event_id").orderBy("event_id").coalesce(1)
+    """Of lines with one id the last, over files that were written in the order of their names."""
+    own = table(spark, sf_dir, "events").select("user_id", "event_id").orderBy("event_id")
     S_.write_jsonl(own, path := scratch(spark, "events.jsonl"))
     return S_.read_index(spark, path, "user_id long, event_id long", "user_id")
 

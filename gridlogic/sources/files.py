@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, fields
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlogic.session import ship_package
@@ -196,15 +196,72 @@ def copy_without(spark: SparkSession, source: str, target: str, held_out: DataFr
     lines.join(held_out.select("id").distinct(), "id", "left_anti").select("value").write.mode("overwrite").text(target)
 
 
-def babi_stories(lines: DataFrame) -> DataFrame:
-    """(file, ord, passage, question, answer) of numbered lines (file, ord, value): number 1 begins a story; a line with tabs asks about
-    the lines before it. A file is a group."""
-    from pyspark.sql import Window
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, ord, value): the lines of files, numbered from 0 in each, blank ones too. However many splits a file is read in: each split counts its lines, counts are
+    added up over the splits before, and a line adds its place in its own."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), "value")
+    splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a split
+    placed = splits.select("file", "block", (before - F.col("first")).alias("shift"))
+    return lines.join(placed, ["file", "block"]).select(decoded(F.col("file")).alias("file"), (F.col("shift") + F.col("k")).alias("ord"), "value")
+
+
+#: What becomes of a line that is blank, or that is no JSON object of the schema.
+BLANKS, BAD = ("skip", "fail"), ("fail", "nulls", "drop")
+
+
+def parsed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, ord, value, row, blank, bad): JSON lines with their places; bad: not blank, and no JSON object of the schema."""
+    read = F.from_json("value", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"})
+    blank = F.trim("value") == ""
+    own = numbered_lines(spark, path).select("*", F.explode(F.array(read)).alias("row"), blank.alias("blank"))
+    return own.withColumn("bad", ~F.col("blank") & (F.col("row").isNull() | F.col("row.__bad").isNotNull()))
+
+
+def checked_jsonl(spark: SparkSession, path: str, schema: str = INSTANCE, blanks: str = "skip", bad: str = "fail") -> DataFrame:
+    """S1/S2 by the reader's mode: blank lines are skipped, or an error; lines that don't parse are an error, rows of nulls, or dropped. An error names the file and the line,
+    numbered from 1, and no row goes without its check, even where rows are only counted."""
+    if blanks not in BLANKS or bad not in BAD:
+        raise ValueError(f"blanks is one of {BLANKS}, bad of {BAD}")
+    rows = parsed_lines(spark, path, schema)
+    at = F.concat("file", F.lit(", line "), (F.col("ord") + 1).cast("string"))
+    stop = F
+    for name, wanted in (("blank", blanks), ("bad", bad)):
+        if wanted == "fail":
+            stop = stop.when(F.col(name), F.raise_error(F.concat(F.lit(f"a {name} line: "), at)).cast("boolean"))
+    kept = rows.where(stop.otherwise(F.lit(True)) if stop is not F else F.lit(True)).where(~F.col("blank"))
+    fields = [f"row.{quoted(f.name)}" for f in rows.schema["row"].dataType if f.name != "__bad"]
+    return (kept.where(~F.col("bad")) if bad == "drop" else kept).select(*fields)
+
 
-    by_file = Window.partitionBy("file").orderBy("ord")
+def quarantine(spark: SparkSession, path: str, sink: str, schema: str = INSTANCE) -> DataFrame:
+    """The rows of the lines that parse. Those that don't go to a sink as JSON lines (file, line, value), the line numbered from 1; blank ones go nowhere."""
+    rows = parsed_lines(spark, path, schema)
+    rows.where("bad").select("file", (F.col("ord") + 1).alias("line"), "value").write.mode("overwrite").json(sink)
+    return rows.where(~F.col("blank") & ~F.col("bad")).select(*(f"row.{quoted(f.name)}" for f in rows.schema["row"].dataType if f.name != "__bad"))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def running_total(rows: DataFrame, value: Column, to: str, span: int = 100_000) -> DataFrame:
+    """Rows (file, ord, ...) with the sum of value up to each, by file. A file is cut into spans of ord; each span adds up its own rows, and what came before is a sum over spans."""
+    cut = rows.withColumns({"__v": value, "__span": F.floor(F.col("ord") / span)})
+    spans = cut.groupBy("file", "__span").agg(F.sum("__v").alias("__own"))
+    before = F.coalesce(F.sum("__own").over(Window.partitionBy("file").orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a span
+    placed = spans.select(F.col("file").alias("__file"), F.col("__span").alias("__at"), before.alias("__before"))
+    own = cut.withColumn("__own", F.sum("__v").over(Window.partitionBy("file", "__span").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)))
+    joined = own.join(placed, own["file"].eqNullSafe(placed["__file"]) & own["__span"].eqNullSafe(placed["__at"]))
+    return joined.withColumn(to, F.col("__before") + F.col("__own")).drop("__v", "__span", "__own", "__file", "__at", "__before")
+
+
+def babi_stories(lines: DataFrame, span: int = 100_000) -> DataFrame:
+    """(file, ord, passage, question, answer) of numbered lines (file, ord, value): number 1 begins a story; a line with tabs asks about
+    the lines before it. A story is a group; a file is not, as stories are numbered span by span."""
     number = F.regexp_extract("value", r"^(\d+) ", 1).cast("int")
     text = F.regexp_replace("value", r"^\d+ ", "")
-    told = lines.select("file", "ord", number.alias("number"), text.alias("text")).withColumn("story", F.sum(F.when(F.col("number") == 1, 1).otherwise(0)).over(by_file))
+    told = running_total(lines.select("file", "ord", number.alias("number"), text.alias("text")), F.when(F.col("number") == 1, 1).otherwise(0), "story", span)
     before = Window.partitionBy("file", "story").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     with_passage = told.withColumn("passage", F.array_join(F.collect_list(F.when(~F.contains("text", F.lit("\t")), F.trim("text"))).over(before), " "))
     parts = F.split("text", "\t")

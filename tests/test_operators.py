@@ -83,12 +83,105 @@ def test_results_are_appended_once_over_restarts(spark, tmp_path):
     for name, ids in (("1.json", ["a", "b", "a"]), ("2.json", ["b", "c"])):
         add(name, ids)
         resume.append_once(resume.read_stream(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    got = spark.read.schema(files.RESULT).json(str(tmp_path / "out"))
+    got = resume.read_target(spark, str(tmp_path / "out"))
     assert sorted(r.test_id for r in got.collect()) == ["a", "b", "c"]
     cases = spark.createDataFrame([("a",), ("d",)], "test_id string")
     assert [r.test_id for r in sampling.pending(cases, got).collect()] == ["d"]
 
 
+def test_another_checkpoint_keeps_what_is_there(spark, tmp_path):
+    target, expected = str(tmp_path / "out"), {}
+    for batch in range(10):
+        source = tmp_path / f"in{batch % 2}"
+        source.mkdir(exist_ok=True)
+        rows = [{"test_id": f"t{i}", "model_output": f"{batch}"} for i in range(batch * 30, batch * 30 + 60)]
+        (source / f"{batch}.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+        for r in rows:
+            expected.setdefault(r["test_id"], r["model_output"])
+        resume.append_once(resume.read_stream(spark, str(source)), target, str(tmp_path / f"state{batch % 2}")).awaitTermination()
+    assert {r.test_id: r.model_output for r in resume.read_target(spark, target).collect()} == expected
+    assert resume.read_target(spark, target).count() == len(expected) == 330
+
+
+def test_a_batch_reads_the_buckets_of_its_keys(spark, tmp_path):
+    target, schema = str(tmp_path / "out"), "test_id string, model_output string"
+    for n in range(3):
+        rows = [(f"k{n}-{i}", "x") for i in range(2000)]
+        assert resume.append_rows(spark.createDataFrame(rows, schema), target, f"c{n}") == 2000
+    files_in = lambda buckets: [r.f for r in resume.known_keys(spark, target, "test_id", "string", buckets).select("*", F.input_file_name().alias("f")).select("f").distinct().collect()]
+    everything = files_in(list(range(resume.BUCKETS)))
+    assert len(everything) > 2.9 * resume.BUCKETS  # each commit's keys fill all buckets, or all but a few
+    one = spark.createDataFrame([("k1-7",)], "k string").select(resume.bucket(F.col("k"), resume.BUCKETS).alias("b")).first().b
+    few = files_in([one])
+    assert len(few) == 3 and all(f"bucket={one}/" in f for f in few)
+    plan = resume.known_keys(spark, target, "test_id", "string", [one])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+    assert resume.append_rows(spark.createDataFrame([("k1-7", "again"), ("new", "b"), ("new", "a"), (None, "c"), (None, "d")], schema), target, "c3") == 2
+    resume.merge_keys(spark, target)
+    assert len(files_in([one])) == 1 and len(files_in(list(range(resume.BUCKETS)))) <= resume.BUCKETS
+    assert resume.append_rows(spark.createDataFrame([("k2-9", "again"), ("new", "b"), (None, "e"), ("newer", "a")], schema), target, "c4") == 1
+    got = resume.read_target(spark, target, schema)
+    assert got.count() == 6003 and {r.model_output for r in got.where("test_id = 'new' or test_id is null").collect()} == {"a", "c"}
+
+
+def test_a_commit_that_did_not_end_is_not_there(spark, tmp_path):
+    target, schema = str(tmp_path / "out"), "test_id string, model_output string"
+    resume.append_rows(spark.createDataFrame([("a", "1")], schema), target, "c0")
+    resume.append_rows(spark.createDataFrame([("b", "1")], schema), target, "c1")
+    (tmp_path / "out/commits/c1").unlink()  # as if the driver had stopped before the marker
+    assert [r.test_id for r in resume.read_target(spark, target, schema).collect()] == ["a"]
+    resume.append_rows(spark.createDataFrame([("b", "2"), ("a", "2")], schema), target, "other")
+    resume.append_rows(spark.createDataFrame([("b", "1"), ("c", "1")], schema), target, "c1")  # run again, it replaces itself
+    assert resume.append_rows(spark.createDataFrame([("z", "1")], schema), target, "c1") == 0
+    assert sorted(tuple(r)[:2] for r in resume.read_target(spark, target, schema).collect()) == [("a", "1"), ("b", "2"), ("c", "1")]
+    assert resume.append_rows(spark.createDataFrame([], schema), target, "none") == 0
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path, small_splits):
+    for name, n in (("a b%.txt", 1000), ("c.txt", 3), ("empty.txt", 0)):
+        (tmp_path / name).write_text("".join(f"{i}\n" if i % 10 else "\n" for i in range(n)))
+    lines = files.numbered_lines(spark, str(tmp_path))
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+    got = lines.collect()
+    assert len(got) == 1003 and all(r.value == (str(r.ord) if r.ord % 10 else "") for r in got)
+    assert {r.file.rsplit("/", 1)[1] for r in got} == {"a b%.txt", "c.txt"}
+
+
+def test_reading_modes(spark, tmp_path, small_splits):
+    rows = ['{"id": "1", "n": 5}', "", '{"id": "2"', "   ", '{"id": "3", "n": "x"}', "[1]", "null", '{"other": 1}'] * 40
+    (tmp_path / "x.jsonl").write_text("\n".join(rows))
+    path, schema = str(tmp_path / "x.jsonl"), "id string, n int"
+    read = lambda **how: files.checked_jsonl(spark, path, schema, **how)
+    assert read(bad="nulls").count() == 6 * 40
+    good = read(bad="drop").collect()
+    assert len(good) % 40 == 0 and {(r.id, r.n) for r in good} >= {("1", 5), (None, None)}
+    with pytest.raises(Exception, match=r"a bad line: .*x.jsonl, line \d+"):
+        read().where("id = '2'").count()
+    with pytest.raises(Exception, match="a blank line"):
+        read(blanks="fail", bad="nulls").count()
+    with pytest.raises(ValueError):
+        read(blanks="maybe")
+    assert files.quarantine(spark, path, str(tmp_path / "bad"), schema).count() == len(good)
+    bad = spark.read.schema("file string, line long, value string").json(str(tmp_path / "bad")).collect()
+    assert len(bad) + len(good) == 6 * 40 and all(rows[r.line - 1] == r.value for r in bad) and '{"id": "2"' in {r.value for r in bad}
+
+
+def test_stories_over_spans(spark):
+    text = [f"{1 + i % 7} {'Where?' + chr(9) + 'n,e' if i % 7 == 6 else f'fact {i}.'}" for i in range(700)]
+    lines = spark.createDataFrame([(f, i, t) for f in ("a", "b") for i, t in enumerate(text)], "file string, ord long, value string")
+    whole = sorted(map(tuple, files.babi_stories(lines).collect()))
+    assert whole == sorted(map(tuple, files.babi_stories(lines, span=10).collect())) and len(whole) == 200
+    assert whole[1] == ("a", 13, " ".join(f"fact {i}." for i in range(7, 13)), "Where?", "north east")
+
+
 def test_generated_rows_answer_themselves(spark):
     rows = generate.balanced_dataset(spark, 40, seed=5)
     rows = rows.cache()
