@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from gridlogic.functions.algebra import compose, horizontal, inverse, vertical
 from gridlogic.functions.text import phrase
 
-PATHS = "array<struct<src:string,node:string,dist:int,dirs:array<string>,ords:array<int>,nodes:array<string>>>"
+#: One entry for each pair: how far, the first shortest path, how many there are (null beyond 38 digits), and by axis the distinct nets of all of them.
+PATHS = "array<struct<src:string,node:string,dist:int,dirs:array<string>,ords:array<int>,nodes:array<string>,n:decimal(38,0),vertical:array<string>,horizontal:array<string>>>"
+AXES = {"vertical": (vertical, "above", "below", "same level"), "horizontal": (horizontal, "left", "right", "same column")}
+#: What a path's steps on an axis come to: none, the one way, the other way, or both ways.
+NONE, ONE, OTHER, BOTH = "none", "one", "other", "both"
 
 
 def edges(stated: Column) -> Column:
@@ -27,24 +31,64 @@ def nodes(graph: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(graph, lambda e: e["src"])))
 
 
-def shortest_paths(graph: Column) -> Column:
-    """All shortest paths between all nodes, by one level of the search after another; a node reaches itself by an empty path."""
-    names = nodes(graph)
-    start = F.transform(names, lambda n: F.struct(n.alias("src"), n.alias("node"), F.lit(0).alias("dist"), F.array().cast("array<string>").alias("dirs"), F.array().cast("array<int>").alias("ords"), F.array(n).alias("nodes")))
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once: a lambda's variable holds it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _net(state: Column, part: Column, axis: str) -> Column:
+    """A path's net after one more step."""
+    _, one, other, _ = AXES[axis]
+    return F.when(part == one, F.when(state.isin(NONE, ONE), ONE).otherwise(BOTH)).when(part == other, F.when(state.isin(NONE, OTHER), OTHER).otherwise(BOTH)).otherwise(state)
+
+
+def paths_from(graph: Column, src: Column, levels: Column) -> Column:
+    """G8 from one node: a search by levels, an entry for each node that is reached; the node itself by an empty path.
+
+    Paths are not listed: a node's entry is made of those of the nodes before it. Counts add up, nets are the distinct ones of four after the step, and the first path
+    is the first predecessor's with the first edge, in the order in which a search visits neighbours. So a scene costs nodes x edges, however many paths it has.
+    """
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    start = F.array(F.struct(src.alias("src"), src.alias("node"), F.lit(0).alias("dist"), none("string").alias("dirs"), none("int").alias("ords"), F.array(src).alias("nodes"), F.lit(1).cast("decimal(38,0)").alias("n"), F.array(F.lit(NONE)).alias("vertical"), F.array(F.lit(NONE)).alias("horizontal")))
 
     def grow(found, level):
         def further(p):
-            fresh = F.filter(graph, lambda e: (e["src"] == p["node"]) & ~F.exists(found, lambda q: (q["src"] == p["src"]) & (q["node"] == e["dst"])))
-            return F.transform(fresh, lambda e: F.struct(p["src"].alias("src"), e["dst"].alias("node"), level.alias("dist"), F.concat(p["dirs"], F.array(e["dir"])).alias("dirs"), F.concat(p["ords"], F.array(e["ord"])).alias("ords"), F.concat(p["nodes"], F.array(e["dst"])).alias("nodes")))
-
-        return F.concat(found, F.flatten(F.transform(F.filter(found, lambda p: p["dist"] == level - 1), further)))
+            fresh = F.filter(graph, lambda e: (e["src"] == p["node"]) & ~F.exists(found, lambda q: q["node"] == e["dst"]))
+            return F.transform(fresh, lambda e: F.struct(e["dst"].alias("node"), p.alias("p"), e.alias("e")))
+
+        def entry(own):
+            first = F.get(own, F.lit(0))
+            nets = lambda axis: F.array_distinct(F.flatten(F.transform(own, lambda x: F.transform(x["p"][axis], lambda state: _net(state, AXES[axis][0](x["e"]["dir"]), axis)))))
+            count = F.aggregate(own, F.lit(0).cast("decimal(38,0)"), lambda n, x: F.try_add(n, x["p"]["n"]).cast("decimal(38,0)"))
+            p, e = first["p"], first["e"]
+            return F.struct(
+                src.alias("src"), first["node"].alias("node"), level.alias("dist"), F.concat(p["dirs"], F.array(e["dir"])).alias("dirs"), F.concat(p["ords"], F.array(e["ord"])).alias("ords"),
+                F.concat(p["nodes"], F.array(first["node"])).alias("nodes"), count.alias("n"), nets("vertical").alias("vertical"), nets("horizontal").alias("horizontal"),
+            )
+
+        steps = F.flatten(F.transform(F.filter(found, lambda p: p["dist"] == level - 1), further))
+        merged = bound(steps, lambda c: F.transform(F.array_distinct(F.transform(c, lambda x: x["node"])), lambda n: bound(F.filter(c, lambda x: x["node"] == n), entry)))
+        return F.concat(found, merged)
 
-    levels = F.when(F.size(names) > 1, F.sequence(F.lit(1), F.size(names) - 1)).otherwise(F.array().cast("array<int>"))
     return F.aggregate(levels, start.cast(PATHS), lambda found, level: grow(found, level).cast(PATHS))
 
 
+def _levels(names: Column) -> Column:
+    return F.when(F.size(names) > 1, F.sequence(F.lit(1), F.size(names) - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def shortest_paths(graph: Column) -> Column:
+    """paths_from() each node."""
+    return bound(nodes(graph), lambda names: F.flatten(F.transform(names, lambda n: paths_from(graph, n, _levels(names)))))
+
+
+def shortest_paths_from(graph: Column, src: Column) -> Column:
+    """paths_from() one node alone; empty if it has no edge."""
+    return bound(nodes(graph), lambda names: F.when(F.array_contains(names, src), paths_from(graph, src, _levels(names))).otherwise(F.array().cast(PATHS)))
+
+
 def first_path(paths: Column, src: Column, node: Column) -> Column:
-    """The shortest path that a search in the order of statements finds first; null if there is none. shortest_paths() grows paths in that order."""
+    """The entry of a pair, with the shortest path that a search in the order of statements finds first; null if there is none."""
     return F.get(F.filter(paths, lambda p: (p["src"] == src) & (p["node"] == node)), F.lit(0))
 
 
@@ -106,41 +150,49 @@ def reaches_without(graph: Column, start: Column, goal: Column, barred: Column,
     return F.array_contains(F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), F.array(start), lambda seen, _: step(seen)), goal)
 
 
-AXES = {"vertical": (vertical, "above", "below", "same level"), "horizontal": (horizontal, "left", "right", "same column")}
-
-
 def agreed(paths: Column, src: Column, node: Column, axis: str) -> Column:
     """The component that all shortest paths have; null if one holds both opposites, or they differ, or there is none."""
-    part, one, other, neither = AXES[axis]
-    own = F.filter(paths, lambda p: (p["src"] == src) & (p["node"] == node))
+    _, one, other, neither = AXES[axis]
+    nets = first_path(paths, src, node)[axis]
+    return bound(nets, lambda found: F.when(F.size(found) == 1, F.when(found[0] == ONE, one).when(found[0] == OTHER, other).when(found[0] == NONE, neither)))
 
-    def net(p):
-        parts = F.transform(p["dirs"], part)
-        a, b = F.array_contains(parts, one), F.array_contains(parts, other)
-        return F.when(a & b, "both").when(a, one).when(b, other).otherwise(neither)
 
-    found = F.array_distinct(F.transform(own, net))
-    return F.when((F.size(found) == 1) & (F.get(found, F.lit(0)) != "both"), F.get(found, F.lit(0)))
+def cuts(graph: Column) -> Column:
+    """Array of (barred, parts): for each node the components() of what is left without it."""
+    without = lambda b: F.filter(graph, lambda e: (e["src"] != b) & (e["dst"] != b) & (e["src"] < e["dst"]))
+    return bound(nodes(graph), lambda names: F.transform(names, lambda b: F.struct(b.alias("barred"), components(F.filter(names, lambda n: n != b), without(b)).alias("parts"))))
 
 
-def axis_unique(graph: Column, paths: Column, obj1: Column, obj2: Column, axis: str) -> Column:
-    """Whether obj1's component as seen from obj2 follows for any lengths of the stated steps; obj2 alone is the reference of clusters, so the order matters."""
+def apart(cut: Column, barred: Column, a: Column, b: Column) -> Column:
+    """Whether a and b hang together only through barred."""
+    parts = F.get(F.filter(cut, lambda c: c["barred"] == barred), F.lit(0))["parts"]
+    root = lambda found, n: F.get(F.filter(found, lambda p: p["node"] == n), F.lit(0))["root"]
+    return bound(parts, lambda found: ~root(found, a).eqNullSafe(root(found, b)))
+
+
+def axis_unique(graph: Column, paths: Column, obj1: Column, obj2: Column, axis: str, cut: Column | None = None) -> Column:
+    """Whether obj1's component as seen from obj2 follows for any lengths of the stated steps; obj2 alone is the reference of clusters, so the order matters. cut: cuts() of
+    the graph, where many pairs are asked for; without it, each pair searches for itself."""
     part = AXES[axis][0]
     names = nodes(graph)
     direct = lambda a, b: F.exists(graph, lambda e: (e["src"] == b) & (e["dst"] == a))
-    component = agreed(paths, obj2, obj1, axis)
-    siblings = F.filter(graph, lambda e: (e["src"] == obj2) & (e["dst"] != obj1) & (part(e["dir"]) == component))  # U2
-    loose = F.exists(siblings, lambda e: ~direct(obj1, e["dst"]) & ~reaches_without(graph, obj1, e["dst"], obj2, F.size(names)))  # U3
-    known = F.array_contains(names, obj1) & F.array_contains(names, obj2)
-    return F.when(~known, False).when(obj1 == obj2, True).when(direct(obj1, obj2), True).when(component.isNull(), False).otherwise(~loose)
 
+    def judged(component):
+        siblings = F.filter(graph, lambda e: (e["src"] == obj2) & (e["dst"] != obj1) & (part(e["dir"]) == component))  # U2
+        parted = (lambda e: apart(cut, obj2, obj1, e["dst"])) if cut is not None else (lambda e: ~reaches_without(graph, obj1, e["dst"], obj2, F.size(names)))
+        loose = F.exists(siblings, lambda e: ~direct(obj1, e["dst"]) & parted(e))  # U3
+        return F.when(component.isNull(), False).otherwise(~loose)
 
-def unique(graph: Column, paths: Column, obj1: Column, obj2: Column) -> Column:
+    known = F.exists(graph, lambda e: e["src"] == obj1) & F.exists(graph, lambda e: e["src"] == obj2)
+    return F.when(~known, False).when(obj1 == obj2, True).when(direct(obj1, obj2), True).otherwise(bound(agreed(paths, obj2, obj1, axis), judged))
+
+
+def unique(graph: Column, paths: Column, obj1: Column, obj2: Column, cut: Column | None = None) -> Column:
     """U6."""
-    return axis_unique(graph, paths, obj1, obj2, "vertical") & axis_unique(graph, paths, obj1, obj2, "horizontal")
+    return axis_unique(graph, paths, obj1, obj2, "vertical", cut) & axis_unique(graph, paths, obj1, obj2, "horizontal", cut)
 
 
 def layout_unique(graph: Column, paths: Column) -> Column:
     """Every pair, the lesser name first, is unique."""
-    names = nodes(graph)
-    return F.forall(names, lambda a: F.forall(F.filter(names, lambda b: b > a), lambda b: unique(graph, paths, a, b)))
+    every = lambda cut: bound(nodes(graph), lambda names: F.forall(names, lambda a: F.forall(F.filter(names, lambda b: b > a), lambda b: unique(graph, paths, a, b, cut))))
+    return bound(cuts(graph), every)

@@ -147,11 +147,11 @@ def pair_options(rows: DataFrame) -> DataFrame:
     horizontal relation."""
     names = F.transform("layout", lambda o: o["obj"])
     pairs = F.flatten(F.transform(names, lambda a: F.transform(F.filter(names, lambda b: b > a), lambda b: F.struct(a.alias("obj1"), b.alias("obj2")))))
-    one = lambda p, axis: G.axis_unique(F.col("graph"), F.col("paths"), p["obj1"], p["obj2"], axis)
-    own = held(rows, __pairs=pairs)
+    one = lambda p, axis: G.axis_unique(F.col("graph"), F.col("paths"), p["obj1"], p["obj2"], axis, F.col("__cut"))
+    own = held(rows, __pairs=pairs, __cut=G.cuts(F.col("graph")))
     own = held(own, __judged=F.transform("__pairs", lambda p: F.struct(p["obj1"].alias("obj1"), p["obj2"].alias("obj2"), one(p, "vertical").alias("v"), one(p, "horizontal").alias("h"))))
     types = lambda p: F.array_compact(F.array(F.when(p["v"] & p["h"], "full"), F.when(p["v"], "vertical"), F.when(p["h"], "horizontal")))
-    return held(own, options=F.filter(F.transform("__judged", lambda p: F.struct(p["obj1"].alias("obj1"), p["obj2"].alias("obj2"), types(p).alias("types"))), lambda p: F.size(p["types"]) > 0)).drop("__pairs", "__judged")
+    return held(own, options=F.filter(F.transform("__judged", lambda p: F.struct(p["obj1"].alias("obj1"), p["obj2"].alias("obj2"), types(p).alias("types"))), lambda p: F.size(p["types"]) > 0)).drop("__pairs", "__judged", "__cut")
 
 
 def questions(structures_: DataFrame, seed: int = 42) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridlogic.functions import score as E
@@ -10,6 +11,7 @@ from gridlogic.operators import external as X
 from gridlogic.operators import metrics as M
 from gridlogic.operators import sampling as S
 from gridlogic.operators import training as N
+from gridlogic.operators.balance import balanced
 from gridlogic.plans import layout_queries  # noqa: F401  registers the renderings
 from gridlogic.plans.registry import ORACLES, query
 from gridlogic.plans.scenes import quoted, rel
@@ -81,6 +83,28 @@ def quota_balance(spark, sf_dir):
     return S.quota_selection(instances(spark, sf_dir).select("id", "num_components"), "num_components", shares, "id", 42)
 
 
+#: Shares of five marginals, of a tenth of all instances.
+MARGINALS = {
+    "num_components": {2: 0.025, 3: 0.075} | dict.fromkeys(range(4, 9), 0.18), "is_directly_stated": {True: 0.5, False: 0.5}, "has_unique_layout": {True: 0.5, False: 0.5},
+    "query_type": {"full": 0.4, "vertical": 0.3, "horizontal": 0.3}, "terminology_used": {"urgent": 0.1, "high": 0.2, "medium": 0.2, "low": 0.3, "not specified": 0.2},
+}
+_shares = " UNION ALL ".join(f"SELECT '{c}' AS factor, {quoted(str(v).lower() if isinstance(v, bool) else str(v))} AS value, {share}::DOUBLE AS share" for c, own in MARGINALS.items() for v, share in own.items())
+
+
+@query(f"SELECT factor, value, TRUE AS met, (SELECT count(*) // 10 FROM orders) AS rows_taken, (SELECT count(*) // 10 FROM orders) AS instances FROM ({_shares})")
+def balanced_marginals(spark, sf_dir):
+    """A tenth of all instances, each of five marginals within one row of its share."""
+    own = instances(spark, sf_dir)
+    total = own.count() // 10
+    taken = balanced(own, MARGINALS, total, "id").select("id", *(F.col(c).cast("string").alias(c) for c in MARGINALS))
+    stacked = F.explode(F.array(*(F.struct(F.lit(c).alias("factor"), F.col(c).alias("value")) for c in MARGINALS)))
+    counts = taken.select("id", stacked.alias("f")).groupBy("f.factor", "f.value").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("instances"))
+    shares = [(c, str(v).lower() if isinstance(v, bool) else str(v), share) for c, marginal in MARGINALS.items() for v, share in marginal.items()]
+    want = spark.createDataFrame(shares, "factor string, value string, share double")
+    of_factor = Window.partitionBy("factor")
+    return want.join(counts, ["factor", "value"], "left").select("factor", "value", (F.abs(F.col("n") - F.col("share") * total) <= 1).alias("met"), F.sum("n").over(of_factor).alias("rows_taken"), F.sum("instances").over(of_factor).alias("instances"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_mktsegment < 'C' THEN 'above, left' WHEN c_mktsegment < 'I' THEN 'Above and to the left.' ELSE 'north' END AS prediction, CASE WHEN c_mktsegment < 'I' THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM customer")
 def stepgame_score(spark, sf_dir):
     """X14, E12."""

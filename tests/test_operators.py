@@ -3,10 +3,13 @@
 import json
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridlogic.operators import dashboard, generate, metrics, sampling, tasks, training
+from gridlogic.functions import graph
+from gridlogic.operators import balance, dashboard, generate, metrics, sampling, tasks, training
+from gridlogic.operators.hold import held
 from gridlogic.sources import files
 from gridlogic.streaming import resume
 
@@ -263,3 +266,92 @@ def test_run_summaries(spark):
     summary = dashboard.run_summary(rows)
     assert {r.task: (r.base, r.tuned) for r in dashboard.base_vs_tuned(summary, "base", "tuned").collect()} == {"C": (0.5, 1.0), "D": (0.0, 1.0)}
     assert {r.run: r.tasks for r in dashboard.dashboard(summary).collect()} == {"base": "C", "tuned": "C,D"}
+
+
+def test_several_marginals_at_once(spark):
+    targets = {"a": {0: 0.1, 1: 0.3, 2: 0.6}, "b": {"x": 0.5, "y": 0.5}, "c": {True: 0.25, False: 0.75}, "d": {k: 1.0 for k in range(5)}}
+    rows = spark.range(20_000).select(F.col("id"), (F.xxhash64("id") % 4).cast("int").alias("a0"), F.when(F.xxhash64("id", F.lit(1)) % 3 == 0, "x").otherwise("y").alias("b"), (F.xxhash64("id", F.lit(2)) % 2 == 0).alias("c"), F.abs(F.xxhash64("id", F.lit(3)) % 6).cast("int").alias("d"))
+    rows = rows.withColumn("a", F.abs("a0"))
+    got = balance.balanced(rows, targets, 1003, "id").collect()
+    assert len(got) == 1003 == len({r.id for r in got})
+    for c, own in targets.items():
+        counts = Counter(r[c] for r in got)
+        assert set(counts) == set(own) and all(abs(counts[v] - 1003 * share / sum(own.values())) <= 1 for v, share in own.items())
+    assert sorted(r.id for r in got) == sorted(r.id for r in balance.balanced(rows.repartition(7), targets, 1003, "id").collect())
+    assert sorted(r.id for r in got) != sorted(r.id for r in balance.balanced(rows, targets, 1003, "id", seed=1).collect())
+
+
+def test_marginals_that_candidates_cannot_meet(spark):
+    rows = spark.createDataFrame([(i, i % 2, "x") for i in range(10)] + [(99, 0, "y"), (100, 7, "x"), (101, None, "x")], "id long, a int, b string")
+    got = balance.balanced(rows, {"a": {0: 0.5, 1: 0.5}, "b": {"x": 0.5, "y": 0.5}}, 6, "id").collect()
+    assert len({r.id for r in got}) == len(got) == 6 and Counter(r.b for r in got)["y"] == 1 and {r.a for r in got} == {0, 1}
+    assert balance.balanced(rows, {"a": {5: 1.0}}, 3, "id").isEmpty() and balance.balanced(rows.where("false"), {"a": {0: 1.0}}, 3, "id").isEmpty()
+    assert balance.balanced(rows, {"a": {0: 1.0}}, 100, "id").count() == 6
+    with pytest.raises(ValueError):
+        balance.balanced(rows, {c: dict.fromkeys(range(1000), 1.0) for c in ("a", "id")}, 3, "id")
+    assert balance.largest_remainder(np.array([1.0, 1.0, 1.0]), 10).tolist() == [4, 3, 3]
+
+
+def lattice(spark, size):
+    cell = lambda x, y: f"n{x:02d}{y:02d}"
+    stated = [(cell(x + 1, y), cell(x, y), "right") for x in range(size - 1) for y in range(size)] + [(cell(x, y + 1), cell(x, y), "below") for x in range(size) for y in range(size - 1)]
+    df = spark.createDataFrame([(stated,)], "stated array<struct<obj1:string,obj2:string,dir:string>>")
+    return held(df, g=graph.edges(F.col("stated")))
+
+
+def test_paths_of_a_lattice_are_counted_not_listed(spark):
+    from math import comb
+
+    own = held(lattice(spark, 6), p=graph.shortest_paths(F.col("g")))
+    found = {(r.src, r.node): r for r in own.select(F.inline("p")).collect()}
+    assert len(found) == 36 * 36
+    for (a, b), r in found.items():
+        dx, dy = abs(int(a[1:3]) - int(b[1:3])), abs(int(a[3:]) - int(b[3:]))
+        assert (r.dist, int(r.n), len(r.dirs)) == (dx + dy, comb(dx + dy, dx), dx + dy)
+        assert r.vertical == [("none" if dy == 0 else "other" if b[3:] > a[3:] else "one")] and r.horizontal == [("none" if dx == 0 else "other" if b[1:3] > a[1:3] else "one")]
+    one = held(lattice(spark, 6), p=graph.shortest_paths_from(F.col("g"), F.lit("n0203"))).select(F.inline("p")).collect()
+    assert {(r.src, r.node): r for r in one} == {k: v for k, v in found.items() if k[0] == "n0203"}
+    assert held(lattice(spark, 2), p=graph.shortest_paths_from(F.col("g"), F.lit("nowhere"))).select(F.size("p").alias("n")).first().n == 0
+
+
+def brute_paths(edges, names):
+    """{(src, node): list of (dirs, nodes)}, in the order of a search that keeps all shortest paths."""
+    out = {}
+    for s in names:
+        level, seen = [((), (s,))], {s}
+        out[s, s] = level[:]
+        while level:
+            new = [((*dirs, d), (*nodes, dst)) for dirs, nodes in level for src, dst, d in edges if src == nodes[-1] and dst not in seen]
+            seen |= {nodes[-1] for _, nodes in new}
+            for dirs, nodes in new:
+                out.setdefault((s, nodes[-1]), []).append((dirs, nodes))
+            level = new
+    return out
+
+
+def test_paths_against_listing(spark):
+    import random
+
+    rng = random.Random(5)
+    dirs = ["above", "below", "left", "right", "upper-left", "upper-right", "lower-left", "lower-right"]
+    scenes = []
+    for i in range(12):
+        names = "abcdefg"[: rng.randint(2, 7)]
+        scenes.append((i, [(*rng.sample(names, 2), rng.choice(dirs)) for _ in range(rng.randint(1, 10))]))
+    df = spark.createDataFrame(scenes, "i int, stated array<struct<obj1:string,obj2:string,dir:string>>")
+    own = held(df, g=graph.edges(F.col("stated")))
+    own = held(own, p=graph.shortest_paths(F.col("g")), c=graph.cuts(F.col("g")))
+    names = graph.nodes(F.col("g"))
+    all_pairs = F.flatten(F.transform(names, lambda a: F.transform(names, lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = own.select("i", "g", "p", "c", F.inline(all_pairs))
+    flags = pairs.select("i", "a", "b", *(graph.axis_unique(F.col("g"), F.col("p"), F.col("a"), F.col("b"), x, cut).alias(f"{x}{k}") for x in graph.AXES for k, cut in ((0, None), (1, F.col("c")))))
+    for r in flags.collect():
+        assert r.vertical0 == r.vertical1 and r.horizontal0 == r.horizontal1, r
+    for r in own.select("i", "g", "p").collect():
+        want = brute_paths([(e.src, e.dst, e.dir) for e in r.g], sorted({e.src for e in r.g}))
+        assert {(p.src, p.node): int(p.n) for p in r.p} == {k: len(v) for k, v in want.items()}
+        assert {(p.src, p.node): (tuple(p.dirs), tuple(p.nodes)) for p in r.p} == {k: v[0] for k, v in want.items()}
+        for p in r.p:
+            for axis, one, other in (("vertical", ("above", "upper-left", "upper-right"), ("below", "lower-left", "lower-right")), ("horizontal", ("left", "upper-left", "lower-left"), ("right", "upper-right", "lower-right"))):
+                nets = {("both" if any(d in one for d in ds) and any(d in other for d in ds) else "one" if any(d in one for d in ds) else "other" if any(d in other for d in ds) else "none") for ds, _ in want[p.src, p.node]}
+                assert set(p[axis]) == nets and len(p[axis]) == len(nets)
