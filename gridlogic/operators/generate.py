@@ -25,8 +25,8 @@ from gridlogic.session import scratch
 
 #: Shares of layouts by number of components.
 SHARES = {2: 0.025, 3: 0.075} | dict.fromkeys(range(4, 9), 0.18)
-#: Cells that a name is pushed on at most when its place is taken; candidates made for each row wanted at first.
-MOST_PUSHES, POOL = 100, 8
+#: Cells that a name is pushed on at most when its place is taken; candidates made for each row wanted at first, and at most.
+MOST_PUSHES, POOL, MOST_POOL = 100, 8, 1 << 16
 TERMINOLOGIES = ("spatial", "cardinal", "clock", "spatial+cardinal", "spatial+clock", "cardinal+clock", "spatial+cardinal+clock")
 QUERY_TYPES = ("full", "vertical", "horizontal")
 
@@ -132,9 +132,9 @@ def _structures(seed: int):
     return run
 
 
-def structures(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """(id, num_components, stated, layout) of n seeds, less those that found no structure."""
-    return spark.range(n).mapInArrow(_structures(seed), STRUCTURES)
+def structures(ids: DataFrame, seed: int = 42) -> DataFrame:
+    """(id, num_components, stated, layout) of ids (id long), each a seed, less those that found no structure."""
+    return ids.select("id").mapInArrow(_structures(seed), STRUCTURES)
 
 
 def pick(salt: str, n: Column, seed: int) -> Column:
@@ -220,15 +220,17 @@ def quotas(n: int) -> dict[int, int]:
     return out
 
 
-def balanced_dataset(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """N rows in the shares of SHARES, from POOL candidates for each, or twice as many as long as a share is not full. Candidates get their questions first, so
-    none is lost later. Of each number of components, the query types, direct or not and unique layout or not take turns, so that they are even as far
+def balanced_dataset(ids: DataFrame, seed: int = 42) -> DataFrame:
+    """As many rows as there are ids (id long, each once), in the shares of SHARES, from POOL candidates for each id, or twice as many as long as a share is not full. Candidates
+    get their questions first, so none is lost later. Of each number of components, the query types, direct or not and unique layout or not take turns, so that they are even as far
     as candidates go; the terminologies take turns in what is chosen. Numbers of relations follow from the densities (N6) and have no quota."""
-    pool = POOL
+    spark, n, pool = ids.sparkSession, ids.count(), POOL
     while True:
-        own = flagged(structures(spark, n * pool, seed), seed)
+        several = ids.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(pool - 1)), lambda k: F.col("id") * MOST_POOL + k)).alias("id"))
+        own = flagged(structures(several.repartition("id"), seed), seed)
         even_selection(own, "num_components", quotas(n), ["query_type", "is_directly_stated", "has_unique_layout"], "id", seed).write.parquet(path := scratch(spark, "chosen"))
         chosen = spark.read.parquet(path)
         if chosen.count() == n:
             return instances(chosen.withColumn("terminology", modes(F.col("__k") + F.col("num_components"))).drop("__k"), seed)
-        pool *= 2
+        if (pool := 2 * pool) > MOST_POOL:
+            raise ValueError(f"{MOST_POOL} candidates an id do not fill the shares")

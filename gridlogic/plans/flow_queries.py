@@ -238,20 +238,18 @@ def chat_prompts(spark, sf_dir):
 
 @query()
 def generated_instances(spark, sf_dir):
-    """Generated structures, described, queried and rendered, chosen by quotas."""
+    """Structures generated from the suppliers' keys, described, queried and rendered, chosen by quotas; a row for each supplier."""
     from gridlogic.operators.generate import balanced_dataset
 
-    return balanced_dataset(spark, 200, seed=42).drop("ascii")
+    return balanced_dataset(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), seed=42).drop("ascii")
 
 
-_QUOTAS = {2: 5, 3: 15} | dict.fromkeys(range(4, 9), 36)
-
-
-@query(f"SELECT c AS num_components, n::BIGINT AS n, 2 * n::BIGINT AS ends FROM (VALUES {', '.join(f'({k}, {n})' for k, n in _QUOTAS.items())}) AS q(c, n)")
+@query("""WITH total AS (SELECT count(*) AS n FROM supplier), q AS (SELECT c, floor(n * s)::BIGINT AS base, row_number() OVER (ORDER BY s DESC, c) AS k, n FROM (VALUES (2, 0.025::DOUBLE), (3, 0.075::DOUBLE), (4, 0.18::DOUBLE), (5, 0.18::DOUBLE), (6, 0.18::DOUBLE), (7, 0.18::DOUBLE), (8, 0.18::DOUBLE)) AS v(c, s), total),
+wanted AS (SELECT c, base + CASE WHEN k <= n - sum(base) OVER () THEN 1 ELSE 0 END AS n FROM q) SELECT c AS num_components, n::BIGINT AS n, (2 * n)::BIGINT AS ends FROM wanted WHERE n > 0""")
 def generated_shares(spark, sf_dir):
-    """The shares by components of a generated dataset, all of its rows there, each asking about two objects by their names."""
+    """The shares by components of a dataset generated from the suppliers' keys, all of its rows there, each asking about two objects by their names."""
     from gridlogic.functions.text import parse_query
     from gridlogic.operators.generate import balanced_dataset
 
-    own = balanced_dataset(spark, 200, seed=7).select("num_components", parse_query(F.col("query_relation")).alias("q"), "label").where("label is not null")
+    own = balanced_dataset(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), seed=7).select("num_components", parse_query(F.col("query_relation")).alias("q"), "label").where("label is not null")
     return own.groupBy("num_components").agg(F.count(F.lit(1)).alias("n"), (F.count("q.obj1") + F.count("q.obj2")).alias("ends"))

@@ -186,7 +186,7 @@ def test_stories_over_spans(spark):
 
 
 def test_generated_rows_answer_themselves(spark):
-    rows = generate.balanced_dataset(spark, 40, seed=5)
+    rows = generate.balanced_dataset(spark.range(40), seed=5)
     rows = rows.cache()
     got = rows.collect()
     assert Counter(r.num_components for r in got) == {k: n for k, n in generate.quotas(40).items() if n}
@@ -238,7 +238,7 @@ def test_cells_take_turns_until_the_quota_is_full(spark):
 
 
 def test_a_balanced_dataset_has_all_rows_and_even_strata(spark):
-    got = generate.balanced_dataset(spark, 60, seed=42).collect()
+    got = generate.balanced_dataset(spark.range(60), seed=42).collect()
     by = lambda c, rows=got: {v: sum(r[c] == v for r in rows) for v in {r[c] for r in rows}}
     assert by("num_components") == generate.quotas(60)
     assert by("query_type").keys() == set(generate.QUERY_TYPES) and min(by("query_type").values()) >= 14
