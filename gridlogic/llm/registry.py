@@ -25,4 +25,5 @@ ORACLES = {
     "op3_decontaminate": decontaminate.ORACLE_SQL,
     "op5_chat_format": chatformat.ORACLE_SQL,
     "op10_line_dedup": linededup.ORACLE_SQL,
+    "op12_spelling": spelling.ORACLE_SQL,
 }

@@ -144,3 +144,39 @@ def corpus_words(docs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op12: the words of all of `documents`, with what they are spelling variants of."""
     return spelling_variants(corpus_words(table(spark, sf_dir, "documents")))
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: CRC-32 by a table of 256 entries; pairs by what is left after one deletion.
+ORACLE_SQL = f"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(0, 256))::BIGINT AS i)
+), runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS doc, translate(unnest(regexp_extract_all(text, '{LETTERS}{{{LEAST_CHARS},}}')), '{_UPPER}', '{_UPPER.lower()}') AS run FROM documents
+), counted AS (
+  SELECT doc, run, count(*) AS n, hex(encode(doc || ':' || run)) AS h FROM runs GROUP BY ALL
+), coded AS (
+  SELECT run, n, list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda i: (instr('0123456789ABCDEF', h[2 * i + 1]) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 17)::BIGINT)) AS bytes FROM counted
+), hashed AS (
+  SELECT run, n, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS h FROM coded, crc
+), words AS (
+  SELECT CASE WHEN h % {LOSSY} = 0 THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= {LEAST_CHARS} AND sum(n) >= {LEAST_COUNT}
+), less AS (
+  SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(0, length(word)))::INTEGER AS i FROM words)
+), pairs AS (
+  SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT l.word, w.word FROM less l JOIN words w ON w.word = l.rest
+  UNION SELECT w.word, l.word FROM less l JOIN words w ON w.word = l.rest
+), best AS (
+  SELECT a AS word, count(*) AS n_near, arg_min(b, (-w.n, b)) AS b, max(w.n) AS best_n FROM pairs JOIN words w ON w.word = b GROUP BY a
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= {FORM_TIMES} * n THEN b END AS form, CASE WHEN best_n >= {FORM_TIMES} * n THEN best_n END AS form_n FROM words LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS reached, 0 AS k FROM formed UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN formed f ON f.word = c.reached WHERE f.form IS NOT NULL
+), ends AS (
+  SELECT word, arg_max(reached, k) AS root FROM chain GROUP BY word
+)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM formed JOIN ends USING (word)
+"""
