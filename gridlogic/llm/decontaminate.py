@@ -96,10 +96,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame
     return found, owners.join(prefix.select("wid", "n"), "wid")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, __text, n_hit, items) of the documents that hold some window: words covered, and the distinct item_ids.
+def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, __text, n_hit, combo) of the documents that hold some window, with the words covered; and (combo, items), the distinct item_ids of each combination of windows.
 
-    What is gathered for a document is bounded by its own words and by the benchmark.
+    Windows that the same items hold are alike, and documents that hold alike windows are one combination, whose items are gathered once: so documents do not multiply with
+    items, however many share a passage. What is gathered for a document is bounded by its own words, for a combination by the benchmark.
     """
     found, owners = matches(docs, benchmark)
     grouped = found.groupBy("doc_id", "__text").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
@@ -110,11 +111,18 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return F.struct((acc["covered"] + new).alias("covered"), F.greatest(acc["reach"], s["end"]).alias("reach"))
 
     covered = grouped.select("doc_id", "__text", F.aggregate("spans", zero, add)["covered"].cast("long").alias("n_hit"))
-    held = found.select("doc_id", "__text", "wid").distinct()
-    named = join_dealt(held, owners, ["wid"], found.count(), ["doc_id"]).groupBy("doc_id", "__text").agg(F.collect_set("item_id").alias("items"))
-    named = named.withColumnsRenamed({"doc_id": "__i", "__text": "__t"})
+    # A window's items as 128 bits and their number, whatever their order.
+    own = F.struct(F.bit_xor(F.xxhash64("item_id")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "item_id")).alias("b"), F.count(F.lit(1)).alias("c"))
+    alike = checkpointed(owners.groupBy("wid").agg(own.alias("held_by"), F.max("n").alias("n")))
+    held = join_dealt(found.select("doc_id", "__text", "wid").distinct(), alike, ["wid"], found.count(), ["doc_id"])
+    sets = F.array_sort(F.collect_set("held_by"))
+    by_doc = checkpointed(held.groupBy("doc_id", "__text").agg(sets.alias("sets")).withColumn("combo", F.struct(F.xxhash64("sets").alias("a"), F.xxhash64(F.lit(1), "sets").alias("b"))))
+    one_of = alike.groupBy("held_by").agg(F.min("wid").alias("wid"))
+    combos = by_doc.groupBy("combo").agg(F.first("sets").alias("sets")).select("combo", F.explode("sets").alias("held_by"))
+    items = combos.join(one_of, "held_by").join(owners.select("wid", "item_id"), "wid").groupBy("combo").agg(F.collect_set("item_id").alias("items"))
+    named = by_doc.select(F.col("doc_id").alias("__i"), F.col("__text").alias("__t"), "combo")
     both = covered.join(named, covered["doc_id"].eqNullSafe(named["__i"]) & (covered["__text"] == named["__t"]), "left")
-    return both.select("doc_id", "__text", "n_hit", "items")
+    return both.select("doc_id", "__text", "n_hit", "combo"), items
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -123,16 +131,18 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null and empty texts have no words; items without words have no window; rows with equal doc_id and text are judged alike, a null doc_id included; an empty benchmark hits
     nothing. Other columns of either table are ignored.
     """
-    found = hits(docs, benchmark).withColumnsRenamed({"doc_id": "__id", "__text": "__hash"})
+    found, items = hits(docs, benchmark)
+    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    digests = items.select("combo", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"))
+    found = found.join(digests, "combo", "left").drop("combo").withColumnsRenamed({"doc_id": "__id", "__text": "__hash"})
     own = docs.select("doc_id", F.xxhash64("text").alias("__text"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     both = own.join(found, own["doc_id"].eqNullSafe(found["__id"]) & (own["__text"] == found["__hash"]), "left")
-    names = F.array_sort(F.transform(F.coalesce("items", F.array().cast(found.schema["items"].dataType)), lambda i: i.cast("string")))
     return both.select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.size(names).cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 

@@ -216,3 +216,14 @@ def test_line_dedup_leaves_other_columns_alone(spark):
     with pytest.raises(ValueError):
         L.dedup_lines(df.withColumn("N_lines", df.doc_id), counts=True)
     assert L.dedup_lines(df.withColumn("n_lines", df.doc_id)).columns == [*df.columns, "n_lines"]
+
+
+def test_a_passage_of_many_items_in_many_documents(spark):
+    passage, other = " ".join(f"w{i}" for i in range(15)), " ".join(f"v{i}" for i in range(12))
+    docs = spark.createDataFrame([(i, f"{passage} d{i}" + (f" {other}" if i % 3 == 0 else "")) for i in range(300)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, f"x{i} {passage}") for i in range(200)] + [(1000, other), (1001, other)], "item_id long, text string")
+    found, items = D.hits(docs, benchmark)
+    assert sorted(len(r["items"]) for r in items.collect()) == [200, 202] and found.count() == 300  # two combinations, however many documents
+    got = {r.doc_id: (r.n_items, r.items_sha256, r.n_hit) for r in D.report(docs, benchmark).collect()}
+    digest = lambda ids: hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
+    assert got[1] == (200, digest(range(200)), 15) and got[3] == (202, digest([*range(200), 1000, 1001]), 27) and len(set(got.values())) == 2
