@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridlogic.functions.algebra import compose, horizontal, inverse, vertical
+from gridlogic.functions.algebra import bound, compose, horizontal, inverse, vertical
 from gridlogic.functions.text import phrase
 
 #: One entry for each pair: how far, the first shortest path, how many there are (null beyond 38 digits), and by axis the distinct nets of all of them.
@@ -31,11 +31,6 @@ def nodes(graph: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(graph, lambda e: e["src"])))
 
 
-def bound(value: Column, f) -> Column:
-    """f of a value that is computed once: a lambda's variable holds it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _net(state: Column, part: Column, axis: str) -> Column:
     """A path's net after one more step."""
     _, one, other, _ = AXES[axis]

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridlogic.functions import layout as L
-from gridlogic.functions.algebra import component
+from gridlogic.functions.algebra import bound, component
 from gridlogic.functions.text import resolve_label, strip
 
 
@@ -51,18 +51,24 @@ def verify(stated: Column, model: Column, mode: str = "verify_ascii", strict: bo
     verify_ascii also wants every object described and something stated; verify_description, that what is stated holds: nothing stated is correct with
     accuracy 0, unless strict. A duplicate object is never correct.
     """
-    checked = check_relations(stated, model)
-    ok, total = F.size(F.filter(checked, lambda r: r["ok"])).cast("long"), F.size(stated).cast("long")
-    missing = F.array_sort(F.array_distinct(F.filter(F.transform(checked, lambda r: r["missing"]), lambda m: m.isNotNull())))
-    named = F.array_union(F.transform(stated, lambda r: r["obj1"]), F.transform(stated, lambda r: r["obj2"]))
-    extra = F.array_sort(F.array_except(L.objects(model), named))
-    twice = F.size(L.duplicates(model)) > 0
-    correct = (ok == total) & (F.size(missing) == 0) & ~twice
-    if mode == "verify_ascii":
-        correct &= (total > 0) & (F.size(extra) == 0)
-    elif strict:
-        correct &= total > 0
-    return F.struct(correct.alias("correct"), F.when(twice, F.lit(0).cast("long")).otherwise(ok).alias("correct_count"), total.alias("total"), F.when(twice, 0.0).otherwise(_share(ok, total)).alias("accuracy"), missing.alias("missing"), extra.alias("extra"))
+
+    def counted(checked):
+        ok = F.size(F.filter(checked, lambda r: r["ok"])).cast("long")
+        missing = F.array_sort(F.array_distinct(F.filter(F.transform(checked, lambda r: r["missing"]), lambda m: m.isNotNull())))
+        named = F.array_union(F.transform(stated, lambda r: r["obj1"]), F.transform(stated, lambda r: r["obj2"]))
+        extra = F.array_sort(F.array_except(L.objects(model), named))
+        return F.struct(ok.alias("ok"), F.size(stated).cast("long").alias("total"), missing.alias("missing"), extra.alias("extra"), (F.size(L.duplicates(model)) > 0).alias("twice"))
+
+    def verdict(s):
+        ok, total, twice = s["ok"], s["total"], s["twice"]
+        correct = (ok == total) & (F.size(s["missing"]) == 0) & ~twice
+        if mode == "verify_ascii":
+            correct &= (total > 0) & (F.size(s["extra"]) == 0)
+        elif strict:
+            correct &= total > 0
+        return F.struct(correct.alias("correct"), F.when(twice, F.lit(0).cast("long")).otherwise(ok).alias("correct_count"), total.alias("total"), F.when(twice, 0.0).otherwise(_share(ok, total)).alias("accuracy"), s["missing"].alias("missing"), s["extra"].alias("extra"))
+
+    return bound(bound(check_relations(stated, model), counted), verdict)
 
 
 def answer_from_layout(model: Column, obj1: Column, obj2: Column, query_type: Column) -> Column:

@@ -167,7 +167,11 @@ def reasoning_chain(path: Column) -> Column:
 
 def json_field(text: Column, key: str) -> Column:
     """A field of a JSON object as text: '' if it isn't there, null if the text is no JSON object."""
-    value = F.try_parse_json(text)
+    return field_in(F.try_parse_json(text), key)
+
+
+def field_in(value: Column, key: str) -> Column:
+    """json_field() of what is parsed."""
     is_object = F.schema_of_variant(value).startswith("OBJECT")
     return F.when(is_object, F.coalesce(F.try_variant_get(value, f"$.{key}", "string"), F.lit("")))
 

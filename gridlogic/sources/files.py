@@ -57,15 +57,26 @@ def result_task(path: Column) -> Column:
     return F.upper(F.regexp_extract(path, r"(?i)task_([a-h])(?:_results)?\.jsonl(?:/[^/]*)?$", 1))
 
 
+def result_file_of(path: Column) -> Column:
+    """(task, folder, file) of a path below the results' root: a folder of a result file's name, as Spark writes it, is one file."""
+    file = F.regexp_replace(path, r"(?i)(\.jsonl)/[^/]*$", "$1")
+    return F.struct(result_task(path).alias("task"), F.regexp_extract(file, r"^(?:(.*)/)?[^/]*$", 1).alias("folder"), file.alias("file"))
+
+
+def result_names(spark: SparkSession, root: str) -> DataFrame:
+    """(task, folder, file) of all result files under a folder; files are listed, not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").load(globless(root)).select("path")
+    return found.select(result_file_of(below(spark, F.col("path"), root)).alias("f")).where("f.task <> ''").select("f.*").distinct()
+
+
 def result_files(spark: SparkSession, root: str) -> DataFrame:
     """(task, folder, file, at, RESULT) of all result files under a folder: the folder below root ('' for root itself), the file below root, and the line's place
     in it, (part, block, line), which orders the lines of a file. Blank lines are none; lines that don't parse have nulls."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(globless(root))
     place = F.struct(F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     own = raw.select("value", place.alias("at"), below(spark, F.col("_metadata.file_path"), root).alias("below"))
-    named = own.select(result_task(F.col("below")).alias("task"), F.regexp_replace("below", r"(?i)(\.jsonl)/[^/]*$", "$1").alias("file"), "at", F.from_json("value", RESULT).alias("r"), "value")
-    kept = named.where((F.col("task") != "") & (F.trim("value") != ""))
-    return kept.select("task", F.regexp_extract("file", r"^(?:(.*)/)?[^/]*$", 1).alias("folder"), "file", "at", "r.*")
+    named = own.select(result_file_of(F.col("below")).alias("f"), "at", F.from_json("value", RESULT).alias("r"), "value")
+    return named.where((F.col("f.task") != "") & (F.trim("value") != "")).select("f.*", "at", "r.*")
 
 
 def discover_runs(results: DataFrame, root: str) -> DataFrame:
