@@ -165,12 +165,14 @@ def test_paths_on_random_graphs(spark):
         pairs = [p for p in itertools.combinations(names, 2) if rng.random() < 0.4]
         cases.append([(a, b, rng.choice(BASE)) if rng.random() < 0.5 else (b, a, rng.choice(BASE)) for a, b in pairs])
     for r in graphs(spark, cases).where(F.size("stated") > 0).collect():
-        by_pair = {}
-        for p in r.paths:
-            by_pair.setdefault((p.src, p.node), []).append((list(p.dirs), list(p.nodes)))
+        by_pair = {(p.src, p.node): p for p in r.paths}  # an entry a pair: the first path, and how many there are
+        assert len(by_pair) == len(r.paths)
         names = {n for a, b, _ in cases[r.k] for n in (a, b)}
         for a, b in itertools.product(names, names):
-            assert by_pair.get((a, b), []) == slow_paths(cases[r.k], a, b), (cases[r.k], a, b)
+            listed, p = slow_paths(cases[r.k], a, b), by_pair.get((a, b))
+            assert (p is not None) == bool(listed), (cases[r.k], a, b)
+            if p is not None:
+                assert (list(p.dirs), list(p.nodes)) == listed[0] and int(p.n) == len(listed), (cases[r.k], a, b)
 
 
 def test_reasoning_chains(spark):
