@@ -100,10 +100,9 @@ def get_relation(paths: Column, obj1: Column, obj2: Column, query_type: Column)
 
 
 def all_inferred(paths: Column) -> Column:
-    """Array of (obj1, obj2, dir) for all ordered pairs whose path composes, sorted."""
-    pairs = F.array_distinct(F.transform(F.filter(paths, lambda p: p["dist"] > 0), lambda p: F.struct(p["node"].alias("obj1"), p["src"].alias("obj2"))))
-    found = F.transform(F.array_sort(pairs), lambda p: F.struct(p["obj1"].alias("obj1"), p["obj2"].alias("obj2"), inferred(paths, p["obj1"], p["obj2"]).alias("dir")))
-    return F.filter(found, lambda r: r["dir"].isNotNull())
+    """Array of (obj1, obj2, dir) for all ordered pairs whose path composes, sorted. Each pair has one entry in paths, so none is looked up."""
+    found = F.transform(F.filter(paths, lambda p: p["dist"] > 0), lambda p: F.struct(p["node"].alias("obj1"), p["src"].alias("obj2"), compose(p["dirs"]).alias("dir")))
+    return F.array_sort(F.filter(found, lambda r: r["dir"].isNotNull()))
 
 
 def relations_text(relations: Column) -> Column:

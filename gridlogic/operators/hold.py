@@ -12,3 +12,9 @@ def held(df: DataFrame, **columns) -> DataFrame:
     for name, expression in columns.items():
         df = df.select("*", F.explode(F.array(expression)).alias(name))
     return df
+
+
+def once_each(rows: DataFrame, key: str, make) -> DataFrame:
+    """rows with the columns that make adds to a table of key alone, made once for each distinct value and joined back; rows that make leaves out go. For work that
+    depends on little of a row, such as a small graph that many rows share; where all keys differ, it costs a shuffle more."""
+    return rows.join(make(rows.select(key).distinct()), key)

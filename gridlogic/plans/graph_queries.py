@@ -9,7 +9,7 @@ from gridlogic.functions.algebra import compose, horizontal, vertical
 from gridlogic.functions.text import reasoning_chain
 from gridlogic.functions.vocab import BASE, SPATIAL
 from gridlogic.plans.registry import query
-from gridlogic.plans.scenes import PATHS, STATED, graph_scenes, held, horiz, quoted, rel, stated_scenes, sx, sy, vert
+from gridlogic.plans.scenes import PATHS, STATED, by_graph, held, horiz, once_each, quoted, rel, stated_scenes, sx, sy, vert, with_paths
 
 #: Objects of a scene fall apart where a statement of its chain is left out: every fourth place.
 PARTS = STATED + """, kept AS (SELECT * FROM stated WHERE (scene_id + ord) % 4 <> 0
@@ -43,7 +43,8 @@ def coverage(spark, sf_dir):
 @query(f"WITH RECURSIVE {PATHS} SELECT scene_id, src, node, dist, count(*) AS n_paths FROM paths GROUP BY ALL")
 def shortest_paths(spark, sf_dir):
     """G8."""
-    return graph_scenes(spark, sf_dir).select("scene_id", F.inline("paths")).where("dist > 0").select("scene_id", "src", "node", "dist", F.col("n").cast("long").alias("n_paths"))
+    found = F.transform(F.filter("paths", lambda p: p["dist"] > 0), lambda p: F.struct(p["src"].alias("src"), p["node"].alias("node"), p["dist"].alias("dist"), p["n"].cast("long").alias("n_paths")))
+    return by_graph(spark, sf_dir, lambda own: own.select("stated", found.alias("found"))).select("scene_id", F.inline("found"))
 
 
 _sx = "list_sum(list_transform(dirs, lambda d: " + sx("d") + "))"
@@ -56,15 +57,14 @@ INFERRED = PATHS + f""", inferred AS (
 @query(f"WITH RECURSIVE {INFERRED} SELECT scene_id, obj1, obj2, dir, {vert('dir')} AS vertical, {horiz('dir')} AS horizontal FROM inferred")
 def infer_relation(spark, sf_dir):
     """With the components that a vertical and a horizontal query get."""
-    own = held(pairs(spark, sf_dir), path=G.first_path(F.col("paths"), F.col("obj2"), F.col("obj1")), dir=compose(F.col("path.dirs")))
+    found = each_pair(lambda p: [compose(p["dirs"]).alias("dir")])
+    own = by_graph(spark, sf_dir, lambda own: own.select("stated", found.alias("found"))).select("scene_id", F.inline("found"))
     return own.select("scene_id", "obj1", "obj2", "dir", vertical(F.col("dir")).alias("vertical"), horizontal(F.col("dir")).alias("horizontal"))
 
 
-def pairs(spark, sf_dir):
-    """(scene_id, graph, paths, obj1, obj2) for the ordered pairs of a scene's connected objects."""
-    own = graph_scenes(spark, sf_dir)
-    ends = F.array_distinct(F.transform(F.filter("paths", lambda p: p["dist"] > 0), lambda p: F.struct(p["node"].alias("obj1"), p["src"].alias("obj2"))))
-    return own.select("scene_id", "graph", "paths", F.inline(ends))
+def each_pair(fields):
+    """An array of (obj1, obj2, and fields of the pair's entry) for the ordered pairs of a graph's connected objects, each of which has one entry in paths."""
+    return F.transform(F.filter("paths", lambda p: p["dist"] > 0), lambda p: F.struct(p["node"].alias("obj1"), p["src"].alias("obj2"), *fields(p)))
 
 
 _phrases = "CASE {d} " + " ".join(f"WHEN {quoted(d)} THEN {quoted(SPATIAL[d][0])}" for d in BASE) + " END"
@@ -74,7 +74,8 @@ _phrase = lambda d: _phrases.replace("{d}", d)
 @query(f"WITH RECURSIVE {INFERRED} SELECT scene_id, string_agg(obj1 || ' is ' || {_phrase('dir')} || ' ' || obj2, '. ' ORDER BY obj1, obj2) || '.' AS text FROM inferred WHERE dir IS NOT NULL GROUP BY scene_id")
 def detailed_relations(spark, sf_dir):
     """G9, G10."""
-    return graph_scenes(spark, sf_dir).select("scene_id", G.relations_text(G.all_inferred(F.col("paths"))).alias("text")).where("text <> ''")
+    text = lambda own: held(own, told=G.all_inferred(F.col("paths"))).select("stated", G.relations_text(F.col("told")).alias("text"))
+    return by_graph(spark, sf_dir, lambda own: text(own).where("text <> ''"))
 
 
 def _prefix(n: str) -> str:
@@ -92,8 +93,8 @@ def _prefix(n: str) -> str:
 ) SELECT scene_id, obj1, obj2, string_agg(part, '. ' ORDER BY i) || '.' AS chain FROM said GROUP BY scene_id, obj1, obj2""")
 def reasoning_chains(spark, sf_dir):
     """G11."""
-    own = held(pairs(spark, sf_dir), path=G.first_path(F.col("paths"), F.col("obj2"), F.col("obj1")))
-    return own.select("scene_id", "obj1", "obj2", reasoning_chain(F.col("path")).alias("chain"))
+    found = each_pair(lambda p: [reasoning_chain(p).alias("chain")])
+    return by_graph(spark, sf_dir, lambda own: own.select("stated", found.alias("found"))).select("scene_id", F.inline("found"))
 
 
 def _net(part, one: str, other: str, neither: str) -> str:
@@ -125,15 +126,16 @@ UNIQUE = PATHS + f""", around AS (
 @query(f"WITH RECURSIVE {UNIQUE} SELECT scene_id, obj1, obj2, vertical, horizontal, vertical AND horizontal AS unique_full FROM flags")
 def unique_relations(spark, sf_dir):
     """U1-U6."""
-    own = pairs(spark, sf_dir)
-    flag = lambda axis: G.axis_unique(F.col("graph"), F.col("paths"), F.col("obj1"), F.col("obj2"), axis)
-    return own.select("scene_id", "obj1", "obj2", flag("vertical").alias("vertical"), flag("horizontal").alias("horizontal")).withColumn("unique_full", F.col("vertical") & F.col("horizontal"))
+    flag = lambda p, axis: G.axis_unique(F.col("graph"), F.array(p), p["node"], p["src"], axis).alias(axis)
+    found = each_pair(lambda p: [flag(p, "vertical"), flag(p, "horizontal")])
+    own = by_graph(spark, sf_dir, lambda own: own.select("stated", found.alias("found"))).select("scene_id", F.inline("found"))
+    return own.withColumn("unique_full", F.col("vertical") & F.col("horizontal"))
 
 
 @query(f"WITH RECURSIVE {UNIQUE} SELECT scene_id, bool_and(vertical AND horizontal) AS layout_unique FROM flags WHERE obj1 < obj2 GROUP BY scene_id")
 def layout_unique(spark, sf_dir):
     """U7."""
-    return graph_scenes(spark, sf_dir).select("scene_id", G.layout_unique(F.col("graph"), F.col("paths")).alias("layout_unique"))
+    return by_graph(spark, sf_dir, lambda own: own.select("stated", G.layout_unique(F.col("graph"), F.col("paths")).alias("layout_unique")))
 
 
 def prefixes(sql: str) -> str:
@@ -144,7 +146,10 @@ def prefixes(sql: str) -> str:
 @query(f"WITH RECURSIVE {prefixes(UNIQUE)}, each AS (SELECT scene_id // 16 AS scene_id, scene_id % 16 AS k, bool_and(vertical AND horizontal) AS u FROM flags WHERE obj1 < obj2 GROUP BY 1, 2) SELECT scene_id, count(*) FILTER (WHERE NOT u) AS ambiguous_stages FROM each GROUP BY scene_id")
 def ambiguous_stages(spark, sf_dir):
     """U8: how many prefixes of the statements leave the layout open."""
-    own = stated_scenes(spark, sf_dir).where(F.size("stated") > 0).select("scene_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("stated")), lambda k: F.slice("stated", F.lit(1), k))).alias("begun"))
-    grown = held(own, graph=G.edges(F.col("begun")), paths=G.shortest_paths(F.col("graph")))
-    flagged = grown.select("scene_id", G.layout_unique(F.col("graph"), F.col("paths")).alias("u"))
-    return flagged.groupBy("scene_id").agg(F.count_if(~F.col("u")).alias("ambiguous_stages"))
+    def stages(own):
+        begun = own.select(F.col("stated").alias("whole"), F.explode(F.transform(F.sequence(F.lit(1), F.size("stated")), lambda k: F.slice("stated", F.lit(1), k))).alias("stated"))
+        flagged = once_each(begun, "stated", lambda some: with_paths(some).select("stated", G.layout_unique(F.col("graph"), F.col("paths")).alias("u")))
+        return flagged.groupBy(F.col("whole").alias("stated")).agg(F.count_if(~F.col("u")).alias("ambiguous_stages"))
+
+    rows = stated_scenes(spark, sf_dir).where(F.size("stated") > 0).select("scene_id", "stated")
+    return once_each(rows, "stated", stages).drop("stated")

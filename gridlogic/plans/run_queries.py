@@ -8,6 +8,7 @@ import tarfile
 
 from pyspark.sql import functions as F
 
+from gridlogic.functions import graph as G
 from gridlogic.functions import outputs as O
 from gridlogic.functions import text as X
 from gridlogic.operators import metrics as M
@@ -19,7 +20,7 @@ from gridlogic.plans.flow_queries import HASH, RUNS
 from gridlogic.plans.flow_queries import runs as run_rows
 from gridlogic.plans.graph_queries import INFERRED, UNIQUE
 from gridlogic.plans.registry import ORACLES, query
-from gridlogic.plans.scenes import graph_scenes, quoted
+from gridlogic.plans.scenes import by_graph, quoted
 from gridlogic.plans.score_queries import INSTANCES, instances
 from gridlogic.plans.text_queries import ASKED, asked, described, held
 from gridlogic.session import scratch, table
@@ -111,7 +112,9 @@ def batch_numbers(spark, sf_dir):
 @query(f"WITH RECURSIVE {UNIQUE} SELECT scene_id, obj1, obj2, concat_ws(',', CASE WHEN vertical AND horizontal THEN 'full' END, CASE WHEN vertical THEN 'vertical' END, CASE WHEN horizontal THEN 'horizontal' END) AS types FROM flags WHERE obj1 < obj2 AND (vertical OR horizontal)")
 def query_pairs(spark, sf_dir):
     """All pairs with the types of question that the stated relations determine."""
-    return pair_options(graph_scenes(spark, sf_dir)).select("scene_id", F.inline("options")).withColumn("types", F.array_join("types", ","))
+    layout = F.transform(G.nodes(F.col("graph")), lambda n: F.struct(n.alias("obj")))  # a scene's statements name all of its objects
+    options = lambda own: pair_options(held(own, layout=layout)).select("stated", "options")
+    return by_graph(spark, sf_dir, options).select("scene_id", F.inline("options")).withColumn("types", F.array_join("types", ","))
 
 
 _CHAINS = ORACLES["reasoning_chains"].removeprefix("WITH RECURSIVE ")

@@ -9,7 +9,7 @@ from gridlogic.functions import graph as G
 from gridlogic.functions import layout as L
 from gridlogic.functions.algebra import relation
 from gridlogic.functions.vocab import BASE, POOLS
-from gridlogic.operators.hold import held
+from gridlogic.operators.hold import held, once_each
 from gridlogic.session import table
 
 
@@ -38,9 +38,16 @@ def stated_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held(scenes(spark, sf_dir), stated=stated(F.col("layout"), F.col("scene_id")))
 
 
-def graph_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(scene_id, layout, stated, graph, paths) of scenes that state something."""
-    return stated_scenes(spark, sf_dir).where(F.size("stated") > 0).transform(held, graph=G.edges(F.col("stated")), paths=G.shortest_paths(F.col("graph")))
+def by_graph(spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    """(scene_id, and what make makes) of scenes that state something. make takes (stated, graph, paths), a row for each distinct list of statements, and keeps stated: scenes
+    have few objects, so most state what others do, and whatever follows from the statements is made once for all of them."""
+    rows = stated_scenes(spark, sf_dir).where(F.size("stated") > 0).select("scene_id", "stated")
+    return once_each(rows, "stated", lambda own: make(with_paths(own))).drop("stated")
+
+
+def with_paths(rows: DataFrame) -> DataFrame:
+    """rows (with stated) with graph and paths."""
+    return held(rows, graph=G.edges(F.col("stated")), paths=G.shortest_paths(F.col("graph")))
 
 
 def rel(ax: str, ay: str, bx: str, by: str) -> str:

@@ -355,3 +355,26 @@ def test_paths_against_listing(spark):
             for axis, one, other in (("vertical", ("above", "upper-left", "upper-right"), ("below", "lower-left", "lower-right")), ("horizontal", ("left", "upper-left", "lower-left"), ("right", "upper-right", "lower-right"))):
                 nets = {("both" if any(d in one for d in ds) and any(d in other for d in ds) else "one" if any(d in one for d in ds) else "other" if any(d in other for d in ds) else "none") for ds, _ in want[p.src, p.node]}
                 assert set(p[axis]) == nets and len(p[axis]) == len(nets)
+
+
+def test_what_follows_from_statements_is_made_once(spark):
+    from gridlogic.operators.hold import once_each
+
+    rows = spark.createDataFrame([(i, [i % 3]) for i in range(300)] + [(300, None)], "i int, k array<int>")
+    given = []
+
+    def make(keys):
+        given.append(sorted(map(str, (r.k for r in keys.collect()))))
+        return keys.where("k[0] < 2").withColumn("double", F.col("k")[0] * 2)
+
+    got = once_each(rows, "k", make)
+    assert given == [["None", "[0]", "[1]", "[2]"]] and sorted((r.i, r.double) for r in got.collect()) == [(i, i % 3 * 2) for i in range(300) if i % 3 < 2]
+
+
+def test_inferred_pairs_are_not_looked_up(spark):
+    own = held(lattice(spark, 6), p=graph.shortest_paths(F.col("g")))
+    told = own.select(graph.all_inferred(F.col("p")).alias("t"))
+    pairs = [(r.obj1, r.obj2) for r in told.first().t]
+    assert len(pairs) == 36 * 35 and pairs == sorted(pairs)
+    # one filter over the entries, not one more for each of them
+    assert str(told._jdf.queryExecution().optimizedPlan()).count("filter(p") == 1
