@@ -214,3 +214,31 @@ def test_components_of_a_dense_graph(spark):
 def test_validity_and_conflicts(spark):
     assert many(spark, ["above", "upper-left", "north", None], algebra.is_direction(F.col("v"))) == [True, True, False, False]
     assert many(spark, ["below", "above", "left", None], algebra.conflicts(F.lit("above"), F.col("v"))) == [True, False, False, False]
+
+
+def test_large_documents_are_pieces(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/run"
+    write_rows(spark, f"{root}/data.jsonl", [CASE])
+    given = [str((i * 7919) % 3000) for i in range(3000)]
+    write_rows(spark, f"{root}/task_c_results.jsonl", [{"test_id": "1" if i % 10 == 0 else t, "model_output": '{"answer": "above"}'} for i, t in enumerate(given)])
+    write_rows(spark, f"{root}/task_d_results.jsonl", [{"test_id": "1", "model_output": '{"answer": "left"}'}] * 3)
+    monkeypatch.setattr(documents, "PIECE", 500)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # many splits of one file
+    try:
+        for _ in range(2):  # a folder is replaced as a file is
+            evaluation.evaluate_folder(spark, root, f"{root}/data.jsonl")
+        folder = tmp_path / "run/outputs/evaluation"
+        parts = sorted((folder / "task_c_evaluation.json").glob("part-*"))
+        assert 3 < len(parts) < 7 and (folder / "task_d_evaluation.json").is_file()
+        whole = json.loads("".join(p.read_text() for p in parts))
+        heads, rows = documents.load_evaluations(spark, f"file://{folder}")
+        found = {r.task: r for r in heads.collect()}
+        read = [(r.position, json.loads(r.result)) for r in rows.where("task = 'c'").orderBy("position").collect()]
+        assert rows.where("task = 'd'").count() == 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["test_id"] for r in whole["individual_results"]] == ["1" if i % 10 == 0 else t for i, t in enumerate(given)]
+    assert read == list(enumerate(whole["individual_results"]))
+    assert json.loads(found["c"].summary) == whole["summary"] and json.loads(found["c"].breakdown) == whole["breakdown"] and found["c"].total_samples == 3000 and whole["metadata"] == {}
+    assert {p.name for p in folder.glob(".*")} <= {"._documents.json.crc"} or not list(folder.glob(".staged*"))
