@@ -38,6 +38,11 @@ def of_offset(x: Column, y: Column) -> Column:
     )
 
 
+def offset_code(x: Column, y: Column) -> Column:
+    """A number for each direction of of_offset(), equal where the directions are: cheaper to compare."""
+    return F.when(x == 0, F.when(y > 0, 1).otherwise(-1)).otherwise(F.when(x > 0, 10).otherwise(-10) + F.when(y > 0, 1).when(y == 0, 0).otherwise(-1))
+
+
 def relation(p: Column, q: Column) -> Column:
     """Where p is as seen from q, both structs with x and y."""
     return of_offset(p["x"] - q["x"], p["y"] - q["y"])
@@ -61,9 +66,10 @@ def component(direction: Column, query_type: Column) -> Column:
 def compose(directions: Column) -> Column:
     """The direction of a path of unit steps; null for an empty path, an unknown direction, or steps that cancel."""
     zero = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"))
-    total = F.aggregate(directions, zero, lambda acc, d: F.struct((acc["x"] + dx(d)).alias("x"), (acc["y"] + dy(d)).alias("y")))
-    known = F.forall(directions, lambda d: F.coalesce(d.isin(*BASE), F.lit(False)))
-    return F.when((F.size(directions) > 0) & known & ((total["x"] != 0) | (total["y"] != 0)), of_offset(total["x"], total["y"]))
+    total = lambda own: F.aggregate(own, zero, lambda acc, d: F.struct((acc["x"] + dx(d)).alias("x"), (acc["y"] + dy(d)).alias("y")))
+    known = lambda own: F.forall(own, lambda d: F.coalesce(d.isin(*BASE), F.lit(False)))
+    summed = lambda own: bound(total(own), lambda t: F.when((t["x"] != 0) | (t["y"] != 0), of_offset(t["x"], t["y"])))
+    return bound(directions, lambda own: F.when((F.size(own) > 0) & known(own), summed(own)))
 
 
 def is_direction(value: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridlogic.functions.algebra import relation
+from gridlogic.functions.algebra import bound, relation
 
 LAYOUT = "array<struct<obj:string,x:int,y:int>>"
 TOKEN = r"[\p{L}\p{N}]+"
@@ -35,8 +35,8 @@ def parse_art(art: Column) -> Column:
 
 def duplicates(layout: Column) -> Column:
     """Names that occur more than once, sorted."""
-    names = F.transform(layout, lambda o: o["obj"])
-    return F.array_sort(F.array_distinct(F.filter(names, lambda n: F.size(F.filter(names, lambda m: m == n)) > 1)))
+    twice = lambda names: F.filter(names, lambda n, i: F.array_position(names, n) != i + 1)
+    return F.array_sort(F.array_distinct(bound(F.transform(layout, lambda o: o["obj"]), twice)))
 
 
 def objects(layout: Column) -> Column:
@@ -45,9 +45,10 @@ def objects(layout: Column) -> Column:
 
 def compact(layout: Column) -> Column:
     """L2: columns and rows renumbered densely from 0, independently."""
-    xs = F.array_sort(F.array_distinct(F.transform(layout, lambda o: o["x"])))
-    ys = F.array_sort(F.array_distinct(F.transform(layout, lambda o: o["y"])))
-    return F.transform(layout, lambda o: F.struct(o["obj"].alias("obj"), (F.array_position(xs, o["x"]) - 1).cast("int").alias("x"), (F.array_position(ys, o["y"]) - 1).cast("int").alias("y")))
+    places = lambda own, axis: F.sort_array(F.array_compact(F.array_distinct(F.transform(own, lambda o: o[axis]))))
+    at = lambda all_, value: (F.array_position(all_, value) - 1).cast("int")
+    numbered = lambda own, xs, ys: F.transform(own, lambda o: F.struct(o["obj"].alias("obj"), at(xs, o["x"]).alias("x"), at(ys, o["y"]).alias("y")))
+    return bound(layout, lambda own: bound(places(own, "x"), lambda xs: bound(places(own, "y"), lambda ys: numbered(own, xs, ys))))
 
 
 def all_relations(layout: Column) -> Column:
@@ -63,48 +64,56 @@ def place(layout: Column, name: Column) -> Column:
 
 def direction_between(layout: Column, obj1: Column, obj2: Column) -> Column:
     """Where obj1 is as seen from obj2; null if one is missing or both are the same."""
-    p, q = place(layout, obj1), place(layout, obj2)
-    return F.when(p.isNotNull() & q.isNotNull() & (obj1 != obj2), relation(p, q))
+    both = F.struct(place(layout, obj1).alias("p"), place(layout, obj2).alias("q"))
+    return bound(both, lambda b: F.when(b["p"].isNotNull() & b["q"].isNotNull() & (obj1 != obj2), relation(b["p"], b["q"])))
 
 
-def _bounds(layout: Column) -> tuple[Column, Column, Column]:
+def _bounds(layout: Column) -> Column:
+    """(width, height, cell)"""
     width = F.array_max(F.transform(layout, lambda o: o["x"])) + 1
     height = F.array_max(F.transform(layout, lambda o: o["y"])) + 1
     cell = F.array_max(F.transform(layout, lambda o: F.length(o["obj"]))) + 2
-    return width, height, cell
+    return F.struct(width.alias("width"), height.alias("height"), cell.alias("cell"))
 
 
-def _text_rows(layout: Column, width: Column, height: Column, cell: Column) -> Column:
-    name = lambda x, y: F.coalesce(F.get(F.filter(layout, lambda o: (o["x"] == x) & (o["y"] == y)), F.lit(0))["obj"], F.lit(""))
-    return F.transform(F.sequence(F.lit(0), height - 1), lambda y: F.array_join(F.transform(F.sequence(F.lit(0), width - 1), lambda x: F.rpad(name(x, y), cell, " ")), ""))
+def _name(row: Column, x: Column) -> Column:
+    """The name in a column among a row's objects, or nothing."""
+    return F.coalesce(F.get(F.filter(row, lambda o: o["x"] == x), F.lit(0))["obj"], F.lit(""))
+
+
+def _text_rows(layout: Column, size: Column) -> Column:
+    row = lambda own: F.array_join(F.transform(F.sequence(F.lit(0), size["width"] - 1), lambda x: F.rpad(_name(own, x), size["cell"], " ")), "")
+    return F.transform(F.sequence(F.lit(0), size["height"] - 1), lambda y: bound(F.filter(layout, lambda o: o["y"] == y), row))
 
 
 def render_simple(layout: Column) -> Column:
     """Names at their columns; no trailing spaces, no empty rows."""
-    rows = F.transform(_text_rows(layout, *_bounds(layout)), lambda r: F.rtrim(r))
+    rows = F.transform(bound(_bounds(layout), lambda size: _text_rows(layout, size)), lambda r: F.rtrim(r))
     return F.when(F.size(layout) == 0, "No objects to display").otherwise(F.array_join(F.filter(rows, lambda r: r != ""), "\n"))
 
 
 def render_grid(layout: Column) -> Column:
     """Cells with borders, names centred towards the left."""
-    width, height, cell = _bounds(layout)
-    border = F.concat(F.lit("+"), F.repeat(F.concat(F.repeat(F.lit("-"), cell - 1), F.lit("+")), width))
-    name = lambda x, y: F.coalesce(F.get(F.filter(layout, lambda o: (o["x"] == x) & (o["y"] == y)), F.lit(0))["obj"], F.lit(""))
-    lead = lambda n: F.repeat(F.lit(" "), F.floor((cell - F.length(n)) / 2).cast("int") - 1)
-    inside = lambda n: F.rpad(F.concat(lead(n), n), cell - 1, " ")
-    row = lambda y: F.concat(F.lit("|"), F.array_join(F.transform(F.sequence(F.lit(0), width - 1), lambda x: F.concat(inside(name(x, y)), F.lit("|"))), ""))
-    rows = F.transform(F.sequence(F.lit(0), height - 1), lambda y: F.concat(row(y), F.lit("\n"), border))
-    return F.when(F.size(layout) == 0, "No objects to display").otherwise(F.concat(border, F.lit("\n"), F.array_join(rows, "\n")))
+    def drawn(size):
+        width, height, cell = size["width"], size["height"], size["cell"]
+        border = F.concat(F.lit("+"), F.repeat(F.concat(F.repeat(F.lit("-"), cell - 1), F.lit("+")), width))
+        lead = lambda n: F.repeat(F.lit(" "), F.floor((cell - F.length(n)) / 2).cast("int") - 1)
+        inside = lambda name: bound(name, lambda n: F.concat(F.rpad(F.concat(lead(n), n), cell - 1, " "), F.lit("|")))
+        row = lambda own: F.concat(F.lit("|"), F.array_join(F.transform(F.sequence(F.lit(0), width - 1), lambda x: inside(_name(own, x))), ""))
+        line = lambda y, below: F.concat(bound(F.filter(layout, lambda o: o["y"] == y), row), F.lit("\n"), below)
+        return bound(border, lambda b: F.concat(b, F.lit("\n"), F.array_join(F.transform(F.sequence(F.lit(0), height - 1), lambda y: line(y, b)), "\n")))
+
+    return F.when(F.size(layout) == 0, "No objects to display").otherwise(bound(_bounds(layout), drawn))
 
 
 def render_panel(layout: Column) -> Column:
     """Names in one frame."""
-    width, height, cell = _bounds(layout)
-    inner = width * cell + 1
-    line = F.repeat(F.lit("─"), inner)
-    rows = F.transform(_text_rows(layout, width, height, cell), lambda r: F.concat(F.lit("│ "), r, F.lit("│")))
-    framed = F.concat(F.lit("┌"), line, F.lit("┐\n"), F.array_join(rows, "\n"), F.lit("\n└"), line, F.lit("┘"))
-    return F.when(F.size(layout) == 0, "No objects to display").otherwise(framed)
+    def framed(size):
+        line = F.repeat(F.lit("─"), size["width"] * size["cell"] + 1)
+        rows = F.transform(_text_rows(layout, size), lambda r: F.concat(F.lit("│ "), r, F.lit("│")))
+        return F.concat(F.lit("┌"), line, F.lit("┐\n"), F.array_join(rows, "\n"), F.lit("\n└"), line, F.lit("┘"))
+
+    return F.when(F.size(layout) == 0, "No objects to display").otherwise(bound(_bounds(layout), framed))
 
 
 RENDERERS = {"simple": render_simple, "grid": render_grid, "panel": render_panel}
