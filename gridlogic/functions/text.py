@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridlogic.functions.algebra import compose
+from gridlogic.functions.algebra import bound, compose
 from gridlogic.functions.vocab import ALIAS_LABEL, ALIASES_BY_LENGTH, BASE, GENERATED, PHRASES, SPATIAL
 
 
@@ -16,11 +16,14 @@ def strip(text: Column) -> Column:
 
 
 def lookup(value: Column, table: dict[str, str]) -> Column:
-    """The table's entry for a value, else null: a hashed set for each result, not a scan of the entries."""
-    out = F
-    for result in dict.fromkeys(table.values()):
-        out = out.when(value.isin([k for k, v in table.items() if v == result]), result)
-    return out.otherwise(F.lit(None))
+    """The table's entry for a value, else null: a hashed set for each result, not a scan of the entries. The value is computed once."""
+    def found(v):
+        out = F
+        for result in dict.fromkeys(table.values()):
+            out = out.when(v.isin([k for k, r in table.items() if r == result]), result)
+        return out.otherwise(F.lit(None))
+
+    return bound(value, found)
 
 
 #: Phrases as they are, then what is left of those that end in of, then of those in from.
@@ -54,7 +57,8 @@ def parse_description(text: Column) -> Column:
     def clauses(s):
         subject = F.lower(F.regexp_extract(s, head, 1))
         rest = strip(F.regexp_replace(s, head, ""))
-        return F.transform(F.split(rest, r"\s+and\s+", -1), lambda p: _part(strip(F.lower(p)), subject))
+        parts = F.transform(F.split(rest, r"\s+and\s+", -1), lambda p: strip(F.lower(p)))
+        return bound(subject, lambda name: F.transform(parts, lambda p: _part(p, name)))
 
     return F.filter(F.flatten(F.transform(sentences, clauses)), lambda r: r["dir"].isNotNull() & (r["obj2"] != ""))
 
@@ -106,10 +110,13 @@ def resolve_label(text: Column) -> Column:
 
 def phrase(direction: Column) -> Column:
     """The first phrase of the spatial pool."""
-    out = F
-    for d in BASE:
-        out = out.when(direction == d, SPATIAL[d][0])
-    return out.otherwise(direction)
+    def found(own):
+        out = F
+        for d in BASE:
+            out = out.when(own == d, SPATIAL[d][0])
+        return out.otherwise(own)
+
+    return bound(direction, found)
 
 
 def pick_phrase(direction: Column, pool: dict[str, list[str]], seed: Column) -> Column:
@@ -128,17 +135,17 @@ def describe(relations: Column, pool: dict[str, list[str]], seed: Column) -> Col
 
 def terminology(text: Column) -> Column:
     """Which vocabularies a description uses, joined by +; spatial if none is found."""
-    low = F.lower(text)
-
-    def any_of(name):
+    def any_of(low, name):
         from gridlogic.functions.vocab import POOLS
 
         others = {p for k, pool in POOLS.items() if k != name for d in BASE for p in pool[d]}
-        own = [p for d in BASE for p in POOLS[name][d] if p not in others]
-        return F.exists(F.array(*map(F.lit, own)), lambda p: F.contains(low, p))
+        own = {p for d in BASE for p in POOLS[name][d] if p not in others}
+        # a phrase that holds another of them says no more than that one
+        least = sorted((p for p in own if not any(q != p and q in p for q in own)), key=len)
+        return F.exists(literals(least), lambda p: F.contains(low, p))
 
-    found = F.concat_ws("+", *(F.when(any_of(k), F.lit(k)) for k in ("spatial", "cardinal", "clock")))
-    return F.when(found == "", "spatial").otherwise(found)
+    found = lambda low: F.concat_ws("+", *(F.when(any_of(low, k), F.lit(k)) for k in ("spatial", "cardinal", "clock")))
+    return F.regexp_replace(bound(F.lower(text), found), "^$", "spatial")
 
 
 def component_name(i: Column) -> Column:
@@ -149,6 +156,10 @@ def component_name(i: Column) -> Column:
 
 def reasoning_chain(path: Column) -> Column:
     """Sentences of a path with nodes (n+1) and dirs (n): each hop, and after the second on what follows from the hops so far."""
+    return bound(path, _chain)
+
+
+def _chain(path: Column) -> Column:
     nodes, dirs = path["nodes"], path["dirs"]
     n = F.size(dirs)
 
