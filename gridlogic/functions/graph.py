@@ -82,6 +82,26 @@ def shortest_paths_from(graph: Column, src: Column) -> Column:
     return bound(nodes(graph), lambda names: F.when(F.array_contains(names, src), paths_from(graph, src, _levels(names))).otherwise(F.array().cast(PATHS)))
 
 
+def path_between(graph: Column, src: Column, goal: Column) -> Column:
+    """(node, dist, dirs, nodes) of the shortest path that a search in the order of statements finds first, without what else paths_from() keeps of each node; the search ends where
+    goal is found. Null if there is none; the empty path from a node to itself."""
+    kind = "array<struct<node:string,dist:int,dirs:array<string>,nodes:array<string>>>"
+    start = F.array(F.struct(src.alias("node"), F.lit(0).alias("dist"), F.array().cast("array<string>").alias("dirs"), F.array(src).alias("nodes"))).cast(kind)
+    has = lambda found, n: F.exists(found, lambda q: q["node"] == n)
+
+    def grow(found, level):
+        def further(p):
+            fresh = F.filter(graph, lambda e: (e["src"] == p["node"]) & ~has(found, e["dst"]))
+            return F.transform(fresh, lambda e: F.struct(e["dst"].alias("node"), level.alias("dist"), F.concat(p["dirs"], F.array(e["dir"])).alias("dirs"), F.concat(p["nodes"], F.array(e["dst"])).alias("nodes")))
+
+        steps = F.flatten(F.transform(F.filter(found, lambda p: p["dist"] == level - 1), further))
+        first = lambda c: F.transform(F.array_distinct(F.transform(c, lambda x: x["node"])), lambda n: F.get(F.filter(c, lambda x: x["node"] == n), F.lit(0)))
+        return F.concat(found, bound(steps, first)).cast(kind)
+
+    found = F.aggregate(_levels(nodes(graph)), start, lambda found, level: F.when(has(found, goal), found).otherwise(grow(found, level)))
+    return F.get(F.filter(found, lambda p: p["node"] == goal), F.lit(0))
+
+
 def first_path(paths: Column, src: Column, node: Column) -> Column:
     """The entry of a pair, with the shortest path that a search in the order of statements finds first; null if there is none."""
     return F.get(F.filter(paths, lambda p: (p["src"] == src) & (p["node"] == node)), F.lit(0))

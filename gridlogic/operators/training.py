@@ -212,8 +212,7 @@ def backfilled(rows: DataFrame) -> DataFrame:
     stated = F.transform(X.parse_whole(F.col("description")), lambda r: F.struct(F.upper(r["obj1"]).alias("obj1"), F.upper(r["obj2"]).alias("obj2"), r["dir"].alias("dir")))
     asked = X.parse_query(F.col("query_relation"))
     own = held(rows, __obj1=F.upper(asked["obj1"]), __obj2=F.upper(asked["obj2"]), __graph=G.edges(stated))
-    own = held(own, __paths=G.shortest_paths_from(F.col("__graph"), F.col("__obj2")))
-    own = held(own, __path=G.first_path(F.col("__paths"), F.col("__obj2"), F.col("__obj1")))
+    own = held(own, __path=G.path_between(F.col("__graph"), F.col("__obj2"), F.col("__obj1")))
     steps = F.coalesce(X.reasoning_chain(F.col("__path")), F.lit(""))
     names = [c for c in rows.columns if c != "reasoning_steps"]
     at = names.index("label") + 1

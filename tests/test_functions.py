@@ -211,3 +211,40 @@ def test_placement():
 def test_terms_names_and_texts(spark):
     assert one(spark, X.terminology(F.lit("A is north of B. C is at 3 o'clock from B."))) == "cardinal+clock"
     assert [one(spark, X.component_name(F.lit(i))) for i in (0, 25, 26, 27, 52)] == ["A", "Z", "AA", "AB", "BA"]
+
+
+def test_values_that_are_used_several_times_are_computed_once(spark):
+    from gridlogic.functions import algebra, layout, score, text
+
+    z, other = F.col("zzz"), F.col("other")
+    made = {
+        "terminology": (text.terminology(z), 1), "lookup": (text.lookup(z, {"a": "x", "b": "y"}), 1), "phrase": (text.phrase(z), 1), "reasoning_chain": (text.reasoning_chain(z), 1), "compose": (algebra.compose(z), 1),
+        "compact": (layout.compact(z), 1), "direction_between": (layout.direction_between(z, other, other), 2), "compare_layouts": (score.compare_layouts(other, z), 3), "verify": (score.verify(other, z), 4),
+        "answer_from_layout": (score.answer_from_layout(z, other, other, other), 2), "render_grid": (layout.render_grid(z), 5),
+    }
+    assert {k: n for k, (c, most) in made.items() if (n := str(c).count("zzz")) > most} == {}
+
+
+def test_offset_codes_differ_where_directions_do(spark):
+    from gridlogic.functions.algebra import of_offset, offset_code
+
+    own = spark.range(25).selectExpr("cast(id div 5 as int) - 2 as x", "cast(id % 5 as int) - 2 as y")
+    got = own.select(of_offset(F.col("x"), F.col("y")).alias("d"), offset_code(F.col("x"), F.col("y")).alias("c")).distinct().collect()
+    assert len(got) == len({r.d for r in got}) == len({r.c for r in got}) == 8
+
+
+def test_a_path_between_two_nodes_is_the_first_of_all(spark):
+    import random
+
+    from gridlogic.functions import graph
+
+    rng, rows = random.Random(3), []
+    for _ in range(60):
+        names = "ABCDEF"[: rng.randint(2, 6)]
+        stated = [(*rng.sample(names, 2), rng.choice(("above", "left", "lower-right"))) for _ in range(rng.randint(1, 7))]
+        rows += [(stated, a, b) for a in names for b in names]
+    own = spark.createDataFrame(rows, "stated array<struct<obj1:string,obj2:string,dir:string>>, a string, b string").withColumn("g", graph.edges(F.col("stated")))
+    want = graph.first_path(graph.shortest_paths_from(F.col("g"), F.col("a")), F.col("a"), F.col("b"))
+    got = own.select("a", "b", want["nodes"].alias("n"), want["dirs"].alias("d"), graph.path_between(F.col("g"), F.col("a"), F.col("b")).alias("p")).collect()
+    assert all((r.n, r.d) == (r.p and r.p.nodes, r.p and r.p.dirs) for r in got if r.a != r.b)
+    assert any(r.n is None for r in got) and any(r.n and len(r.n) > 3 for r in got)
