@@ -59,22 +59,26 @@ def instance_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(n.alias("n"), ratio(F.count_if("correct"), n).alias("accuracy"), F.coalesce(F.avg("accuracy"), F.lit(0.0)).alias("average_instance_accuracy"), ratio(F.sum("correct_count"), F.sum("total")).alias("relation_accuracy"))
 
 
+def skips(results: DataFrame, dataset: DataFrame) -> DataFrame:
+    """P10: results with their dataset row and skipped, why they are not evaluated; null if they are. Nothing is read or parsed for it."""
+    return joined(results, dataset).withColumn("skipped", E.skip_reason(F.col("error"), F.col("answer"), F.col("in_dataset"), F.col("grid")))
+
+
 def consistency_rows(results: DataFrame, dataset: DataFrame) -> DataFrame:
     """(test_id, skipped, consistent, ascii_ok, answer_ok, accuracy, bucket, kind) of (test_id, error, answer, grid) and
     (id, question, label, description): tasks E and G. A skipped row has nulls after its reason."""
-    both = joined(results, dataset)
-    skipped = E.skip_reason(F.col("error"), F.col("answer"), F.col("in_dataset"), F.col("grid"))
-    own = held(read(both.withColumn("skipped", skipped)), __asked=X.parse_query(F.col("question")))
+    blank = lambda c: F.when(F.col("skipped").isNull(), c)
+    wanted = skips(results, dataset).select("test_id", "skipped", *(blank(F.col(c)).alias(c) for c in ("question", "description", "grid", "answer", "label")))
+    own = held(read(wanted), __asked=X.parse_query(F.col("question")))
     asked, model = F.col("__asked"), F.col("__model")
-    seen = own.select(
-        "test_id", "skipped",
+    verdict = F.struct(
         E.query_correct(model, asked, F.col("answer")).alias("consistent"),
         E.query_correct(model, asked, F.col("label")).alias("ascii_ok"),
         E.label_correct(F.col("answer"), F.col("label")).alias("answer_ok"),
         E.verify(F.col("__stated"), model)["accuracy"].alias("accuracy"),
     )
-    blank = lambda c: F.when(F.col("skipped").isNull(), c)
-    return seen.select("test_id", "skipped", *(blank(F.col(c)).alias(c) for c in ("consistent", "ascii_ok", "answer_ok", "accuracy")), blank(E.bucket(F.col("accuracy"))).alias("bucket"), blank(E.error_kind(F.col("ascii_ok"), F.col("answer_ok"))).alias("kind"))
+    seen = held(own.select("test_id", "skipped", "__stated", "__model", "__asked", "answer", "label"), __v=blank(verdict)).select("test_id", "skipped", "__v.*")
+    return seen.select(*seen.columns, blank(E.bucket(F.col("accuracy"))).alias("bucket"), blank(E.error_kind(F.col("ascii_ok"), F.col("answer_ok"))).alias("kind"))
 
 
 def consistency_summary(rows: DataFrame) -> DataFrame:

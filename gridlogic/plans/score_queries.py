@@ -9,7 +9,7 @@ from gridlogic.functions.score import BUCKETS, ERRORS
 from gridlogic.operators import metrics as M
 from gridlogic.operators import tasks as T
 from gridlogic.plans.registry import query
-from gridlogic.plans.scenes import held, horiz, quoted, rel, vert
+from gridlogic.plans.scenes import held, horiz, quoted, rel, stated_scenes, vert
 from gridlogic.plans.text_queries import ASKED, DESCRIBED, asked, described, legacy
 from gridlogic.session import table
 
@@ -178,29 +178,43 @@ CONSISTENCY = DESCRIBED + legacy("described").replace("SELECT * FROM (VALUES", "
 )"""
 
 
-def answered_scenes(spark, sf_dir):
-    """(id, question, kind, description, label, art): questions with their labels, and grids that are right, or turned upside down in every fourth scene."""
+def labelled(own):
+    """Rows (with scene_id and layout) as id, with question, kind and label."""
     from gridlogic.functions.score import answer_from_layout
     from gridlogic.functions.text import parse_query, query_text
 
-    own = described(spark, sf_dir)
-    s = F.col("scene_id")
     first, last = F.get("layout", F.lit(0))["obj"], F.element_at("layout", -1)["obj"]
-    kind = F.element_at(F.array(F.lit("full"), F.lit("vertical"), F.lit("horizontal")), (s % 3 + 1).cast("int"))
+    kind = F.element_at(F.array(F.lit("full"), F.lit("vertical"), F.lit("horizontal")), (F.col("scene_id") % 3 + 1).cast("int"))
     low = F.transform("layout", lambda o: F.struct(F.lower(o["obj"]).alias("obj"), o["x"].alias("x"), o["y"].alias("y")))
+    own = held(own, low=low, question=query_text(last, first, kind), asked=parse_query(F.col("question")))
+    return own.select(F.col("scene_id").alias("id"), *(c for c in own.columns if c not in ("scene_id", "low", "asked")), kind.alias("kind"), answer_from_layout(F.col("low"), F.col("asked.obj1"), F.col("asked.obj2"), kind).alias("label"))
+
+
+def drawn(own):
+    """Rows (with id and layout) with art: a grid that is right, or turned upside down in every fourth scene."""
     top = F.array_max(F.transform("layout", lambda o: o["y"]))
-    turned = F.transform("unique_cells", lambda o: F.struct(o["obj"].alias("obj"), o["x"].alias("x"), F.when(s % 4 == 0, top - o["y"]).otherwise(o["y"]).cast("int").alias("y")))
-    unique_cells = F.filter("layout", lambda o, i: ~F.exists("layout", lambda q: (q["x"] == o["x"]) & (q["y"] == o["y"]) & (q["obj"] < o["obj"])))
-    own = held(own, unique_cells=unique_cells)
-    own = held(own, low=low, turned=turned, question=query_text(last, first, kind), asked=parse_query(F.col("question")))
-    return own.select(s.alias("id"), "question", kind.alias("kind"), "description", answer_from_layout(F.col("low"), F.col("asked.obj1"), F.col("asked.obj2"), kind).alias("label"), L.render_grid(F.col("turned")).alias("art"))
+    y = lambda o: F.when(F.col("id") % 4 == 0, F.col("__top") - o["y"]).otherwise(o["y"]).cast("int")
+    turned = F.transform("__cells", lambda o: F.struct(o["obj"].alias("obj"), o["x"].alias("x"), y(o).alias("y")))
+    cells = F.filter("layout", lambda o, i: ~F.exists("layout", lambda q: (q["x"] == o["x"]) & (q["y"] == o["y"]) & (q["obj"] < o["obj"])))
+    own = held(own, __top=top, __cells=cells, __turned=turned)
+    return own.withColumn("art", L.render_grid(F.col("__turned"))).drop("__top", "__cells", "__turned")
 
 
-def consistency(spark, sf_dir):
-    dataset = answered_scenes(spark, sf_dir).drop("kind")
+def answered_scenes(spark, sf_dir):
+    """(id, question, kind, description, label, art): questions with their labels, and grids that are right, or turned upside down in every fourth scene."""
+    return drawn(labelled(described(spark, sf_dir))).select("id", "question", "kind", "description", "label", "art")
+
+
+def consistency_tables(spark, sf_dir):
+    """Results and dataset; each makes only what it has, as a held column is made whether or not it is read."""
     i = F.col("id")
-    results = dataset.select(i.alias("test_id"), F.when(i % 17 == 0, "timeout").alias("error"), F.when(i % 19 != 0, F.when(i % 5 == 0, "left").otherwise(F.col("label"))).alias("answer"), F.when(i % 29 != 0, F.col("art")).alias("grid"))
-    return T.consistency_rows(results, dataset.drop("art"))
+    own = drawn(labelled(stated_scenes(spark, sf_dir).where(F.size("stated") > 0).select("scene_id", "layout")))
+    results = own.select(i.alias("test_id"), F.when(i % 17 == 0, "timeout").alias("error"), F.when(i % 19 != 0, F.when(i % 5 == 0, "left").otherwise(F.col("label"))).alias("answer"), F.when(i % 29 != 0, F.col("art")).alias("grid"))
+    return results, labelled(described(spark, sf_dir)).select("id", "question", "description", "label")
+
+
+def consistency(spark, sf_dir):
+    return T.consistency_rows(*consistency_tables(spark, sf_dir))
 
 
 @query(f"WITH {CONSISTENCY} SELECT * FROM kept")
@@ -230,12 +244,13 @@ def error_mapping(spark, sf_dir):
 @query(f"WITH {CONSISTENCY} SELECT skipped AS reason, count(*) AS n FROM kept WHERE skipped IS NOT NULL GROUP BY 1")
 def skip_reasons(spark, sf_dir):
     """P10."""
-    return consistency(spark, sf_dir).where("skipped is not null").groupBy(F.col("skipped").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    results, dataset = consistency_tables(spark, sf_dir)
+    return T.skips(results, dataset.select("id")).where("skipped is not null").groupBy(F.col("skipped").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {DESCRIBED}{legacy('described')}, cells AS (SELECT scene_id, lower(min(obj)) AS obj, x, y FROM pos GROUP BY scene_id, x, y), c AS (SELECT d.scene_id, count(*) AS n, count(*) FILTER (WHERE p.obj IS NOT NULL AND q.obj IS NOT NULL AND d.dir = {rel('p.x', 'p.y', 'q.x', 'q.y')}) AS ok FROM parsed d LEFT JOIN cells p ON p.scene_id = d.scene_id AND p.obj = d.obj1 LEFT JOIN cells q ON q.scene_id = d.scene_id AND q.obj = d.obj2 WHERE d.dir IS NOT NULL GROUP BY d.scene_id), v AS (SELECT scene_id, coalesce(ok = n, TRUE) AS correct, coalesce(ok, 0) AS ok, coalesce(n, 0) AS n FROM described LEFT JOIN c USING (scene_id)) SELECT count(*) AS n, avg(correct::INTEGER) AS accuracy, avg(CASE WHEN n = 0 THEN 0 ELSE ok * 1.0::DOUBLE / n END) AS average_instance_accuracy, sum(ok)::DOUBLE / sum(n) AS relation_accuracy FROM v")
 def description_task(spark, sf_dir):
     """Task B, over all."""
-    own = described(spark, sf_dir)
+    own = stated_scenes(spark, sf_dir).where(F.size("stated") > 0)
     dataset = own.select(F.col("scene_id").alias("id"), L.render_grid(F.col("layout")).alias("grid"))
-    return T.instance_summary(T.description_rows(own.select(F.col("scene_id").alias("test_id"), "description"), dataset))
+    return T.instance_summary(T.description_rows(described(spark, sf_dir).select(F.col("scene_id").alias("test_id"), "description"), dataset))
