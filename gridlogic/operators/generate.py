@@ -220,6 +220,11 @@ def quotas(n: int) -> dict[int, int]:
     return out
 
 
+def dealt(rows: DataFrame, n: int, each: int = 1000) -> DataFrame:
+    """n rows over as many tasks as they ask for, and as many as the cluster runs at least: they are short, but each takes long, and without a number few tasks would be made of few bytes."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // each)), "id")
+
+
 def balanced_dataset(ids: DataFrame, seed: int = 42) -> DataFrame:
     """As many rows as there are ids (id long, each once), in the shares of SHARES, from POOL candidates for each id, or twice as many as long as a share is not full. Candidates
     get their questions first, so none is lost later. Of each number of components, the query types, direct or not and unique layout or not take turns, so that they are even as far
@@ -227,10 +232,10 @@ def balanced_dataset(ids: DataFrame, seed: int = 42) -> DataFrame:
     spark, n, pool = ids.sparkSession, ids.count(), POOL
     while True:
         several = ids.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(pool - 1)), lambda k: F.col("id") * MOST_POOL + k)).alias("id"))
-        own = flagged(structures(several.repartition("id"), seed), seed)
+        own = flagged(structures(dealt(several, n * pool), seed), seed)
         even_selection(own, "num_components", quotas(n), ["query_type", "is_directly_stated", "has_unique_layout"], "id", seed).write.parquet(path := scratch(spark, "chosen"))
         chosen = spark.read.parquet(path)
         if chosen.count() == n:
-            return instances(chosen.withColumn("terminology", modes(F.col("__k") + F.col("num_components"))).drop("__k"), seed)
+            return instances(dealt(chosen, n, 100).withColumn("terminology", modes(F.col("__k") + F.col("num_components"))).drop("__k"), seed)
         if (pool := 2 * pool) > MOST_POOL:
             raise ValueError(f"{MOST_POOL} candidates an id do not fill the shares")

@@ -378,3 +378,18 @@ def test_inferred_pairs_are_not_looked_up(spark):
     assert len(pairs) == 36 * 35 and pairs == sorted(pairs)
     # one filter over the entries, not one more for each of them
     assert str(told._jdf.queryExecution().optimizedPlan()).count("filter(p") == 1
+
+
+def test_candidates_are_dealt_over_as_many_tasks_as_they_ask_for(spark):
+    from gridlogic.operators.generate import dealt
+
+    assert dealt(spark.range(40_000), 40_000).rdd.getNumPartitions() == 40
+
+
+def test_reasons_for_skipping_need_no_parsing(spark):
+    from gridlogic.operators import tasks
+
+    results = spark.createDataFrame([(1, "e", "a", "g"), (2, None, "", "g"), (3, None, "a", "g"), (4, None, "a", ""), (5, None, "a", "g")], "test_id long, error string, answer string, grid string")
+    own = tasks.skips(results, spark.createDataFrame([(1,), (2,), (4,), (5,)], "id long"))
+    assert {r.test_id: r.skipped for r in own.collect()} == {1: "model error", 2: "missing answer", 3: "test_id not found in dataset", 4: "no ASCII grid in model output", 5: None}
+    assert "Generate" not in own._jdf.queryExecution().optimizedPlan().toString()
