@@ -241,7 +241,8 @@ def generated_instances(spark, sf_dir):
     """Structures generated from the suppliers' keys, described, queried and rendered, chosen by quotas; a row for each supplier."""
     from gridlogic.operators.generate import balanced_dataset
 
-    return balanced_dataset(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), seed=42).drop("ascii")
+    own = balanced_dataset(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), seed=42)
+    return own.select(*(c for c in own.columns if c != "ascii"), *(F.col(f"ascii.{v}").alias(f"ascii_{v}") for v in ("simple", "grid", "panel")))
 
 
 @query("""WITH total AS (SELECT count(*) AS n FROM supplier), q AS (SELECT c, floor(n * s)::BIGINT AS base, row_number() OVER (ORDER BY s DESC, c) AS k, n FROM (VALUES (2, 0.025::DOUBLE), (3, 0.075::DOUBLE), (4, 0.18::DOUBLE), (5, 0.18::DOUBLE), (6, 0.18::DOUBLE), (7, 0.18::DOUBLE), (8, 0.18::DOUBLE)) AS v(c, s), total),

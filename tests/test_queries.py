@@ -40,3 +40,19 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_generated_instances_return_the_layouts_that_were_placed(spark):
+    from pyspark.sql import functions as F
+
+    from gridlogic.functions import layout as L
+    from gridlogic.functions import score, text
+    from gridlogic.operators.hold import held
+
+    own = catalog.QUERIES["generated_instances"](spark, SMALL)
+    judged = [
+        held(own, model=L.compact(L.parse_art(F.col(f"ascii_{v}"))), asked=text.parse_query(F.col("query_relation"))).select("num_components", F.size("model").alias("n"), (score.answer_from_layout(F.col("model"), F.col("asked.obj1"), F.col("asked.obj2"), F.col("asked.query_type")) == F.col("label")).alias("right")).collect()
+        for v in ("grid", "panel")
+    ]
+    assert all(r.n == r.num_components and r.right for rows in judged for r in rows) and len(judged[0]) == len(judged[1]) > 0
+    assert own.where("coalesce(ascii_simple, '') = ''").isEmpty()
