@@ -242,3 +242,20 @@ def test_large_documents_are_pieces(spark, tmp_path, monkeypatch):
     assert read == list(enumerate(whole["individual_results"]))
     assert json.loads(found["c"].summary) == whole["summary"] and json.loads(found["c"].breakdown) == whole["breakdown"] and found["c"].total_samples == 3000 and whole["metadata"] == {}
     assert {p.name for p in folder.glob(".*")} <= {"._documents.json.crc"} or not list(folder.glob(".staged*"))
+
+
+def test_a_long_list_is_written_and_read_as_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "PIECE", 6)
+    long, short, folder = "task_c_n+1 %é_evaluation.json", "task_d_evaluation.json", f"file://{tmp_path}/docs"
+    fields = [(d, [(None, at, name, None)], v) for d in (long, short) for at, name, v in ((0, "task", '"c"'), (1, "run_id", '"r"'), (3, "summary", '{"total_samples":9}'), (6, "metadata", "{}"))]
+    given = [(long, part, block, line) for part, block, n in (("b", 0, 7), ("a", 10, 5), ("a", 9, 5), ("c", 0, 1)) for line in range(n)] + [(short, "a", 0, line) for line in range(2)]
+    rows = spark.createDataFrame([(*r, json.dumps({"at": r[1:]})) for r in reversed(given)], "document string, part string, block long, line long, value string").repartition(3)
+    assert documents.write_documents(leaves(spark, fields), folder, rows=rows, listed=(5, "individual_results")) == sorted([long, short])
+    parts = sorted((tmp_path / "docs" / long).glob("part-*"))
+    assert [p.name for p in parts] == [f"part-{i:05d}" for i in range(len(parts))] and len(parts) > 3 and (tmp_path / "docs" / short).is_file()
+    whole = json.loads("".join(p.read_text() for p in parts))
+    want = [{"at": list(r[1:])} for r in sorted(given) if r[0] == long]
+    assert list(whole) == ["task", "run_id", "summary", "individual_results", "metadata"] and whole["individual_results"] == want
+    heads, results = documents.read_evaluations(spark, folder, [long, short])
+    assert {(r.name, r.run_id, r.summary, r.rows) for r in heads.collect()} == {(d, "r", '{"total_samples":9}', n) for d, n in ((long, len(want)), (short, 2))}
+    assert [(r.position, json.loads(r.result)) for r in results.where(F.col("name") == long).orderBy("position").collect()] == list(enumerate(want))
